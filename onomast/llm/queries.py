@@ -17,5 +17,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+
+
+QUERIES = {"op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
