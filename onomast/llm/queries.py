@@ -26,5 +26,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
 
 
-QUERIES = {"op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import KINDS, digest, scan_secrets
+
+    out = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    return out.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
