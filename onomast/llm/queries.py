@@ -36,5 +36,19 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_mod
+    from .quality import score_quality, train_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return out.select(
+        "doc_id",
+        (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+QUERIES = {"op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
