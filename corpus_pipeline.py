@@ -1,3 +1,79 @@
-STAGES = []
+"""The corpus pipeline: five operators of onomast.llm, one after the other.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its
+predecessor kept.  run() writes each stage's rows as Parquet in the shared
+folder and reads them back for the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from onomast.llm.common import materialize
+from onomast.llm.decontaminate import decontaminate
+from onomast.llm.packing import encode_pieces, pack
+from onomast.llm.quality import score_quality, train_quality
+from onomast.llm.secrets import redact, scan_secrets
+from onomast.llm.simhash import simhash_components
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that score 0.5 or more; the model is learned as in op1, from labels off the held-out third."""
+    model = train_quality(docs, _table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, COLUMNS).where("quality_score >= 0.5").select(*COLUMNS)
+
+
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that of the least doc_id; of rows that share it, the first by text."""
+    groups = simhash_components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(groups, "doc_id", "left_semi").select(*COLUMNS)
+    least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
+    return kept.groupBy("doc_id").agg(least).select("doc_id", "row.*")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of the benchmark."""
+    out = decontaminate(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
+    return out.where(~F.col("contaminated")).select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the texts; every document stays."""
+    text = redact(F.col("text"), F.col("spans"))
+    masked = F.size("spans") > 0
+    out = scan_secrets(docs, COLUMNS).withColumns({"text": text, "n_chars": F.when(masked, F.length(text).cast("long")).otherwise(F.col("n_chars"))})
+    return out.select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of 4096 tokens: a row per piece."""
+    pieces = encode_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    placed = pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality", quality),
+    ("simhash", simhash),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+
+#: No stage but the scans can be put in SQL: a trained model, tries, tokenizers.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

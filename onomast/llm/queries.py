@@ -50,5 +50,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sstable import read_shards, write_shards
+
+    manifest = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import encode_pieces, pack
+
+    pieces = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    placed = pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {"op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
