@@ -69,5 +69,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_mod
+    from .langid import identify, train_langid
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, train_langid(docs.select("doc_id", "text", "lang")))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES = {"op8_langid": op8_langid, "op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
