@@ -78,5 +78,19 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {"op8_langid": op8_langid, "op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_mod
+    from .toxicity import score_toxicity, train_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+    return out.select(
+        "doc_id",
+        (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+QUERIES = {"op5_toxicity": op5_toxicity, "op8_langid": op8_langid, "op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
