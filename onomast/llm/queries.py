@@ -98,5 +98,11 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op4_embeddings": op4_embeddings, "op5_toxicity": op5_toxicity, "op8_langid": op8_langid, "op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op3_urls": op3_urls, "op4_embeddings": op4_embeddings, "op5_toxicity": op5_toxicity, "op8_langid": op8_langid, "op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
