@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lexicon import fixed
+from .text import among
 
 ONSETS = "|".join(sorted(fixed.ONSETS, key=len, reverse=True))
 RIMES = "|".join(sorted(fixed.RIMES, key=len, reverse=True))
@@ -43,7 +44,7 @@ def split_concat(token: Column, known: Column) -> Column:
     low = F.lower(token)
     pair = lambda a, b: F.array(a, b)
     half = F.length(token) / 2
-    anchors = F.array(*[F.lit(a) for a in fixed.ANCHORS])
+    anchors = among(fixed.ANCHORS)
     has = lambda x: F.array_contains(known, x)
     sure = lambda x: F.array_contains(anchors, x)
     fit = lambda s: (sure(s["a"]) & sure(s["b"])) | (has(s["a"]) & has(s["b"])) | ((has(s["a"]) | has(s["b"])) & plausible_syllable(s["a"]) & plausible_syllable(s["b"]))

@@ -7,7 +7,7 @@ frequencies; a fuller set is read from CSV files of the same columns.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +53,7 @@ class Lexicon:
     surname: DataFrame
     given: DataFrame
     romanization: DataFrame
+    known: dict = field(default_factory=dict)
 
     @classmethod
     def builtin(cls, spark: SparkSession) -> Lexicon:
