@@ -41,6 +41,9 @@ xia 100 700 xi 400 300 yuan 500 900 yue 300 400 an 200 300 bei 100 100 chun 600
 """
 
 
+_BUILTIN: dict[str, Lexicon] = {}
+
+
 def _numbers(text: str, width: int) -> list[tuple]:
     w = text.split()
     return [(w[i].replace("_", " "), *map(float, w[i + 1 : i + width])) for i in range(0, len(w), width)]
@@ -57,6 +60,15 @@ class Lexicon:
 
     @classmethod
     def builtin(cls, spark: SparkSession) -> Lexicon:
+        """The built-in tables, made once for an application."""
+        app = spark.sparkContext.applicationId
+        if app not in _BUILTIN:
+            _BUILTIN.clear()
+            _BUILTIN[app] = cls._builtin(spark)
+        return _BUILTIN[app]
+
+    @classmethod
+    def _builtin(cls, spark: SparkSession) -> Lexicon:
         surname = spark.createDataFrame(_numbers(SURNAMES, 2) + _numbers(COMPOUNDS, 2), "key string, ppm double")
         given = {}
         for s, a, b in _numbers(GIVEN, 3):

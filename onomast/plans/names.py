@@ -12,6 +12,7 @@ from ..operators.evidence import evidence
 from ..operators.facts import name_facts, prepare
 from ..operators.parse import scored
 from ..operators.render import NOT_PLAUSIBLE, given_fits, render
+from .stage import keep
 
 UNKNOWN = "name not recognised as Chinese"
 
@@ -64,8 +65,9 @@ def normalize_names(names: DataFrame, lex: Lexicon | None = None) -> DataFrame:
 def analyze_batches(names: DataFrame, lex: Lexicon | None = None, threshold: float = batch.THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, patterns, evidence) of names in batches."""
     lex = lex or Lexicon.builtin(names.sparkSession)
-    e = batch.promote(batch.entries(parsed(names, lex)))
-    patterns = batch.pattern(batch.votes(e), threshold)
+    # Votes, choice and evidence read the parsed names, and the votes' table is small: each is worked out once.
+    e = batch.promote(batch.entries(keep(parsed(names, lex), "parsed")))
+    patterns = keep(batch.pattern(batch.votes(e), threshold), "patterns")
     applied = batch.apply(e, patterns)
     return results(applied, lex, "chosen").select(*RESULT, "changed"), patterns, evidence(applied)
 
