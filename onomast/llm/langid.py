@@ -143,7 +143,7 @@ def learn(samples: dict[str, list[str]]) -> Ppm:
         costs[len(union) :, :, j] = -np.log2(np.maximum(dist(pairs, 2), 1e-30))
     context = (len(union) + np.arange(size**ORDER) % size**2).astype(np.int32)
     context[union] = np.arange(len(union))
-    return Ppm(langs, symbol, size, context, costs.reshape(-1, len(langs)))
+    return Ppm(langs, symbol, size, context, costs.reshape(len(costs) * size, len(langs)))
 
 
 def train_langid(docs: DataFrame, held: tuple[int, int] = (3, 1)) -> Ppm:
