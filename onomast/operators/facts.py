@@ -14,7 +14,7 @@ from ..functions.text import comma_swap, norm, norm_light, preprocess, tokenize
 from ..lexicon.data import Lexicon, given_logp, surname_freq, surname_logp, surname_rank
 
 DEFAULT_LOGP = -15.0
-DOMINANT_PPM = 10_000.0
+REMAPPED_LOG_SHARE = -4.0
 
 
 def prepare(names: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def token_facts(tokens: DataFrame, lex: Lexicon) -> DataFrame:
     surnames, given = F.broadcast(surnames), F.broadcast(given)
     t = tokens.select("token").distinct().withColumns({"light": norm_light(F.col("token")), "norm": norm(F.col("token"))})
     own = surnames.select(F.col("key").alias("light"), F.lit(True).alias("written"))
-    t = t.join(own, "light", "left").withColumn("key", F.when(F.col("written"), F.col("light")).otherwise(F.col("norm"))).drop("written")
+    t = t.join(own, "light", "left").withColumn("key", F.when(F.col("written"), F.col("light")).otherwise(F.col("norm")))
     t = t.join(surnames.select("key", "ppm", F.col("logp").alias("slogp"), "rank"), "key", "left")
     t = t.join(given.select(F.col("syllable").alias("light"), F.col("logp").alias("g1"), "initial_logp", "final_logp"), "light", "left")
     t = t.join(given.select(F.col("syllable").alias("norm"), F.col("logp").alias("g2")), "norm", "left")
@@ -66,7 +66,8 @@ def token_facts(tokens: DataFrame, lex: Lexicon) -> DataFrame:
         "norm",
         "key",
         F.coalesce("ppm", F.lit(0.0)).alias("ppm"),
-        F.coalesce("slogp", F.lit(DEFAULT_LOGP)).alias("slogp"),
+        # A spelling that only its pinyin makes a surname counts for a small share of it.
+        F.coalesce(F.when(F.col("written"), F.col("slogp")).otherwise(F.greatest(F.col("slogp") + REMAPPED_LOG_SHARE, F.lit(DEFAULT_LOGP))), F.lit(DEFAULT_LOGP)).alias("slogp"),
         F.coalesce("rank", F.lit(0.0)).alias("rank"),
         F.col("ppm").isNotNull().alias("is_surname"),
         known.isNotNull().alias("is_given"),
