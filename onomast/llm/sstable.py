@@ -38,7 +38,7 @@ MAGIC = b"OSSTAB01"
 FOOTER = struct.Struct("<QQQQII8s")
 BLOCK = 1 << 16
 RESTART = 16
-SHARD = 64 << 20
+SHARD = 32 << 20
 BLOOM_BITS = 10
 
 

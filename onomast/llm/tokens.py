@@ -16,9 +16,13 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: Bound on remembered units of a worker, some 250 bytes each; beyond it units are encoded anew.
-CACHE = 1_000_000
+CACHE = 700_000
+# How the tokenizers of either kind cut a text into pieces.
+SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+BARE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -40,6 +44,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.spaced = kind == "spaced"
+        self.cut = SPACED if self.spaced else BARE
         self.units: dict[str, bytes] = {}
         self.chars = str.maketrans({chr(b): c for b, c in _byte_chars().items()})
         if self.tok.get_vocab_size() > 1 << 16:
@@ -55,28 +60,33 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("H", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(self.units) < CACHE:
+            self.units[text] = ids
+        return ids
+
     def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin1").translate(self.chars)
-        return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def _unit(self, word: str, lead: str) -> bytes:
-        """A word and what stands before it ('' or ' '); the plain ones without the library's own cutting."""
-        core, tail = (word[:-1], word[-1:]) if word[-1:] in (",", ".", ":", ";") else (word, "")
-        if core.isalpha() and max(core) < "ƀ":
-            if self.spaced:
-                return self._piece(lead + core) + (self._piece(tail) if tail else b"")
-            core = unicodedata.normalize("NFC", core).lower()
-            if "İ" not in word:
-                return self._piece(core) + (self._piece(tail) if tail else b"")
-        return self.whole(lead + word)
+        """What the tokenizer's own cutting leaves whole.  Pieces are remembered, not the words with commas and line ends that they make up."""
+        found = self.units.get(piece)
+        if found is None:
+            mapped = piece.encode().decode("latin1").translate(self.chars)
+            found = self._keep(piece, array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes())
+        return found
 
     def unit(self, word: str, lead: str) -> bytes:
+        """A word and what stands before it ('' or ' '); in the Latin blocks the
+        library's own cutting is done here, as all versions of Unicode agree on these."""
         found = self.units.get(lead + word)
-        if found is None:
-            found = self._unit(word, lead)
-            if len(self.units) < CACHE:
-                self.units[lead + word] = found
-        return found
+        if found is not None:
+            return found
+        if not word or max(word) >= "ƀ" or "İ" in word:
+            return self._keep(lead + word, self.whole(lead + word))
+        if not self.spaced:
+            word = unicodedata.normalize("NFC", word).lower()
+        core, tail = (word[:-1], word[-1]) if word[-1] in ",.:;" else (word, "")
+        if core.isalpha():
+            return self._piece(lead + core) + (self._piece(tail) if tail else b"")
+        return b"".join(map(self._piece, self.cut.findall(lead + word)))
 
     def _unsure(self, texts: pa.Array) -> np.ndarray:
         """Texts that go to the library whole: special tokens are written out, or (spaced) spaces follow each other or end it."""
@@ -109,16 +119,20 @@ class Encoder:
         if len(held):
             index[at[held]] = len(known) + np.arange(len(held))
             known += [whole[i] for i in held.tolist()]
+        # 32 bits do: a call holds no more than some megabytes of text, or one text.
         size = np.fromiter(map(len, known), np.int64, len(known)) // 2
         flat = np.frombuffer(b"".join(known), "<u2")
+        del known
         length = size[index]
         done = np.cumsum(length)
-        source = np.repeat((np.cumsum(size) - size)[index] - (done - length), length)
-        ids = flat[source + np.arange(len(source))]
-        return ids, np.concatenate([[0], done[at[1:] - 1]])
+        total = int(done[-1]) if len(done) else 0
+        wide = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        source = np.repeat(((np.cumsum(size) - size)[index] - (done - length)).astype(wide), length)
+        source += np.arange(total, dtype=wide)
+        return flat[source], np.concatenate([[0], done[at[1:] - 1]])
 
 
-def slices(batch: pa.RecordBatch, size: int = 1 << 24):
+def slices(batch: pa.RecordBatch, size: int = 6_000_000):
     """Parts of a batch of about ``size`` bytes of text, the last column; a row is never cut."""
     text = batch.column(batch.num_columns - 1)
     n = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
