@@ -19,6 +19,11 @@ SUFFIXES = (("ieh", "ie"), ("ueh", "ue"), ("ung", "ong"), ("ien", "ian"), ("ih",
 ROUTE_TOKEN = r"\p{L}+(?:[-']\p{L}+)*"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def among(words) -> Column:
     """Words as one array literal: folded once by the optimizer, and one call to make."""
     return F.split(F.lit("\n".join(words)), "\n")
@@ -73,11 +78,15 @@ def case_pattern(x: Column) -> Column:
 
 def structural_split(name: Column) -> Column:
     """A single token in two cases (LinShu, LU-Wang) becomes two."""
-    cut = smart_split(name)
-    parts = F.split(name, "-")
-    joined = (F.size(parts) == 2) & (case_pattern(parts[0]) != case_pattern(F.get(parts, F.lit(1))))
-    single = ~name.rlike(r"\s") & (name != "")
-    return F.when(single & (cut != name), F.when(cut.rlike(r"^\p{L}{2,8} \p{L}{2,8}$"), cut).otherwise(name)).when(single & joined, F.replace(name, F.lit("-"), F.lit(" "))).otherwise(name)
+
+    def one(n: Column) -> Column:
+        parts = F.split(n, "-")
+        joined = (F.size(parts) == 2) & (case_pattern(parts[0]) != case_pattern(F.get(parts, F.lit(1))))
+        hyphen = F.when(joined, F.replace(n, F.lit("-"), F.lit(" "))).otherwise(n)
+        fused = lambda cut: F.when(cut == n, hyphen).when(cut.rlike(r"^\p{L}{2,8} \p{L}{2,8}$"), cut).otherwise(n)
+        return F.when(n.rlike(r"\s") | (n == ""), n).otherwise(let(smart_split(n), fused))
+
+    return let(name, one)
 
 
 def preprocess(name: Column) -> Column:
@@ -86,8 +95,12 @@ def preprocess(name: Column) -> Column:
 
 def comma_swap(name: Column) -> Column:
     """``A, B`` becomes ``B A`` if there are exactly two parts."""
-    parts = F.filter(F.transform(F.split(name, ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    return F.when(name.contains(",") & (F.size(parts) == 2), F.concat_ws(" ", parts[1], parts[0])).otherwise(name)
+
+    def one(n: Column) -> Column:
+        parts = F.filter(F.transform(F.split(n, ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+        return F.when(n.contains(","), let(parts, lambda p: F.when(F.size(p) == 2, F.concat_ws(" ", F.get(p, F.lit(1)), F.get(p, F.lit(0)))).otherwise(n))).otherwise(n)
+
+    return let(name, one)
 
 
 def tokenize(name: Column) -> Column:
@@ -107,12 +120,18 @@ def norm_light(token: Column) -> Column:
 
 
 def wade_giles(low: Column) -> Column:
-    parts = F.transform(F.regexp_extract_all(low, F.lit(WADE), F.lit(0)), lambda x: F.coalesce(lookup(WADE_MAP, x), x))
-    out = F.when(low == "j", "r").otherwise(F.array_join(parts, ""))
-    ended = out
-    for suffix, new in reversed(SUFFIXES):
-        ended = F.when(out.endswith(suffix), F.concat(F.substring(out, F.lit(1), F.length(out) - len(suffix)), F.lit(new))).otherwise(ended)
-    return F.coalesce(lookup(fixed.WADE_GILES_SYLLABLES, low), ended)
+
+    def suffixes(out: Column) -> Column:
+        ended = out
+        for suffix, new in reversed(SUFFIXES):
+            ended = F.when(out.endswith(suffix), F.concat(F.substring(out, F.lit(1), F.length(out) - len(suffix)), F.lit(new))).otherwise(ended)
+        return ended
+
+    def one(x: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(x, F.lit(WADE), F.lit(0)), lambda p: F.coalesce(lookup(WADE_MAP, p), p))
+        return F.coalesce(lookup(fixed.WADE_GILES_SYLLABLES, x), let(F.when(x == "j", "r").otherwise(F.array_join(parts, "")), suffixes))
+
+    return let(low, one)
 
 
 #: Layers of spellings, the first that has a key counts.
@@ -129,9 +148,8 @@ def layered() -> dict[str, str]:
 
 def norm(token: Column) -> Column:
     """A token as pinyin: known spellings by layer, else Wade-Giles rules, without hyphens and apostrophes."""
-    low = F.lower(strip_marks(token))
-    w = wade_giles(low)
-    return F.coalesce(lookup(layered(), low), F.translate(F.when(w == "qen", "chen").otherwise(w), HYPHENS, ""))
+    rest = lambda low: let(wade_giles(low), lambda w: F.translate(F.when(w == "qen", "chen").otherwise(w), HYPHENS, ""))
+    return let(F.lower(strip_marks(token)), lambda low: F.coalesce(lookup(layered(), low), rest(low)))
 
 
 def capitalize(token: Column) -> Column:
