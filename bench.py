@@ -12,7 +12,7 @@ from pathlib import Path
 ROOT = str(Path(__file__).resolve().parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ":".join(x for x in (ROOT, os.environ.get("PYTHONPATH", "")) if x)
-HEADLINE = ["clean_punct", "preprocess", "tokenize", "norm", "valid_phonetics", "gate_author_list", "parser_frequency", "batch_votes", "batch_pattern", "route_ppvys", "route_pp", "normalize_names", "paper_names"]
+HEADLINE = ["clean_punct", "preprocess", "tokenize", "norm", "valid_phonetics", "gate_author_list", "parser_frequency", "batch_votes", "batch_pattern", "route_ppvys", "route_pp"]
 
 
 def main() -> None:
