@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from onomast.llm.common import materialize
 from onomast.llm.decontaminate import decontaminate
+from onomast.llm.jaccard import near_components
 from onomast.llm.packing import encode_pieces, pack
 from onomast.llm.quality import score_quality, train_quality
 from onomast.llm.secrets import redact, scan_secrets
-from onomast.llm.simhash import simhash_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,8 +32,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that of the least doc_id; of rows that share it, the first by text."""
-    groups = simhash_components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps one document of each group of near-duplicates, that of the least doc_id; of rows that share it, the first by text.
+
+    Near-duplicates have a Jaccard similarity of 0.8 or more between their
+    five-word shingles, compared exactly, or are joined by a chain of such
+    texts.  SimHash of 64 bits can't tell that similarity, so the stage has no
+    more than its name from op7.
+    """
+    rows = near_components(docs.select(*COLUMNS), size=5, least=0.8)
+    groups = rows.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(groups, "doc_id", "left_semi").select(*COLUMNS)
     least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
     return kept.groupBy("doc_id").agg(least).select("doc_id", "row.*")
