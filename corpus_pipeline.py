@@ -32,18 +32,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that of the least doc_id; of rows that share it, the first by text.
+    """Keeps one row of each group of near-duplicates: that of the least doc_id, a null one last, and of these the least by the hash of the row.
 
     Near-duplicates have a Jaccard similarity of 0.8 or more between their
     five-word shingles, compared exactly, or are joined by a chain of such
     texts.  SimHash of 64 bits can't tell that similarity, so the stage has no
-    more than its name from op7.
+    more than its name from op7.  Ids play no part in the groups: of unlike
+    texts under one id, or without any, each stays.
     """
     rows = near_components(docs.select(*COLUMNS), size=5, least=0.8)
-    groups = rows.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").select(*COLUMNS)
-    least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
-    return kept.groupBy("doc_id").agg(least).select("doc_id", "row.*")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*COLUMNS[1:]).alias("hash"), "row")
+    rows = materialize(rows.withColumn("order", order), "near-order")
+    kept = rows.groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
