@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and a battery of randomness tests.
 
 The battery looks at runs of token characters.  Each run gets an inferred
-encoding (hex, base32, base36, base62 or base64), and against "characters drawn
-uniformly from that alphabet" three p-values: chi-squared over equal slices of
-the alphabet, Wald-Wolfowitz runs about the median, and lag-one serial
-correlation.  A run that all three leave standing is random under that
-encoding.  Whether it could yet be prose is put as an e-value, the likelihood
-ratio of the uniform alphabet to prose; within each length class the e-values
-of the whole corpus go through the e-Benjamini-Hochberg rule, which holds the
-false discovery rate under any dependence.  Everything is DataFrame operations.
+encoding (hex, capitals, base32, base36, letters, base62 or base64), and
+against "characters drawn uniformly from that alphabet" three p-values:
+chi-squared over equal slices of the alphabet, Wald-Wolfowitz runs about the
+median, and lag-one serial correlation.  A run that all three leave standing is
+random under that encoding.  Whether it could yet be prose is put as an
+e-value, the least likelihood ratio of the uniform alphabet to prose, in
+capitals or not; within each class of length, runs with and without a digit
+apart, the e-values of the whole corpus go through the e-Benjamini-Hochberg
+rule, which holds the false discovery rate under any dependence.  Everything is
+DataFrame operations.
 """
 
 from __future__ import annotations
@@ -29,19 +31,28 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_HINT = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 
 CHARS = "A-Za-z0-9+/_-"
-#: Runs of so many characters and more are tested; a digit is asked for, as the shortest runs of letters alone can't be told from words.
+#: Runs of so many characters and more are tested.
 LEAST = 20
-RUN = rf"(?<![{CHARS}])(?=[A-Za-z+/_-]*[0-9])[{CHARS}]{{{LEAST},}}"
+RUN = rf"(?<![{CHARS}])[{CHARS}]{{{LEAST},}}"
 #: Shares of character classes in prose and in identifiers, each spread evenly over its characters.
 PROSE = {"lower": 0.78, "upper": 0.10, "digit": 0.08, "other": 0.04}
 SIZES = {"lower": 26, "upper": 26, "digit": 10, "other": 4}
+#: The same for prose in capitals; runs without lower case would else count as random for their case alone.
+CAPITALS = {"lower": 0.10, "upper": 0.78, "digit": 0.08, "other": 0.04}
+#: Shares of the letters in English, for prose whose letters aren't spread evenly.
+LETTERS = {
+    "E": 0.127, "T": 0.091, "A": 0.082, "O": 0.075, "I": 0.070, "N": 0.067, "S": 0.063, "H": 0.061, "R": 0.060, "D": 0.043, "L": 0.040, "C": 0.028, "U": 0.028,
+    "M": 0.024, "W": 0.024, "F": 0.022, "G": 0.020, "Y": 0.020, "P": 0.019, "B": 0.015, "V": 0.010, "K": 0.008, "J": 0.0015, "X": 0.0015, "Q": 0.001, "Z": 0.001,
+}
 #: alphabet in order, for each encoding; the first that has all characters is inferred.
 ENCODINGS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -127,17 +138,26 @@ def randomness(runs: DataFrame) -> DataFrame:
     lag = F.aggregate(F.zip_with(F.slice("_d", 1, F.size("_d") - 1), F.slice("_d", 2, F.size("_d") - 1), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     rho = lag / square
     runs = runs.withColumn("p_serial", F.when(square > 0, _normal_two_sided((rho + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0)))
-    log_e = n * -F.log(F.col("_k"))
+    # The least over three kinds of prose is an e-value against each.
+    uniform = n * -F.log(F.col("_k"))
+    spread = common = capitals = uniform
     for name, regex in (("lower", "[^a-z]"), ("upper", "[^A-Z]"), ("digit", "[^0-9]"), ("other", "[^+/_-]")):
-        log_e = log_e - F.length(F.regexp_replace("run", regex, "")) * F.log(F.lit(PROSE[name] / SIZES[name]))
-    return runs.withColumn("log_e", log_e).drop("_k", "_c", "_x", "_h", "_d")
-
-
-def _length_class(n: Column) -> Column:
+        seen = F.length(F.regexp_replace("run", regex, ""))
+        spread = spread - seen * math.log(PROSE[name] / SIZES[name])
+        common = common - seen * math.log(PROSE[name] / (SIZES[name] if name in ("digit", "other") else 1))
+        capitals = capitals - seen * math.log(CAPITALS[name] / (SIZES[name] if name in ("digit", "other") else 1))
+    cost = F.create_map(*[F.lit(x) for c, share in LETTERS.items() for x in (c, -math.log(share / sum(LETTERS.values())))])
+    letters = F.aggregate("_c", F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(cost, F.upper(c)), F.lit(0.0)))
+    runs = runs.withColumns({"_spread": spread, "_common": common + letters, "_capitals": capitals + letters})
+    return runs.withColumn("log_e", F.least("_spread", "_common", "_capitals")).drop("_k", "_c", "_x", "_h", "_d", "_spread", "_common", "_capitals")
+
+
+def _length_class(run: Column) -> Column:
+    """By length; runs without a digit, most of them words, have classes of their own and don't dilute the others."""
     c = F.lit(0)
     for k, least in enumerate(LENGTH_CLASSES, 1):
-        c = F.when(n >= least, k).otherwise(c)
-    return c
+        c = F.when(F.length(run) >= least, k).otherwise(c)
+    return F.when(run.rlike("[0-9]"), c).otherwise(c + len(LENGTH_CLASSES) + 1)
 
 
 def e_bh_bounds(tested: DataFrame, fdr: float) -> dict[int, float]:
@@ -179,7 +199,7 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, alpha: float =
     free = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     runs = found.where(F.size("_runs") > 0).select("_row", "_base", F.explode(F.arrays_zip(F.col("_runs").alias("s"), F.col("_texts").alias("t"))).alias("r"))
     runs = runs.where(free(F.col("r")["s"])).select("_row", F.col("r")["s"].alias("span"), F.col("r")["t"].alias("run"))
-    runs = materialize(randomness(runs).withColumn("length_class", _length_class(F.length("run"))), "runs")
+    runs = materialize(randomness(runs).withColumn("length_class", _length_class(F.col("run"))), "runs")
     bounds = e_bh_bounds(runs, fdr)
     bound = F.lit(None).cast("double")
     for c, least in bounds.items():

@@ -53,6 +53,22 @@ def test_random_runs_are_added_and_words_are_not(spark):
     assert all(got[i] == [] for i in range(30, 33))
 
 
+def test_keys_of_letters_only_are_found_and_words_are_not(spark):
+    rng = random.Random(11)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    mixed = ["".join(rng.choice(upper + lower) for _ in range(n)) for n in (32, 64) for _ in range(15)]
+    caps = ["".join(rng.choice(upper) for _ in range(n)) for n in (32, 64) for _ in range(15)]
+    words = [
+        "INTERNATIONALIZATION", "MAXIMUM_NUMBER_OF_CONNECTIONS", "getElementsByTagNameAndClass", "donaudampfschifffahrtsgesellschaft", "A" * 30, "-" * 40, "_-" * 20,
+        "some/path/to/another/folder", "THEWHOLEDOCUMENTWASREADBEFOREWESIGNEDIT", "XMLHttpRequestEventTarget", "InternationalBusinessMachines", "state-of-the-art-and-then-some", "PLEASE-READ-THE-WHOLE-DOCUMENT-BEFORE-SIGNING",
+    ]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(mixed + caps + words)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in scan_secrets(docs).collect()}
+    assert sum(got[i] == [(4, 4 + len(t))] for i, t in enumerate(mixed)) >= 29
+    assert sum(got[30 + i] == [(4, 4 + len(t))] for i, t in enumerate(caps)) >= 29
+    assert {t: got[60 + i] for i, t in enumerate(words) if got[60 + i]} == {}
+
+
 def test_battery_rejects_order_and_accepts_noise(spark):
     rng = random.Random(5)
     noise = ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(200)]
