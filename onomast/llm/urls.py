@@ -8,6 +8,8 @@ DataFrame operations.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +51,15 @@ def host_links(pages: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def personalised_rank(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def personalised_rank(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """seeds (host, seed): mass that sums to 1; links (src, dst, w).  Returns (host, rank).
     What reaches a host without links goes back to the seeds.  Each round is a
-    join and a sum whose parts are combined before the shuffle."""
+    join and a sum whose parts are combined before the shuffle.  Rounds go on
+    until the ranks change by less than ``tolerance`` in all; each leaves at
+    most ``damping`` of the change, which bounds their number, and to miss the
+    tolerance within it, or within ``rounds``, is an error."""
+    if rounds is None:
+        rounds = max(1, math.ceil(math.log(tolerance / 2) / math.log(damping))) + 2
     total = links.groupBy("src").agg(F.sum("w").alias("all"))
     flow = materialize(links.join(total, "src").select(F.col("src").alias("host"), "dst", (F.col("w") / F.col("all")).alias("share")), "flow")
     rank = materialize(seeds.select("host", F.col("seed").alias("rank")), "rank")
@@ -68,8 +75,8 @@ def personalised_rank(seeds: DataFrame, links: DataFrame, damping: float = 0.85,
         change = both.agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0]
         rank = new
         if change < tolerance:
-            break
-    return rank
+            return rank
+    raise RuntimeError(f"ranks still change by {change} after {rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, margin: float = 1.0, floor: float = 0.05) -> DataFrame:
@@ -99,9 +106,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     share = materialize(share, "seeds")
     sums = share.agg(F.coalesce(F.sum("trust"), F.lit(0.0)), F.coalesce(F.sum("distrust"), F.lit(0.0))).first()
     links = materialize(host_links(pages), "host-links")
-    trust = personalised_rank(share.where("trust > 0").select("host", (F.col("trust") / (sums[0] or 1.0)).alias("seed")), links)
+    # What a rank may still lack must not reach the floor.
+    tolerance = min(1e-6, 0.01 * floor / max(n_hosts, 1)) if floor > 0 else 1e-6
+    trust = personalised_rank(share.where("trust > 0").select("host", (F.col("trust") / (sums[0] or 1.0)).alias("seed")), links, tolerance=tolerance)
     turned = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = personalised_rank(share.where("distrust > 0").select("host", (F.col("distrust") / (sums[1] or 1.0)).alias("seed")), turned)
+    distrust = personalised_rank(share.where("distrust > 0").select("host", (F.col("distrust") / (sums[1] or 1.0)).alias("seed")), turned, tolerance=tolerance)
     ranks = (
         trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust"))
         .unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust")))

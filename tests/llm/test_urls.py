@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from onomast.llm.urls import RULES, judge_urls, personalised_rank
 
@@ -68,3 +69,15 @@ def test_distrust_flows_against_links(spark):
     rules = [("block", "bad.net", "/x"), ("allow", "org", "/")]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge_urls(spark.createDataFrame(rows, SCHEMA), rules).collect()}
     assert got == {1: ("bad.net/x", "block"), 2: (None, "block"), 3: ("org/", "allow"), 4: (None, "allow"), 5: (None, "allow")}
+
+
+def test_rank_passes_more_than_30_hosts(spark):
+    n = 41
+    links = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(n - 1)]
+    got = personalised_rank(spark.createDataFrame([("h0", 1.0)], "host string, seed double"), spark.createDataFrame(links, "src string, dst string, w double"))
+    got = {x["host"]: x["rank"] for x in got.collect()}
+    whole = sum(0.85**i for i in range(n))
+    for i in range(n):
+        assert abs(got[f"h{i}"] - 0.85**i / whole) < 1e-5
+    with pytest.raises(RuntimeError):
+        personalised_rank(spark.createDataFrame([("h0", 1.0)], "host string, seed double"), spark.createDataFrame(links, "src string, dst string, w double"), rounds=3)
