@@ -208,6 +208,29 @@ VIETNAMESE_OVERLAP = words(
     """
 )
 
+# Surnames.
+JAPANESE = words(
+    """
+    abe ando aoki arashiro ashiri chinen endo fujii fujikawa fujimori fujimoto fujimura fujinaga fujinami
+    fujino fujisaki fujisawa fujishima fujita fujiwara fujiyama fukuda fukushima goto gushiken hamada
+    hamaguchi hamamoto hara harada haraguchi haramoto hasegawa hashimoto hayashi higa higaonna higashida
+    higashino higashiyama honda hoshino ikeda inoue ishida ishii ishikawa ito itou kaneko kanna kato
+    kawabata kawagoe kawaguchi kawahara kawai kawamoto kawamura kawano kawasaki kawashima kikuchi kimura
+    kinjo kishi kitagawa kitahara kitamura kitano kobayashi kojima kondo kubo kubota kudo kuroda kushima
+    maeda maruyama matsubara matsuda matsui matsumoto matsunaga matsuo matsushita matsuyama minamino
+    minamiyama miura miya miyagi miyahara miyake miyamoto miyata miyazaki miyazawa miyoshi mori morikawa
+    morimoto morimura morita moriyama murakami nagasawa nakagawa nakajima nakama nakamoto nakamura nakano
+    nakata nakayama nakazato nako nibutani nishida nishikawa nishimura nishiyama nojima oda ogawa ogino
+    ogura okabe okada okamoto okamura okano okubo ono osaka oshima ota otani saito saitou sakai sakamoto
+    sakata sasaki sato satou sawada sawamura sawano seki sekiguchi sekimoto shibata shima shimabukuro
+    shimizu shimomura shiraoi shiro shirota shiroyama sugiyama suzuki suzukii taira tajima takada takagi
+    takahashi takahata takamura takano takayama takeda takemoto takeuchi tamashiro tanaka tanigawa
+    taniguchi tojima tsuda uchida uchiyama ueda uemoto uemura watanabe yamada yamagata yamaguchi yamaguti
+    yamamoto yamanaka yamane yamasaka yamasaki yamashiro yamashita yamauchi yamazaki yasuda yogi yokomura
+    yokoyama yoshida yoshijima yoshikawa yoshimoto yoshimura yoshino yoshizawa
+    """
+)
+
 # Given syllables.
 VIETNAMESE_GIVEN = words(
     """

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import among
 from ..lexicon import fixed
 
-#: Common Japanese surnames in Latin letters; a longer list can be given in its place.
-JAPANESE = tuple(
-    "sato suzuki takahashi tanaka watanabe ito yamamoto nakamura kobayashi kato yoshida yamada sasaki yamaguchi matsumoto inoue kimura shimizu hayashi saito yamazaki mori abe ikeda hashimoto yamashita ishikawa nakajima maeda fujita ogawa goto okada hasegawa murakami kondo ishii sakamoto endo aoki fujii nishimura fukuda ota miura fujiwara okamoto matsuda nakagawa nakano harada ono tamura takeuchi kaneko wada nakayama ishida ueda morita kojima shibata hara miyazaki sakai kudo yokoyama miyamoto uchida takagi".split()
-)
+#: Japanese surnames in Latin letters.
+JAPANESE = fixed.JAPANESE
 
 
 def _any(keys: Column, words) -> Column:
