@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lexicon import fixed
-from .text import among
 
 ONSETS = "|".join(sorted(fixed.ONSETS, key=len, reverse=True))
 RIMES = "|".join(sorted(fixed.RIMES, key=len, reverse=True))
@@ -26,37 +25,3 @@ def plausible_syllable(token: Column) -> Column:
     t = F.lower(token)
     loose = t.rlike(r"^\p{L}+$") & t.rlike("[aeiouü]") & ~t.rlike("[^aeiouü]{4}")
     return (F.length(t) >= 1) & (F.length(t) <= 7) & ~t.rlike(FORBIDDEN) & (valid_phonetics(token) | loose)
-
-
-def splits(token: Column) -> Column:
-    """All cuts of a token in two, left to right, as structs (a, b)."""
-    cut = lambda i: F.struct(F.substring(token, F.lit(1), i).alias("a"), F.substring(token, i + 1, F.length(token)).alias("b"))
-    return F.when(F.length(token) >= 2, F.transform(F.sequence(F.lit(1), F.length(token) - 1), cut)).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
-
-
-def split_concat(token: Column, known: Column) -> Column:
-    """[a, b] of a fused given name, else null.  known: array of given syllables.
-
-    In order: a single hyphen; two equal halves; two capitalised parts; then
-    the first cut from the left into two anchors, or two known syllables, or a
-    known and a plausible one.  The first cut that fits is taken, not the best.
-    """
-    low = F.lower(token)
-    pair = lambda a, b: F.array(a, b)
-    half = F.length(token) / 2
-    anchors = among(fixed.ANCHORS)
-    has = lambda x: F.array_contains(known, x)
-    sure = lambda x: F.array_contains(anchors, x)
-    fit = lambda s: (sure(s["a"]) & sure(s["b"])) | (has(s["a"]) & has(s["b"])) | ((has(s["a"]) | has(s["b"])) & plausible_syllable(s["a"]) & plausible_syllable(s["b"]))
-    first = F.try_element_at(F.filter(splits(low), fit), F.lit(1))
-    at = F.length(first["a"])
-    hyphen = F.split(token, "-")
-    camel = F.regexp_extract_all(token, F.lit("[A-Z][a-z]+"), F.lit(0))
-    return (
-        F.when(F.length(token) < 3, F.lit(None))
-        .when(token.contains("-"), F.when((F.size(hyphen) == 2) & plausible_syllable(hyphen[0]) & plausible_syllable(F.get(hyphen, F.lit(1))), hyphen))
-        .when(sure(low) | has(low), F.lit(None))
-        .when((F.length(token) % 2 == 0) & (F.substring(low, F.lit(1), half.cast("int")) == F.substring(low, (half + 1).cast("int"), F.length(token))) & plausible_syllable(F.substring(low, F.lit(1), half.cast("int"))), pair(F.substring(token, F.lit(1), half.cast("int")), F.substring(token, (half + 1).cast("int"), F.length(token))))
-        .when((F.size(camel) == 2) & (F.array_join(camel, "") == token), camel)
-        .when(first.isNotNull(), pair(F.substring(token, F.lit(1), at), F.substring(token, at + 1, F.length(token))))
-    )

@@ -10,7 +10,7 @@ from ..lexicon import fixed
 # Character classes and patterns.
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2CEB0}-\x{2EBEF}\x{30000}-\x{3134F}"
 SEPARATORS = "·‧.‑-―﹘﹣－⁃₋•∙⋅˙ˑːˉˇ˘˚˛˜˝"
-HYPHENS = "-‐‒–—―﹘﹣－⁃₋'‘’"
+HYPHENS = "-‐‒–—―﹘﹣－⁃₋'"
 LEXEME = r"(?s)[（(][^)（）]*[)）]|[A-Z]\.\s|[A-Z]\.-[A-Z]\.|[A-Z]\.-[A-Z]|[_|=]|."
 CYRILLIC, LATIN = "проаехстикмн", "npoaexctukmh"
 WADE = r"(shih|ts'|tz'|ch'|szu|k'|t'|p'|hs|ts|tz|chi|ch|.)"
@@ -47,7 +47,7 @@ def clean_punct(name: Column) -> Column:
             .otherwise(x)
         )
 
-    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(LEXEME), F.lit(0)), one), "")
+    return F.when(name.rlike("[（(._|=]"), F.array_join(F.transform(F.regexp_extract_all(name, F.lit(LEXEME), F.lit(0)), one), "")).otherwise(name)
 
 
 def fullwidth(name: Column) -> Column:
@@ -76,6 +76,11 @@ def case_pattern(x: Column) -> Column:
     ).otherwise("mixed")
 
 
+def camel_pair(name: Column) -> Column:
+    """Whether a cleaned name is a single token that ``structural_split`` cuts at its capitals."""
+    return ~name.rlike(r"\s") & (smart_split(name) != name) & smart_split(name).rlike(r"^\p{L}{2,8} \p{L}{2,8}$")
+
+
 def structural_split(name: Column) -> Column:
     """A single token in two cases (LinShu, LU-Wang) becomes two."""
 
@@ -89,8 +94,13 @@ def structural_split(name: Column) -> Column:
     return let(name, one)
 
 
+def unsplit(name: Column) -> Column:
+    """A name cleaned of punctuation, full-width forms and look-alikes, before a fused token is cut."""
+    return collapse_ws(ocr_fix(clean_punct(name)))
+
+
 def preprocess(name: Column) -> Column:
-    return collapse_ws(structural_split(F.trim(ocr_fix(clean_punct(name)))))
+    return collapse_ws(structural_split(unsplit(name)))
 
 
 def comma_swap(name: Column) -> Column:
@@ -135,7 +145,7 @@ def wade_giles(low: Column) -> Column:
 
 
 #: Layers of spellings, the first that has a key counts.
-LAYERS = ("EXCEPTIONS", "CANTONESE_SURNAME_RULES", "CANTONESE_PHONETIC_RULES", "TAIWANESE_RULES", "ONE_LETTER")
+LAYERS = ("EXCEPTIONS", "GIVEN_TOKEN_RULES", "CANTONESE_SURNAME_RULES", "CANTONESE_PHONETIC_RULES", "TAIWANESE_RULES", "ONE_LETTER")
 
 
 def layered() -> dict[str, str]:
@@ -182,12 +192,14 @@ def compact_han(name: Column) -> Column:
 
 
 def is_camel(token: Column) -> Column:
-    return token.rlike(r"^(?:\p{Lu}\p{Ll}+){2,}$")
+    """A capital at the head, another one later, and not capitals alone."""
+    return token.rlike(r"^\p{Lu}.*\p{Lu}") & token.rlike(r"\p{Ll}")
 
 
 def malformed_camel(token: Column) -> Column:
+    """Two capitals or more, wherever they stand, among other letters."""
     ups = F.length(F.regexp_replace(token, r"\P{Lu}", ""))
-    return (ups >= 2) & token.rlike(r"\p{Ll}")
+    return (F.length(token) > 2) & (ups >= 2) & token.rlike(r"\p{Ll}")
 
 
 def cjk_chunks(name: Column) -> Column:
@@ -196,4 +208,8 @@ def cjk_chunks(name: Column) -> Column:
 
 def paren_hint(name: Column) -> Column:
     """``Roman (Roman) Roman``: the surname stands first."""
-    return name.rlike(r"^\s*[A-Za-z'\-]+\s*[（(]\s*[A-Za-z' \-]+\s*[)）]\s*[A-Za-z'\-]+\s*$")
+    return name.rlike(r"^\s*[A-Za-z][A-Za-z.'\-]*\s*[（(]\s*[A-Za-z][A-Za-z .'\-]*\s*[)）]\s*[A-Za-z][A-Za-z .'\-]*\s*$")
+
+
+def letters(token: Column) -> Column:
+    return F.regexp_replace(token, r"\P{L}", "")

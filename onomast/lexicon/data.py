@@ -1,102 +1,135 @@
 """The lexicon: surnames, given syllables and spellings as small DataFrames.
 
-The built-in tables are compact approximations from general knowledge of name
-frequencies; a fuller set is read from CSV files of the same columns.
+Sources are three tables: surnames in Han characters, given syllables with
+counts by place, and spellings of surnames.  What parsing looks up follows
+from them and is worked out once for an application: a few thousand rows.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import fixed
-
-#: Surnames in pinyin with rough shares per million, most frequent first.
-SURNAMES = """
-wang 71000 li 70000 zhang 66000 liu 52000 chen 47000 yang 32000 zhao 22000 huang 23000 zhou 21000 wu 20500
-xu 20000 sun 15500 hu 14000 zhu 13500 gao 12500 lin 12000 he 11800 guo 11700 ma 11500 luo 10500 liang 9600
-song 9200 zheng 8900 xie 8200 han 8000 tang 7600 feng 7400 yu 7300 dong 7200 xiao 6900 cheng 6400 cao 6300
-yuan 6000 deng 5900 peng 5700 fu 5500 zeng 5400 lu 5300 su 5200 jiang 5100 cai 4900 jia 4500 ding 4400 wei 4300
-xue 4100 ye 4000 yan 3900 pan 3600 du 3500 dai 3400 xia 3300 zhong 3200 tian 3100 ren 3000 fan 2900 fang 2800
-shi 2750 yao 2700 tan 2600 liao 2550 zou 2500 xiong 2450 jin 2400 lei 2350 hao 2300 kong 2250 bai 2200 cui 2150
-kang 2100 mao 2050 qiu 2000 qin 1950 gu 1900 hou 1850 shao 1800 meng 1750 long 1700 wan 1650 duan 1600 qian 1550
-yin 1450 yi 1350 chang 1300 qiao 1250 lai 1200 gong 1150 wen 1100 pang 1000 lan 900 ou 600 mu 550 hua 500
-ming 60 hong 450 jun 25 mei 160 ying 80 min 70 bo 90
-"""
-COMPOUNDS = """ou_yang 700 si_tu 160 si_ma 90 zhu_ge 120 shang_guan 140 huang_fu 80 xia_hou 70 zhang_sun 15 dong_fang 30 gong_sun 25"""
-#: Given syllables with rough counts as first and as last syllable of a given name.
-GIVEN = """
-wei 900 2200 xiao 5200 150 ming 1500 2100 hua 900 2000 jing 1400 1900 yu 2300 1500 hong 1500 1300 mei 900 800 jun 1100 1900
-li 900 1600 yan 1000 1700 feng 700 1600 hao 500 1000 ying 800 1400 jie 600 1500 hui 900 1500 xin 1200 900 lei 200 1300
-chen 300 700 qing 900 800 fang 300 1200 ping 300 1300 bo 500 800 tao 200 1100 peng 300 900 yang 500 1000 yi 1200 700
-zhi 1700 300 jian 1600 600 guo 1500 300 wen 1500 700 hai 1000 400 zi 900 100 jia 1100 200 ling 400 900 na 100 800
-lin 300 900 long 200 900 liang 300 900 qiang 50 900 gang 50 700 dan 300 700 min 500 1200 rui 600 600 kai 500 600
-bin 200 1100 chao 300 900 dong 500 900 fei 300 900 hang 100 500 han 300 500 heng 200 300 jin 900 500 ka 300 20 lan 200 700
-man 100 200 ning 200 600 qi 600 500 rong 400 800 shan 300 600 shu 800 200 song 200 500 ting 300 700 xiang 500 800 xue 900 300
-yong 900 400 yun 700 600 ze 400 50 zhen 600 400 bao 500 300 cheng 500 700 de 700 100 hong 1000 700 shi 500 200 tian 400 300
-xia 100 700 xi 400 300 yuan 500 900 yue 300 400 an 200 300 bei 100 100 chun 600 300 da 300 50 fu 400 300 guang 500 200 cui 300 60
-"""
+from ..functions.phonetics import plausible_syllable
+from ..functions.text import norm, norm_light
+from . import fixed, tables
 
+DEFAULT_LOGP = -15.0
+#: Share of its target's mass that a spelling keeps which is a surname by remapping alone.
+PENALTY_SHARE = math.exp(-4.0)
+COMPOUND_PENALTY, COMPOUND_FLOOR = 0.1, 0.1
+#: Most frequent character's share of a syllable, and its share among all keys: the scale of given-name log shares.
+GIVEN_SCALE = 1.0
+SMOOTHING = 0.5
 
 _BUILTIN: dict[str, Lexicon] = {}
-
-
-def _numbers(text: str, width: int) -> list[tuple]:
-    w = text.split()
-    return [(w[i].replace("_", " "), *map(float, w[i + 1 : i + width])) for i in range(0, len(w), width)]
+SURNAME = "surname string, ppm double"
+GIVEN = "syllable string, initial_count long, final_count long"
+ROMANIZATION = "spelling string, mandarin_target string, surname_ppm_as_written double, target_share double"
+KEY = "key string, ordinal int, ppm double, base boolean, compound boolean, whole string, as_written boolean, normal boolean, alias boolean, target string, share double, written_ppm double, parts_normal boolean"
 
 
 @dataclass
 class Lexicon:
-    """surname (key, ppm); given (syllable, initial_count, final_count); romanization (spelling, mandarin_target, surname_ppm_as_written, target_share)."""
+    """surname (surname, ppm), given (syllable, initial_count, final_count) and, if it isn't to be made by rule, romanization (spelling, mandarin_target, surname_ppm_as_written, target_share)."""
 
     surname: DataFrame
     given: DataFrame
-    romanization: DataFrame
+    romanization: DataFrame | None = None
+    unlisted: int = 0
     known: dict = field(default_factory=dict)
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.surname.sparkSession
+
     @classmethod
     def builtin(cls, spark: SparkSession) -> Lexicon:
         """The built-in tables, made once for an application."""
         app = spark.sparkContext.applicationId
         if app not in _BUILTIN:
             _BUILTIN.clear()
-            _BUILTIN[app] = cls._builtin(spark)
+            _BUILTIN[app] = cls(spark.createDataFrame(tables.surnames(), SURNAME), spark.createDataFrame(tables.given(), GIVEN), None, tables.UNLISTED)
         return _BUILTIN[app]
 
     @classmethod
-    def _builtin(cls, spark: SparkSession) -> Lexicon:
-        surname = spark.createDataFrame(_numbers(SURNAMES, 2) + _numbers(COMPOUNDS, 2), "key string, ppm double")
-        given = {}
-        for s, a, b in _numbers(GIVEN, 3):
-            given[s] = (given.get(s, (0, 0))[0] + int(a), given.get(s, (0, 0))[1] + int(b))
-        rows = [(s, a, b) for s, (a, b) in given.items()]
-        spelled = [(k, v.split("=")[0], 0.0, math.exp(-4)) for k, v in fixed.CANTONESE_SURNAMES.items()]
-        return cls(
-            surname,
-            spark.createDataFrame(rows, "syllable string, initial_count long, final_count long"),
-            spark.createDataFrame(spelled, "spelling string, mandarin_target string, surname_ppm_as_written double, target_share double"),
-        )
-
-    @classmethod
-    def from_csv(cls, spark: SparkSession, folder: str) -> Lexicon:
-        """Reads surname.csv, given.csv and romanization.csv, each with the columns named above, and checks them."""
+    def from_csv(cls, spark: SparkSession, folder: str, romanization: bool = True) -> Lexicon:
+        """Reads surname.csv, given.csv and, if wanted, romanization.csv, with the columns named above, and checks them."""
         read = lambda name, schema: spark.read.csv(f"{folder}/{name}.csv", header=True, schema=schema)
-        roman = read("romanization", "spelling string, mandarin_target string, surname_ppm_as_written double, target_share double")
-        fair = (F.col("target_share") > 0) & (F.col("target_share") <= 1) & (F.col("surname_ppm_as_written") >= 0)
-        roman = roman.withColumn("target_share", F.when(fair, F.col("target_share")).otherwise(F.raise_error(F.lit("bad romanization row")).cast("double")))
-        return cls(read("surname", "key string, ppm double"), read("given", "syllable string, initial_count long, final_count long"), roman)
+        roman = None
+        if romanization:
+            roman = read("romanization", ROMANIZATION)
+            fair = (F.col("target_share") > 0) & (F.col("target_share") <= 1) & (F.col("surname_ppm_as_written") >= 0) & ~F.isnan("surname_ppm_as_written")
+            roman = roman.withColumn("target_share", F.when(fair, F.col("target_share")).otherwise(F.raise_error(F.lit("bad romanization row")).cast("double")))
+        return cls(read("surname", SURNAME), read("given", GIVEN), roman)
+
+    def readings(self) -> DataFrame:
+        if "readings" not in self.known:
+            self.known["readings"] = han_readings(self.spark)
+        return self.known["readings"]
+
+    def keys(self) -> DataFrame:
+        """Surname keys with everything that a lookup by key gives; see ``KEY``, and logp and rank."""
+        if "keys" not in self.known:
+            rows = surname_keys(self)
+            logp, rank = surname_logp(rows), surname_rank(rows.where("ppm is not null").unionByName(_unlisted(self), allowMissingColumns=True))
+            out = rows.join(logp.select("key", "logp"), "key", "left").join(rank, "key", "left")
+            self.known["keys"] = local(out)
+        return self.known["keys"]
+
+    def syllables(self) -> DataFrame:
+        """(syllable, logp, initial_logp, final_logp, is_given, plausible, anchor)."""
+        if "syllables" not in self.known:
+            self.known["syllables"] = local(given_logp(self))
+        return self.known["syllables"]
+
+    def compounds(self) -> dict[str, dict]:
+        """Compound surnames, a few hundred: whole spelling (lower case, spaced, hyphenated or fused) to its target and what the target's key gives."""
+        if "compounds" not in self.known:
+            self.known["compounds"] = {r["key"]: r.asDict() for r in self.keys().where("compound").collect()}
+        return self.known["compounds"]
+
+    def han_ppm(self) -> dict[str, float]:
+        """Surnames in Han characters, a few hundred, and their shares."""
+        if "han" not in self.known:
+            self.known["han"] = dict(map(tuple, self.surname.groupBy("surname").agg(F.max("ppm")).collect()))
+        return self.known["han"]
+
+    def group_ppm(self) -> dict[str, float]:
+        """Surnames of two syllables or more in pinyin, spaced and fused, and their shares."""
+        if "groups" not in self.known:
+            read = {"".join(p) for _, _, p in _read_surnames(self) if len(p) > 1}
+            self.known["groups"] = {r[0]: r[1] for r in self.keys().where("ppm is not null").where(F.col("compound") | F.col("key").isin(*read)).select("key", "ppm").collect()}
+        return self.known["groups"]
+
+    def markers(self) -> DataFrame:
+        """(key, tier): keys that no Chinese name has; 1 Western, 2 Korean-only, 3 Japanese, 4 Vietnamese-only."""
+        if "markers" not in self.known:
+            tier = {w: i for i, words in reversed(list(enumerate((fixed.WESTERN, fixed.KOREAN_ONLY, fixed.JAPANESE, fixed.VIETNAMESE_ONLY), 1))) for w in words}
+            self.known["markers"] = self.spark.createDataFrame(list(tier.items()), "key string, tier int")
+        return self.known["markers"]
+
+    def place_defaults(self) -> tuple[float, float]:
+        """Log shares of a syllable that was never seen in first and in last place."""
+        if "defaults" not in self.known:
+            t = self.given.agg(F.sum("initial_count"), F.sum("final_count"), F.count("*")).first()
+            self.known["defaults"] = tuple(math.log(SMOOTHING / (t[i] + SMOOTHING * (t[2] + 1))) for i in (0, 1))
+        return self.known["defaults"]
+
+
+def local(df: DataFrame) -> DataFrame:
+    """A small table worked out once."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def han_readings(spark: SparkSession) -> DataFrame:
     """(ch, pinyin): the reading of each unified ideograph, without tones, ü as v; from the ICU library in Spark's own jars."""
     chars = [chr(c) for c in range(0x4E00, 0xA000)]
     icu = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Han-Latin")
-    import unicodedata
-
     read = icu.transliterate("\n".join(chars)).split("\n")
     rows = []
     for ch, r in zip(chars, read):
@@ -106,46 +139,154 @@ def han_readings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ch string, pinyin string")
 
 
+def normalised(spark: SparkSession, words) -> dict[str, str]:
+    """Each word's pinyin by the rules of ``norm``."""
+    df = spark.createDataFrame([(w,) for w in sorted(set(words))], "w string")
+    return dict(map(tuple, df.select("w", norm(F.col("w"))).collect()))
+
+
+def _read_surnames(lex: Lexicon) -> list[tuple[str, float, list[str]]]:
+    """(Han, ppm, readings of its characters) in the order of the table."""
+    reading = dict(map(tuple, lex.readings().collect()))
+    reading |= fixed.SURNAME_READINGS
+    return [(s, p or 0.0, [reading.get(c, c) for c in s]) for s, p in lex.surname.select("surname", "ppm").collect() if s]
+
+
+def romanizations(lex: Lexicon, mass: dict[str, float], attested: set[str], pinyin: dict[str, str], syllables: set[str]) -> dict[str, tuple[str, float, float]]:
+    """spelling: (target, ppm as written, share of the target's mass), by rule where no table is given.
+
+    Cantonese and Taiwanese surname spellings have the whole mass, except such
+    as Koreans use far more; every other spelling that only remapping makes a
+    surname keeps ``PENALTY_SHARE`` of it, where the target's own mass counts
+    those Cantonese spellings that look like it.
+    """
+    if lex.romanization is not None:
+        return {r[0]: (r[1], r[2], r[3]) for r in lex.romanization.collect()}
+    part_of = {k: PENALTY_SHARE if k in fixed.KOREAN_DOMINANT else 1.0 for k in fixed.CANTONESE_SURNAMES if " " not in k}
+    target_of = {k: fixed.CANTONESE_SURNAMES[k] for k in part_of} | fixed.TAIWANESE_SURNAMES
+    grown = dict(mass)
+    for k, target in target_of.items():
+        grown[k] = max(grown.get(k, 0.0), grown.get(target, 0.0) * part_of.get(k, 1.0))
+    out = {k: (target, grown.get(target, 0.0) * part_of.get(k, 1.0), part_of.get(k, 1.0)) for k, target in target_of.items()}
+    spelled = {*fixed.EXCEPTIONS, *fixed.CANTONESE_SURNAME_RULES, *fixed.CANTONESE_PHONETIC_RULES, *fixed.TAIWANESE_RULES, *fixed.WADE_GILES_SYLLABLES, *fixed.GIVEN_TOKEN_RULES, *syllables}
+    for s in sorted(spelled):
+        target = pinyin.get(s, s)
+        if len(s) > 1 and s.isascii() and s.isalpha() and s not in out and s not in attested and target != s and grown.get(target, 0.0) > 0:
+            out[s] = (target, grown[target] * PENALTY_SHARE, PENALTY_SHARE)
+    return out
+
+
+def surname_keys(lex: Lexicon) -> DataFrame:
+    """Rows of ``KEY``: every spelling that is, or leads to, a surname."""
+    spark = lex.spark
+    read = _read_surnames(lex)
+    syllables = {r[0] for r in lex.given.select("syllable").collect()}
+    tables_of_spellings = (fixed.EXCEPTIONS, fixed.CANTONESE_SURNAME_RULES, fixed.CANTONESE_PHONETIC_RULES, fixed.TAIWANESE_RULES, fixed.WADE_GILES_SYLLABLES, fixed.GIVEN_TOKEN_RULES, fixed.CANTONESE_SURNAMES, fixed.TAIWANESE_SURNAMES)
+    words = {" ".join(p) for _, _, p in read} | {"".join(p) for _, _, p in read} | syllables | set(fixed.COMPOUND_VARIANTS) | set(fixed.COMPOUND_VARIANTS.values())
+    for t in tables_of_spellings:
+        words |= set(t)
+    words |= {k.replace(" ", "") for k in words} | set(fixed.PINYIN_ALIASES.values())
+    pinyin = normalised(spark, words)
+
+    mass: dict[str, float] = {}
+    spellings: set[str] = set()
+    most = lambda key, ppm: mass.__setitem__(key, max(mass.get(key, 0.0), ppm))
+    for han, ppm, parts in read:
+        most(han, ppm)
+        most("".join(parts), ppm)
+        spellings |= {" ".join(parts), "".join(parts)}
+    for usual, surname in fixed.PINYIN_ALIASES.items():
+        if usual in mass:
+            most(surname, mass[usual])
+            spellings.add(surname)
+    attested = {s.replace(" ", "") for s in spellings}
+    roman = romanizations(lex, mass, attested, pinyin, syllables)
+    aliases = set()
+    for spelling, target in fixed.CANTONESE_SURNAMES.items():
+        spellings.add(spelling)
+        row = roman.get(spelling)
+        own = row[1] if row and row[2] != 1.0 else mass.get(target, 0.0)
+        if own > 0:
+            most(spelling, own)
+            aliases.add(spelling)
+    full = {s for s, (_, _, part) in roman.items() if part == 1.0}
+    spellings |= full
+    aliases |= full
+
+    base = set(mass)
+    compounds = {s for s in spellings if " " in s} | set(fixed.COMPOUND_VARIANTS.values())
+    for c in sorted(compounds):
+        a, *b = c.split()
+        if len(b) == 1 and mass.get(c, 0.0) <= 0:
+            mass[c] = max(math.sqrt(mass.get(a, 1.0) * mass.get(b[0], 1.0)) * COMPOUND_PENALTY, COMPOUND_FLOOR)
+    whole = {variant: target for variant, target in fixed.COMPOUND_VARIANTS.items()}
+    for variant, target in whole.items():
+        if target in mass:
+            mass[variant] = mass[target]
+    lifted = {s: t for s, (t, ppm, part) in roman.items() if part == 1.0 and ppm > mass.get(s, 0.0)}
+    for s in lifted:
+        mass[s] = roman[s][1]
+
+    written = {s.replace(" ", "") for s in spellings}
+    normal = {pinyin.get(s, s).replace(" ", "") for s in spellings}
+    spaced = {pinyin.get(c, c) for c in compounds} | compounds
+    hyphened = {c.replace(" ", "-"): c for c in compounds if len(c.split()) == 2}
+    ends = {*hyphened.items(), *((c, c) for c in spaced), *whole.items()}
+    target_of = {k: v for k, v in ends} | hyphened | {c: c for c in spaced} | whole
+    place = {k: i for i, k in enumerate(mass)}
+    rows = []
+    for i, key in enumerate(sorted({*mass, *written, *normal, *target_of, *roman}, key=lambda k: (place.get(k, len(place)), k))):
+        r = roman.get(key)
+        rows.append((key, i, mass.get(key), key in base, key in target_of, target_of.get(key), key in written, key in normal, key in aliases, lifted.get(key), r[2] if r else None, r[1] if r else None, all(p in normal for p in target_of.get(key, "").split())))
+    return spark.createDataFrame(rows, KEY)
+
+
+def _unlisted(lex: Lexicon) -> DataFrame:
+    return lex.spark.createDataFrame([(f"\u0000{i}", tables.unlisted_ppm(i), 10**6 + i) for i in range(lex.unlisted)], "key string, ppm double, ordinal int")
+
+
 def surname_freq(lex: Lexicon) -> DataFrame:
-    """(key, ppm): the greatest share of each key; aliases, and Cantonese spellings, take their target's."""
-    spark = lex.surname.sparkSession
-    base = lex.surname.groupBy("key").agg(F.max("ppm").alias("ppm"))
-    alias = spark.createDataFrame(list(fixed.PINYIN_ALIASES.items()), "source string, key string")
-    # The reading that a surname takes gets at least the mass of the usual reading.
-    up = alias.join(base.withColumnRenamed("key", "source"), "source").select("key", "ppm")
-    spaced = base.unionByName(up).groupBy("key").agg(F.max("ppm").alias("ppm"))
-    roman = lex.romanization.join(spaced.withColumnRenamed("key", "mandarin_target"), "mandarin_target", "left")
-    mass = F.when(F.col("target_share") >= 1, F.coalesce("ppm", F.lit(0.0))).otherwise(F.greatest(F.col("surname_ppm_as_written"), F.col("target_share") * F.coalesce("ppm", F.lit(0.0))))
-    spelled = roman.select(F.col("spelling").alias("key"), mass.alias("ppm")).where("ppm > 0")
-    compact = spaced.where("key like '% %'").select(F.replace("key", F.lit(" "), F.lit("")).alias("key"), "ppm")
-    return spaced.unionByName(spelled).unionByName(compact).groupBy("key").agg(F.max("ppm").alias("ppm"))
+    """(key, ppm): the greatest share of each key; aliases, Cantonese and compound spellings have theirs from their target."""
+    return lex.keys().where("ppm is not null").select("key", "ppm")
 
 
-def surname_logp(freq: DataFrame, base: DataFrame) -> DataFrame:
-    """(key, ppm, logp): log of a key's share of the base table's mass."""
-    total = base.agg(F.sum("ppm").alias("total"))
-    return freq.crossJoin(F.broadcast(total)).select("key", "ppm", F.log(F.col("ppm") / F.col("total")).alias("logp"))  # one row
+def surname_logp(rows: DataFrame) -> DataFrame:
+    """(key, ppm, logp): log of a key's share of the base keys' mass, or for compounds of base and compounds; a compound as written has its target's, a lifted spelling its own target's."""
+    total = rows.agg(F.sum(F.when(F.col("base"), F.col("ppm"))).alias("plain"), F.sum(F.when(F.col("base") | (F.col("whole") == F.col("key")), F.col("ppm"))).alias("all"))
+    of = rows.where("ppm is not null").crossJoin(F.broadcast(total))  # one row
+    own = of.select("key", "ppm", "whole", "target", F.log(F.col("ppm") / F.when(F.col("base"), F.col("plain")).otherwise(F.col("all"))).alias("own"))
+    other = own.select(F.col("key").alias("other"), F.col("own").alias("theirs"))
+    return own.join(F.broadcast(other), F.coalesce("target", "whole") == F.col("other"), "left").select("key", "ppm", F.coalesce("theirs", "own").alias("logp"))
 
 
-def surname_rank(freq: DataFrame) -> DataFrame:
-    """(key, rank): place by share, ascending, from 0 to 1; ties by key."""
-    w = Window.orderBy("ppm", "key")
-    n = freq.agg(F.count("*").alias("n"))
-    return freq.select("key", (F.row_number().over(w) - 1).alias("r")).crossJoin(F.broadcast(n)).select("key", (F.col("r") / F.greatest(F.col("n") - 1, F.lit(1))).alias("rank"))
+def surname_rank(rows: DataFrame) -> DataFrame:
+    """(key, rank): place by share, ascending, from 0 to 1; ties in the order of the lexicon."""
+    w = Window.orderBy("ppm", "ordinal", "key")
+    n = rows.agg(F.count("*").alias("n"))
+    return rows.select("key", (F.row_number().over(w) - 1).alias("r")).crossJoin(F.broadcast(n)).select("key", (F.col("r") / F.greatest(F.col("n") - 1, F.lit(1))).alias("rank"))
 
 
 def given_logp(lex: Lexicon) -> DataFrame:
-    """(syllable, logp, initial_logp, final_logp): share of all, and half-smoothed shares of first and of last places."""
+    """(syllable, logp, initial_logp, final_logp, is_given, plausible, anchor): log shares of all places, and half-smoothed ones of first and of last places.
+
+    Syllables written with v for ü also count under u.
+    """
     t = lex.given.agg(F.sum("initial_count").alias("ti"), F.sum("final_count").alias("tf"), F.count("*").alias("v"))
-    smooth = lambda c, total: F.log((F.col(c) + 0.5) / (F.col(total) + 0.5 * (F.col("v") + 1)))
-    return lex.given.crossJoin(F.broadcast(t)).select(
-        "syllable",
-        F.log((F.col("initial_count") + F.col("final_count")) / (F.col("ti") + F.col("tf"))).alias("logp"),
-        smooth("initial_count", "ti").alias("initial_logp"),
-        smooth("final_count", "tf").alias("final_logp"),
+    smooth = lambda c, total: F.log((F.col(c) + SMOOTHING) / (F.col(total) + SMOOTHING * (F.col("v") + 1)))
+    counted = lex.given.crossJoin(F.broadcast(t))  # one row
+    place = counted.select("syllable", smooth("initial_count", "ti").alias("initial_logp"), smooth("final_count", "tf").alias("final_logp"))
+    folded = F.regexp_replace("syllable", "^([ln])v", "$1u")
+    share = (
+        counted.where(~F.col("syllable").isin(*tables.BYLINE_ONLY))
+        .groupBy(folded.alias("syllable"))
+        .agg(F.log(GIVEN_SCALE * F.max((F.col("initial_count") + F.col("final_count")) / (F.col("ti") + F.col("tf")))).alias("logp"))
+        .withColumns({"is_given": F.lit(True), "plausible": plausible_syllable(F.col("syllable"))})
     )
+    anchors = lex.spark.createDataFrame([(a, True) for a in fixed.ANCHORS], "syllable string, anchor boolean")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return place.join(share, "syllable", "full").join(anchors, "syllable", "full").select("syllable", "logp", "initial_logp", "final_logp", no("is_given"), no("plausible"), no("anchor"))
 
 
 def hyphen_map(lex: Lexicon) -> DataFrame:
     """(hyphenated, spaced) of compound surnames."""
-    return lex.surname.where("key like '% %'").select(F.replace("key", F.lit(" "), F.lit("-")).alias("hyphenated"), F.col("key").alias("spaced")).distinct()
+    return lex.keys().where("compound and key like '%-%'").select(F.col("key").alias("hyphenated"), F.col("whole").alias("spaced"))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .parse import best
+from .render import NOT_PLAUSIBLE
+
+UNPARSED = "no valid parse found"
 
 # Thresholds of batch voting.
 THRESHOLD = 0.55
@@ -19,15 +22,18 @@ PROMOTE_SHARE, SHAPE_LETTERS, SHAPE_SHARE, LOW_MEDIAN = 0.75, 6, 0.5, 130.0
 HIGH_PPM, MEDIUM_PPM = 1000.0, 100.0
 
 
-def entries(scored: DataFrame) -> DataFrame:
-    """scored names (cands, tokens, script, all_caps, failed) as voters: own best parse with and without the guarded bonus."""
+def entries(table: DataFrame) -> DataFrame:
+    """Names with their own results as voters: best parse without (own) and with (alone) the guarded bonus, and the weight of the vote."""
     gap = F.sort_array(F.transform("cands", lambda c: c["plain"]), asc=False)
-    return scored.withColumns(
+    cands = F.coalesce(F.size("cands"), F.lit(0))
+    latin = F.col("failed").isNull() & (F.col("script") == "latin_only") & (cands > 0)
+    return table.withColumns(
         {
-            "own": best(F.col("cands"), "plain"),
-            "single": best(F.col("cands"), "score"),
-            "weight": F.when(F.size("cands") < 2, 1.0).otherwise(F.greatest(F.lit(0.1), 2 * (gap[0] - F.get(gap, F.lit(1))))),
-            "votes": F.coalesce(F.col("failed").isNull() & (F.col("script") == "latin_only") & ~F.col("all_caps") & (F.size("cands") > 0), F.lit(False)),
+            "own": F.when(latin, best(F.col("cands"), "plain")),
+            "alone": F.when(latin, best(F.col("cands"), "score")),
+            "weight": F.when(cands < 2, 1.0).otherwise(F.greatest(F.lit(0.1), 2 * (F.get(gap, F.lit(0)) - F.get(gap, F.lit(1))))),
+            "votes": F.coalesce(latin & ~F.col("caps"), F.lit(False)),
+            "n_cands": cands,
         }
     )
 
@@ -35,20 +41,20 @@ def entries(scored: DataFrame) -> DataFrame:
 def promote(e: DataFrame) -> DataFrame:
     """Adds ``vote``: the own format, turned to given-first for two-token names
     whose guarded best is that, if the batch supports it widely enough."""
-    turned = F.col("votes") & (F.col("own.format") == "surname_first") & (F.size("tokens") == 2) & (F.col("single.format") == "given_first")
+    turned = F.col("votes") & (F.col("own.form") == "surname_first") & (F.size("roman") == 2) & (F.col("alone.form") == "given_first")
     e = e.withColumn("turned", F.coalesce(turned, F.lit(False)))
     first = F.get("facts", F.lit(0))
-    shape = F.length(F.regexp_replace(F.get("tokens", F.lit(0)), "[-']", "")) >= SHAPE_LETTERS
+    shape = F.length(F.regexp_replace(F.get("roman", F.lit(0)), "[-']", "")) >= SHAPE_LETTERS
     g = e.groupBy("batch_id").agg(
         F.sum(F.col("votes").cast("int")).alias("n"),
         F.sum(F.col("turned").cast("int")).alias("p"),
-        F.sum((F.col("votes") & (F.col("own.format") == "given_first")).cast("int")).alias("gf"),
+        F.sum((F.col("votes") & (F.col("own.form") == "given_first")).cast("int")).alias("gf"),
         F.sum((F.col("turned") & shape).cast("int")).alias("shaped"),
-        F.percentile(F.when(F.col("turned"), first["ppm"]), F.lit(0.5)).alias("med"),
+        F.percentile(F.when(F.col("turned"), first["ev_ppm"]), F.lit(0.5)).alias("med"),
     )
     enough = (F.col("p") > 0) & ((F.col("p") + F.col("gf")) >= PROMOTE_SHARE * F.col("n")) & ((F.col("shaped") >= SHAPE_SHARE * F.col("p")) | (F.col("med") < LOW_MEDIAN))
     e = e.join(g.select("batch_id", enough.alias("promote")), "batch_id")
-    return e.withColumn("vote", F.when(F.col("votes"), F.when(F.col("promote") & F.col("turned"), "given_first").otherwise(F.col("own.format"))))
+    return e.withColumn("vote", F.when(F.col("votes"), F.when(F.col("promote") & F.col("turned"), "given_first").otherwise(F.col("own.form"))))
 
 
 def position_strength(ppm: Column) -> Column:
@@ -59,7 +65,7 @@ def votes(e: DataFrame) -> DataFrame:
     """One row per batch: counts, weights, unopposed counts and tie-break strengths."""
     sf, gf = F.col("vote") == "surname_first", F.col("vote") == "given_first"
     one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
-    two = F.col("votes") & (F.size("tokens") == 2)
+    two = F.col("votes") & (F.size("roman") == 2)
     strength = lambda i: F.coalesce(F.sum(F.when(two, position_strength(F.get("facts", F.lit(i))["ppm"])).otherwise(0)), F.lit(0))
     return e.groupBy("batch_id").agg(
         F.count("*").alias("size"),
@@ -68,14 +74,14 @@ def votes(e: DataFrame) -> DataFrame:
         one(gf).alias("given_first_count"),
         F.coalesce(F.sum(F.when(sf, F.col("weight"))), F.lit(0.0)).alias("sf_weight"),
         F.coalesce(F.sum(F.when(gf, F.col("weight"))), F.lit(0.0)).alias("gf_weight"),
-        one(sf & (F.size("cands") == 1)).alias("sf_alone"),
-        one(gf & (F.size("cands") == 1)).alias("gf_alone"),
+        one(sf & (F.col("n_cands") == 1)).alias("sf_alone"),
+        one(gf & (F.col("n_cands") == 1)).alias("gf_alone"),
         strength(0).alias("sf_strength"),
         strength(1).alias("gf_strength"),
     )
 
 
-def pattern(v: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def pattern(v: DataFrame, threshold: float = THRESHOLD, minimum: int = MIN_BATCH) -> DataFrame:
     """Adds dominant_format, decision_confidence, confidence, vote_margin and threshold_met to votes."""
     sf, gf = F.col("surname_first_count"), F.col("given_first_count")
     sw, gw = F.round("sf_weight", 6), F.round("gf_weight", 6)
@@ -91,19 +97,35 @@ def pattern(v: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         {
             "confidence": F.when(total == 0, 0.0).otherwise(F.when(first, sf).otherwise(gf) / F.greatest(total, F.lit(1))),
             "vote_margin": F.when(voters == 0, 0.0).otherwise(F.abs(sf - gf) / F.greatest(voters, F.lit(1))),
-            "threshold_met": (total > 0) & enough & (F.col("size") >= MIN_BATCH),
+            "threshold_met": (total > 0) & enough & (F.col("size") >= minimum),
         }
     )
 
 
 def apply(e: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Adds ``chosen`` to voters' rows: under a pattern that met its threshold
-    the best candidate of its format, if there is one; else, and for rows
-    that don't vote, the parse of the name by itself."""
+    """Rows under their batch's pattern, with the parse that counts and its result.
+
+    Under a pattern that met its threshold a voter takes its best candidate of
+    that format, if there is one, else its own; other names keep the result
+    that they have by themselves.  Under none, Latin names take their best
+    candidate in the order as written.
+    """
     e = e.join(patterns.select("batch_id", "dominant_format", "threshold_met", "decision_confidence", "vote_margin", "total_count"), "batch_id")
     fitting = best(F.col("cands"), "plain", F.col("dominant_format"))
-    chosen = F.when(F.col("votes") & F.col("threshold_met"), F.coalesce(fitting, F.col("own"))).otherwise(F.col("single"))
-    return e.withColumn("chosen", chosen).withColumn("changed", F.coalesce(F.col("chosen.format") != F.col("single.format"), F.lit(False)))
+    latin = F.col("failed").isNull() & (F.col("script") == "latin_only")
+    cand = F.when(F.col("threshold_met"), F.when(F.col("votes"), F.coalesce(fitting, F.col("own")))).otherwise(F.when(latin, F.col("alone")))
+    e = e.withColumns({"_c": cand, "_latin": latin})
+    mine = F.col("_c").isNotNull()
+    lost = ~F.col("threshold_met") & F.col("_latin") & ~mine
+    error = F.when(mine, F.when(F.col("_c.r.result").isNull(), NOT_PLAUSIBLE)).when(lost, UNPARSED).otherwise(F.col("error"))
+    r, form = F.when(mine, F.col("_c.r")).otherwise(F.col("r")), F.when(mine, F.col("_c.form")).otherwise(F.col("choice.form"))
+    e = e.withColumns({"error": error, "_r": r, "chosen": F.struct(F.when(mine, F.col("_c.s")).otherwise(F.col("choice.s")).alias("s"), form.alias("form"))})
+    ok = F.col("error").isNull()
+    parts = {c: F.when(ok, F.col("_r")[c]).otherwise("") for c in ("result", "surname", "given", "middle")}
+    lists = {c: F.when(ok, F.col("_r")[c]) for c in ("surname_tokens", "given_tokens", "middle_tokens")}
+    e = e.withColumns({"success": ok, **parts, **lists, "components": F.when(ok, F.col("_r")["order"]), "order": F.when(ok, F.col("chosen.form")).otherwise("mixed")})
+    changed = F.col("threshold_met") & F.col("votes") & ok & (F.col("alone.form") != F.col("order"))
+    return e.withColumns({"changed": F.coalesce(changed, F.lit(False)), "confidence": F.when(F.col("alone").isNull(), F.when(ok, 1.0).otherwise(0.0)).otherwise(confidence(F.col("cands")))}).drop("_c", "_r", "_latin")
 
 
 def improvements(applied: DataFrame) -> DataFrame:
@@ -112,10 +134,10 @@ def improvements(applied: DataFrame) -> DataFrame:
 
 
 def confidence(cands: Column) -> Column:
-    """Softmax share of the best candidate; 1 if it is alone, 0 without candidates."""
-    top = F.array_max(F.transform(cands, lambda c: c["plain"]))
-    total = F.aggregate(cands, F.lit(0.0), lambda s, c: s + F.exp(c["plain"] - top))
-    return F.when(F.size(cands) == 0, 0.0).when(F.size(cands) == 1, 1.0).otherwise(1 / total)
+    """Softmax share of the best candidate; 1 if it is alone."""
+    top = F.array_max(F.transform(cands, lambda c: c["score"]))
+    total = F.aggregate(cands, F.lit(0.0), lambda s, c: s + F.exp(c["score"] - top))
+    return F.when(F.size(cands) == 1, 1.0).otherwise(1 / total)
 
 
 def softmax_window(exploded: DataFrame) -> DataFrame:

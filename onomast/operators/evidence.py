@@ -2,36 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import lookup
+from ..lexicon.data import Lexicon
+from .facts import spaced_tables
 
-def evidence(applied: DataFrame) -> DataFrame:
+
+def span_key(start: Column, width: Column, lex: Lexicon) -> Column:
+    """What one or two tokens are looked up by as a surname: a compound surname's pinyin, or their own keys."""
+    target, _, _ = spaced_tables(lex)
+    a, b = F.get("facts", start), F.get("facts", start + 1)
+    pair = F.when(F.array_contains("pairs", start), lookup(target, F.concat_ws(" ", a["low"], b["low"])))
+    keys = F.array_join(F.transform(F.slice("facts", start + 1, F.greatest(width, F.lit(0))), lambda t: t["ev_key"]), " ")
+    return F.when(width == 1, F.coalesce(a["comp"]["target"], a["ev_key"])).otherwise(F.coalesce(F.when(width == 2, pair), keys))
+
+
+def span_ppm(start: Column, width: Column, lex: Lexicon) -> Column:
+    """Share of the surname that one or two tokens spell, as they are written."""
+    a = F.get("facts", start)
+    table = {k: repr(v) for k, v in lex.group_ppm().items()}
+    group = F.coalesce(lookup(table, span_key(start, width, lex)).cast("double"), F.lit(0.0))
+    return F.when((width == 1) & a["comp"].isNull(), a["ev_ppm"]).otherwise(group)
+
+
+def span(s: Column, form: Column, n: Column) -> Column:
+    """(position, start, width) of the surname's tokens: first, last or internal; null where it stands at the end that its format doesn't name."""
+    start, width = F.array_min(s), F.size(s)
+    position = F.when((form == "surname_first") & (start == 0), "first").when((form == "given_first") & (start + width == n), "last").when((start > 0) & (start + width < n), "internal")
+    return F.when(position.isNotNull(), F.struct(position.alias("position"), start.alias("start"), width.alias("width")))
+
+
+def evidence(applied: DataFrame, lex: Lexicon) -> DataFrame:
     """Rows of ``batch.apply`` with the selected format, where the surname stands and how common it and its alternative at the other end are."""
-    n, width = F.size("tokens"), F.size("chosen.s")
-    first, last = F.get("facts", F.lit(0)), F.get("facts", n - 1)
-    start = F.get("chosen.s", F.lit(0))
-    position = F.when(F.col("chosen").isNull(), "unknown").when(start == 1, "first").when(start + width - 1 == n, "last").otherwise("internal")
-    freq = lambda a: F.when(width == 1, F.get("facts", a - 1)["ppm"])
-    own = freq(start)
-    other = F.when(position == "first", freq(n)).when(position == "last", freq(F.lit(1)))
-    return applied.select(
+    n = F.size("facts")
+    read = F.coalesce(n > 0, F.lit(False)) & F.col("gate").isNull()
+    rows = applied.withColumn("_s", F.when(F.col("success") & read, span(F.col("chosen.s"), F.col("chosen.form"), n)))
+    start, width = F.col("_s.start"), F.col("_s.width")
+    end = F.col("_s.position").isin("first", "last")
+    other = F.when(F.col("_s.position") == "first", n - width).otherwise(F.lit(0))
+    rows = rows.withColumns({"_own": F.when(end, span_ppm(start, width, lex)), "_alt": F.when(end, span_ppm(other, width, lex))})
+    form = F.when(F.col("success"), F.col("order")).otherwise("mixed")
+    done = F.col("threshold_met") & F.col("votes") & F.col("success")
+    return rows.select(
         "batch_id",
         "pos",
         "name",
-        F.coalesce("chosen.format", F.lit("mixed")).alias("selected_format"),
-        position.alias("selected_surname_position"),
-        width.alias("selected_surname_token_count"),
-        first["ppm"].alias("first_ppm"),
-        last["ppm"].alias("last_ppm"),
-        own.alias("selected_surname_frequency"),
-        other.alias("alternate_surname_frequency"),
-        F.when(other > 0, own / other).alias("selected_surname_frequency_ratio"),
+        F.when(read, F.col("roman")).otherwise(F.array().cast("array<string>")).alias("raw_tokens"),
+        F.when(read, n).otherwise(0).alias("raw_token_count"),
+        F.when(F.col("gate").isNotNull(), "rejected_input").otherwise(F.col("script")).alias("script_representation"),
+        F.col("votes").alias("batch_participant"),
+        F.coalesce(done, F.lit(False)).alias("batch_applied"),
         F.col("changed").alias("batch_changed_format"),
+        F.coalesce("alone.form", form).alias("individual_format"),
+        form.alias("selected_format"),
+        F.coalesce("_s.position", F.lit("unknown")).alias("selected_surname_position"),
+        F.coalesce(width, F.lit(0)).alias("selected_surname_token_count"),
+        F.when(read, F.get("facts", F.lit(0))["ev_ppm"]).alias("first_ppm"),
+        F.when(read, F.get("facts", n - 1)["ev_ppm"]).alias("last_ppm"),
+        F.col("_own").alias("selected_surname_frequency"),
+        F.col("_alt").alias("alternate_surname_frequency"),
+        F.when(F.col("_alt") > 0, F.col("_own") / F.col("_alt")).alias("selected_surname_frequency_ratio"),
+        F.coalesce("caps", F.lit(False)).alias("has_all_caps_token"),
         F.col("dominant_format").alias("batch_dominant_format"),
         F.col("threshold_met").alias("batch_threshold_met"),
         F.col("total_count").alias("batch_total_count"),
         F.col("decision_confidence").alias("batch_confidence"),
         F.col("vote_margin").alias("batch_vote_margin"),
-        F.col("script").alias("script_representation"),
     )

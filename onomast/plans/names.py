@@ -1,75 +1,139 @@
-"""Whole plans: single names, batches of names, and papers with their pools."""
+"""Whole plans: single names, batches of names, and papers with their pools.
+
+All that a name says by itself is worked out once for each distinct name
+(``name_table``); batches, evidence and routing join it by the name.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import all_caps, among, paren_hint, route_tokens, script_class
+from ..functions.text import CJK, all_caps, among, camel_pair, cjk_chunks, comma_swap, compact_han, norm, paren_hint, preprocess, route_tokens, tokenize, unsplit
 from ..lexicon.data import Lexicon
-from ..operators import batch, ethnicity, gates, routing
+from ..operators import batch, ethnicity, gates, routing, structural
 from ..operators.evidence import evidence
-from ..operators.facts import name_facts, prepare
+from ..operators.facts import name_facts, spaced_tables, strings, token_facts
+from ..operators.japanese import heuristic
 from ..operators.parse import scored
-from ..operators.render import NOT_PLAUSIBLE, given_fits, render
+from ..operators.render import NOT_PLAUSIBLE, render
+from ..operators.render import RESULT as PARTS
 from .stage import keep
 
 UNKNOWN = "name not recognised as Chinese"
-
-
-def known_given(lex: Lexicon) -> list[str]:
-    """The lexicon's given syllables: a few hundred, gathered once."""
-    return [r[0] for r in lex.given.select("syllable").distinct().orderBy("syllable").collect()]
-
-
-def known_surnames(lex: Lexicon) -> list[str]:
-    return [r[0] for r in lex.surname.select("key").distinct().orderBy("key").collect()]
-
-
-def parsed(names: DataFrame, lex: Lexicon) -> DataFrame:
-    """names (batch_id, pos, name) with facts, candidates and the reason of failure, if any."""
-    surnames = among(known_surnames(lex))
-    p = prepare(names).withColumns({"gate": gates.failure(F.col("name"), surnames), "script": script_class(F.col("cleaned")), "all_caps": all_caps(F.col("tokens"))})
-    p = scored(name_facts(p, lex), paren_hint(F.col("name")))
-    failed = F.coalesce(
-        "gate",
-        F.when(F.coalesce(F.size("tokens"), F.lit(0)) < 2, gates.SHORT),
-        ethnicity.classify(F.col("facts")),
-        F.when(F.size("cands") == 0, UNKNOWN),
-    )
-    return p.withColumn("failed", failed)
-
-
-def results(rows: DataFrame, lex: Lexicon, choice: str) -> DataFrame:
-    """Adds success, result, surname, given, middle, order and error for the parse in column ``choice``; a failure has an empty result."""
-    s, g = F.col(f"{choice}.s"), F.col(f"{choice}.g")
-    rows = rows.withColumn("_r", render(F.col("facts"), s, g, among(known_given(lex))))
-    error = F.coalesce("failed", F.when(~given_fits(F.col("facts"), g), NOT_PLAUSIBLE))
-    ok = error.isNull()
-    rows = rows.withColumns({"success": ok, "error": error})
-    for c in ("result", "surname", "given", "middle"):
-        rows = rows.withColumn(c, F.when(F.col("success"), F.col(f"_r.{c}")).otherwise(""))
-    return rows.withColumn("order", F.when(F.col("success"), F.col(f"{choice}.format")).otherwise("mixed")).drop("_r")
-
-
+UNPARSED = "no valid parse found"
 RESULT = ["batch_id", "pos", "name", "success", "result", "surname", "given", "middle", "order", "error"]
-
-
-def normalize_names(names: DataFrame, lex: Lexicon | None = None) -> DataFrame:
-    """Each name by itself.  Stateless: the plan also holds for a stream of micro-batches."""
+R = "struct<result:string,surname:string,given:string,middle:string,surname_tokens:array<string>,given_tokens:array<string>,middle_tokens:array<string>,order:array<string>>"
+
+
+def prepared(names: DataFrame) -> DataFrame:
+    """Distinct names (name) cleaned and cut into tokens, with the gates that need no lexicon."""
+    n = names.select("name").distinct()
+    bare = unsplit(F.col("name"))
+    n = n.withColumns({"gate": gates.failure(F.col("name")), "cleaned": preprocess(F.col("name")), "camel": camel_pair(bare), "hint": F.coalesce(paren_hint(F.col("name")), F.lit(False))})
+    n = n.withColumns({"tokens": tokenize(comma_swap(F.col("cleaned"))), "compact": compact_han(F.col("name"))})
+    spaced = F.trim("name").rlike(r"(?U)\s")
+    return n.withColumns({"has_han": F.coalesce(structural.has_han(F.col("cleaned")), F.lit(False)), "all_han": F.coalesce((F.col("compact") != "") & ~spaced, F.lit(False)), "camel": F.coalesce("camel", F.lit(False))})
+
+
+def han_gate(rows: DataFrame, lex: Lexicon) -> DataFrame:
+    """Rows with Han whose gate also rejects initials before a transliteration."""
+    dominant = among(sorted(k for k, v in _ev_dominant(lex).items()))
+    pure = among(sorted(set(spaced_tables(lex)[0].values())))
+    first = F.get(F.col("py"), F.lit(0))["p"]
+    two = F.concat_ws(" ", norm(first), norm(F.get(F.col("py"), F.lit(1))["p"]))
+    looks = (F.size("py") >= 2) & (F.array_contains(dominant, first) | F.array_contains(pure, two))
+    bad = gates.gate_initial_translit(F.col("name"), F.coalesce(looks, F.lit(False)))
+    return rows.withColumn("gate", F.coalesce("gate", F.when(bad, gates.PERSON)))
+
+
+def _ev_dominant(lex: Lexicon) -> dict[str, float]:
+    """Spellings that are dominant surnames: a few dozen."""
+    if "dominant" not in lex.known:
+        ppm = F.greatest("ppm", "written_ppm")
+        lex.known["dominant"] = {r[0]: r[1] for r in lex.keys().where(ppm >= ethnicity.DOMINANT).select("key", ppm).collect()}
+    return lex.known["dominant"]
+
+
+def name_table(names: DataFrame, lex: Lexicon, japanese: DataFrame | None = None) -> DataFrame:
+    """One row for each distinct name (name, of any frame): failed, script, tokens, facts, cands, choice and r.
+
+    japanese: (name, probability) of names in Han alone, where a model is at hand.
+    """
+    p = keep(prepared(names), "prepared")
+    lists = gates.author_lists(p.where("gate is null"), lex).withColumn("listed", F.lit(True))
+    latin = p.where("not has_han").join(lists, "name", "left").withColumn("gate", F.coalesce("gate", F.when(F.col("listed"), gates.PERSON))).drop("listed")
+    latin = latin.withColumn("roman", structural.roman_parts(F.col("tokens")))
+    some = not p.where("has_han").isEmpty()
+    rows, han = latin, None
+    if some:
+        han = han_gate(structural.readings(p.where("has_han"), lex), lex)
+        fused = han.select(F.explode(structural.roman_parts(F.col("mix"))).alias("s"))
+        han = keep(structural.with_roman(han, strings(fused, lex).select("s", "split")), "han")
+        rows = latin.unionByName(han.select(*latin.columns))
+    facts = keep(token_facts(rows.where("gate is null").select(F.explode("roman").alias("token")), lex, keep), "facts")
+    named = keep(name_facts(rows, facts), "named")
+    s = scored(named, lex, keep=keep)
+    if some:
+        mine = s.where("has_han").join(han.select("name", "mix", "py", "latin"), "name")
+        mine = render(structural.structural(mine.drop("r"), lex, keep), "choice", plain=True).withColumn("r", F.struct(*PARTS)).drop(*PARTS, "mix", "py", "latin", "aligned")
+        s = plain_names(s.where("not has_han"), lex).unionByName(mine)
+    else:
+        s = plain_names(s, lex)
+    # A model's word counts where there is one, and weighed flags else; a Chinese compound surname outweighs both.
+    model = F.when(F.col("compact") != "", heuristic(F.col("compact")))
+    if japanese is not None:
+        s = s.join(japanese.select("name", F.col("probability").alias("_jp")), "name", "left")
+        model = F.when(F.col("compact") != "", F.col("_jp"))
+    head = F.concat_ws(" ", F.get("facts", F.lit(0))["norm"], F.get("facts", F.lit(1))["norm"])
+    compound = (F.size("facts") >= 3) & F.array_contains(among(sorted(set(spaced_tables(lex)[0].values()))), head)
+    chance = F.when(~F.coalesce(compound, F.lit(False)), model)
+    s = ethnicity.classified(s, chance)
+    s = s.withColumn("failed", F.coalesce("gate", F.when(F.coalesce(F.size("roman"), F.lit(0)) < 2, gates.SHORT), F.col("foreign"))).withColumn("caps", F.coalesce(all_caps(F.col("roman")), F.lit(False)))
+    return s.select("name", "gate", "failed", "script", "hint", "has_han", "caps", "roman", "facts", "pairs", "cands", "choice", "r")
+
+
+def plain_names(s: DataFrame, lex: Lexicon) -> DataFrame:
+    """Latin names: a pair cut from one token at its capitals is read by the frequencies of its two parts."""
+    by_case = F.when(F.col("camel"), structural.camel_pair_parse(F.col("facts"), lex))
+    s = s.withColumns({"script": F.lit("latin_only"), "choice": F.col("choice").cast(structural.PARSE), "_cc": by_case})
+    turned = F.get(F.filter("cands", lambda c: (c["s"] == F.col("_cc.s")) & (c["g"] == F.col("_cc.g")) & (c["kind"] == F.col("_cc.kind"))), F.lit(0))
+    # What the pair's parse gives is among the candidates, if its surname can be one at all.
+    s = s.withColumn("_tr", F.when(F.col("_cc").isNotNull(), turned))
+    return s.withColumns({"r": F.coalesce(F.col("_tr.r"), F.col("r")), "choice": F.when(F.col("_tr").isNotNull(), F.col("_cc")).otherwise(F.col("choice"))}).drop("_cc", "_tr")
+
+
+def single_result(t: DataFrame) -> DataFrame:
+    """Adds success, the parts of the result and error of each name by itself; a failure has an empty result."""
+    error = F.coalesce("failed", F.when(F.col("choice").isNull(), UNKNOWN), F.when(F.col("r.result").isNull(), NOT_PLAUSIBLE))
+    return shown(t.withColumn("error", error), F.col("r"), F.col("choice.form"))
+
+
+def shown(rows: DataFrame, r: Column, form: Column) -> DataFrame:
+    """rows (error) with success, result, surname, given, middle and order of r, empty under an error."""
+    ok = F.col("error").isNull()
+    text = {c: F.when(ok, r[c]).otherwise("") for c in ("result", "surname", "given", "middle")}
+    return rows.withColumns({"success": ok, **text, "order": F.when(ok, form).otherwise("mixed")})
+
+
+def normalize_names(names: DataFrame, lex: Lexicon | None = None, japanese: DataFrame | None = None) -> DataFrame:
+    """Each name by itself, null names too.  names: batch_id, pos, name."""
     lex = lex or Lexicon.builtin(names.sparkSession)
-    rows = batch.entries(parsed(names, lex))
-    return results(rows, lex, "single").select(*RESULT)
+    table = single_result(name_table(names, lex, japanese)).select("name", "success", "result", "surname", "given", "middle", "order", "error")
+    table = keep(table, "names")
+    out = names.select("batch_id", "pos", "name").join(table, names["name"].eqNullSafe(table["name"]), "left").drop(table["name"])
+    return out.select(*RESULT)
 
 
-def analyze_batches(names: DataFrame, lex: Lexicon | None = None, threshold: float = batch.THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+def analyze_batches(names: DataFrame, lex: Lexicon | None = None, threshold: float = batch.THRESHOLD, minimum: int = batch.MIN_BATCH, japanese: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, patterns, evidence) of names in batches."""
     lex = lex or Lexicon.builtin(names.sparkSession)
-    # Votes, choice and evidence read the parsed names, and the votes' table is small: each is worked out once.
-    e = batch.promote(batch.entries(keep(parsed(names, lex), "parsed")))
-    patterns = keep(batch.pattern(batch.votes(e), threshold), "patterns")
-    applied = batch.apply(e, patterns)
-    return results(applied, lex, "chosen").select(*RESULT, "changed"), patterns, evidence(applied)
+    table = keep(batch.entries(single_result(name_table(names, lex, japanese))), "names")
+    rows = names.select("batch_id", "pos", F.col("name").alias("raw")).join(table, F.col("raw").eqNullSafe(table["name"]), "left").drop("name").withColumnRenamed("raw", "name")
+    voters = batch.promote(rows)
+    patterns = keep(batch.pattern(batch.votes(voters), threshold, minimum), "patterns")
+    applied = batch.apply(rows, patterns)
+    return applied.select(*RESULT, "surname_tokens", "given_tokens", "middle_tokens", "components", "confidence", "changed"), patterns, evidence(applied, lex)
 
 
 def pp_vys_rows(pp: tuple[DataFrame, DataFrame], vys: tuple[DataFrame, DataFrame], on: DataFrame) -> DataFrame:
