@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
-from ..lexicon import data, fixed
+from ..lexicon import data, fixed, tables
 from ..operators import batch, ethnicity, gates, routing
 from ..operators.facts import prepare, token_facts
+from . import golden
 from . import names as plans
+from .stage import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +97,25 @@ def on_names(key: str, out: str, column: Callable[[Column], Column], sql: str) -
     query(key, f"WITH {NAMES} SELECT batch_id, pos, {sql} AS {out} FROM names")(run)
 
 
+#: Strings of every kind that a gate or a script class tells apart.
+ODD = [
+    "李伟", "李伟 Li Wei", "Li Wei", "김민수", "Kim Min Soo", "山田さくら", "Đặng Văn", "北京大学", "李 北京大学", "公司", "王公司", "国家重点实验室", "...", "--- !", "", "Wei (Peter) Zhang", "Wei（Peter）Zhang", "(Peter) Wei", "张伟·Zhang·Wei",
+    "x" * 100, "x" * 101, "LiWei", "aUyEUNG", "G.霍弗", "李 小明 G.", "Zhang", "Zhang Wei Li", "A B", "欧阳明华", "McDonald",
+]
+ODD_NAMES = f"odd AS (SELECT l_orderkey AS k, l_linenumber::INT AS i, [{quoted(ODD)}][1 + (l_partkey * 7 + l_suppkey) % {len(ODD)}] AS name FROM lineitem)"
+
+
+def odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    name = F.get(F.array(*map(F.lit, ODD)), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % len(ODD)).cast("int"))
+    return li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), name.alias("name"))
+
+
+def on_odd(key: str, out: str, column: Callable[[Column], Column], sql: str) -> None:
+    """A query of one expression over strings of every kind."""
+    query(key, f"WITH {ODD_NAMES} SELECT k, i, name, {sql} AS {out} FROM odd")(lambda spark, sf_dir: odd_names(spark, sf_dir).select("k", "i", "name", column(F.col("name")).alias(out)))
+
+
 def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}'-]+"), F.lit(0))).alias("w")).distinct()
@@ -113,11 +134,11 @@ on_names("fullwidth", "half", text.fullwidth, f"translate(name, '{FULL}', '{HALF
 on_names("ocr_fix", "fixed", text.ocr_fix, ocr_sql("name"))
 on_names("collapse_ws", "flat", lambda c: text.collapse_ws(text.fullwidth(c)), ws_sql(f"translate(name, '{FULL}', '{HALF}')"))
 on_names("comma_swap", "swapped", text.comma_swap, "CASE WHEN contains(name, ',') THEN trim(split_part(name, ',', 2)) || ' ' || trim(split_part(name, ',', 1)) ELSE name END")
-on_names("script_class", "script", text.script_class, r"CASE WHEN regexp_matches(name, '[\x{4E00}-\x{9FFF}]') THEN 'han' ELSE 'latin_only' END")
-on_names("paren_hint", "hint", text.paren_hint, r"regexp_full_match(name, '\s*[A-Za-z''\-]+\s*[（(]\s*[A-Za-z'' \-]+\s*[)）]\s*[A-Za-z''\-]+\s*')")
+on_odd("script_class", "script", text.script_class, r"CASE WHEN regexp_matches(name, '[\x{4E00}-\x{9FFF}]') THEN CASE WHEN regexp_matches(name, '[A-Za-z]') THEN 'mixed_script' ELSE 'han_only' END ELSE 'latin_only' END")
+on_odd("paren_hint", "hint", text.paren_hint, r"regexp_full_match(name, '\s*[A-Za-z][A-Za-z.''\-]*\s*[（(]\s*[A-Za-z][A-Za-z .''\-]*\s*[)）]\s*[A-Za-z][A-Za-z .''\-]*\s*')")
 on_names("route_tokens", "tokens", lambda c: F.array_join(text.route_tokens(c), "|"), r"array_to_string(regexp_extract_all(name, '\p{L}+(?:[-'']\p{L}+)*'), '|')")
 on_names("clean_roman", "roman", text.clean_roman, r"regexp_replace(name, '[^A-Za-z\x{C0}-\x{24F}\-'']', '', 'g')")
-on_names("cjk_chunks", "chunks", lambda c: F.size(text.cjk_chunks(c)).cast("long"), r"len(regexp_extract_all(name, '[\x{4E00}-\x{9FFF}]+'))")
+on_odd("cjk_chunks", "chunks", lambda c: F.size(text.cjk_chunks(c)).cast("long"), r"len(regexp_extract_all(name, '[\x{4E00}-\x{9FFF}]+'))")
 
 
 @query("preprocess", f"WITH {CLEANED} SELECT batch_id, pos, c AS cleaned FROM cleaned")
@@ -143,8 +164,8 @@ on_words(
     "array_to_string(list_transform(string_split(strip_accents(w), '-'), lambda p: replace(replace(upper(p[1:1]), 'ẞ', 'SS'), 'ß', 'SS') || lower(p[2:])), '-')",
 )
 on_words("smart_split", "split", text.smart_split, r"CASE WHEN contains(w, '-') THEN w ELSE regexp_replace(regexp_replace(w, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g') END")
-on_words("is_camel", "camel", text.is_camel, r"regexp_full_match(w, '(?:\p{Lu}\p{Ll}+){2,}')")
-on_words("malformed_camel", "bad", text.malformed_camel, r"length(regexp_replace(w, '[^\p{Lu}]', '', 'g')) >= 2 AND regexp_matches(w, '\p{Ll}')")
+on_words("is_camel", "camel", text.is_camel, r"regexp_matches(w, '^\p{Lu}.*\p{Lu}') AND regexp_matches(w, '\p{Ll}')")
+on_words("malformed_camel", "bad", text.malformed_camel, r"length(w) > 2 AND length(regexp_replace(w, '[^\p{Lu}]', '', 'g')) >= 2 AND regexp_matches(w, '\p{Ll}')")
 
 WADE_ROWS = ", ".join(f"({quoted(kv)})" for kv in text.WADE_MAP.items())
 WADE_SQL = (
@@ -163,22 +184,25 @@ query("norm", f"WITH {WORDS}{WADE_SQL} SELECT w, {NORM_SQL} AS pinyin FROM wade
 )
 
 # ---- gates
-on_names("gate_length", "rejected", gates.gate_length, "length(name) = 0 OR length(name) > 100")
-on_names("gate_punct", "rejected", gates.gate_punct, r"regexp_full_match(name, '[!-/:-@\[-`{-~\s]*')")
-on_names("gate_script", "rejected", gates.gate_script, r"regexp_matches(name, '[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7AF}\x{3040}-\x{30FF}ĐđăâêôơưĂÂÊÔƠƯ]')")
-on_names("gate_org", "rejected", gates.gate_org, f"regexp_matches(name, '(?:{'|'.join(gates.ORG)})')")
+on_odd("gate_length", "rejected", gates.gate_length, "length(name) = 0 OR length(name) > 100")
+on_odd("gate_punct", "rejected", gates.gate_punct, r"regexp_full_match(name, '[!-/:-@\[-`{-~\s]*')")
+on_odd("gate_script", "rejected", gates.gate_script, r"regexp_matches(name, '[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7AF}\x{3040}-\x{30FF}ĐđăâêôơưĂÂÊÔƠƯ]')")
+MARKS = "大学|学院|研究所|实验室|编辑部|科学院|公司|有限公司|研究中心|重点实验室|国家实验室|物理系|学部"
+on_odd("gate_org", "rejected", gates.gate_org, f"len(list_filter(regexp_extract_all(name, '[\\x{{4E00}}-\\x{{9FFF}}]+'), lambda c: regexp_full_match(c, '(?:{MARKS})') OR regexp_full_match(c, '.{{2,}}(?:{MARKS})'))) > 0")
 
 
-@query("gate_min_tokens", f"WITH {TOKENS} SELECT batch_id, pos, len(tokens) < 2 AS rejected FROM toks")
+# Odd strings have no comma and no mark that cleaning takes for more than a separator, but those in parentheses.
+@query("gate_min_tokens", f"WITH {ODD_NAMES} SELECT k, i, name, len(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(name, '[（(][^)）]*[)）]', ' ', 'g'), '[·.]+', ' ', 'g'), '^(Li|Mc)(Wei|Donald)$', '\\1 \\2')), '\\s+'), lambda t: NOT regexp_full_match(t, '[!-/:-@\\[-`{{-~]*'))) < 2 AS rejected FROM odd")
 def _(spark, sf_dir):
-    return prepare(plans.derived_names(spark, sf_dir)).select("batch_id", "pos", (F.size("tokens") < 2).alias("rejected"))
+    return prepare(odd_names(spark, sf_dir)).select("k", "i", "name", (F.size("tokens") < 2).alias("rejected"))
 
 
 BYLINE = NAMES + ", bylines AS (SELECT batch_id, string_agg(name, ' ' ORDER BY pos) AS name FROM names GROUP BY batch_id)"
-SURNAME_KEYS = [k for k, _ in data._numbers(data.SURNAMES, 2)]
+# Of the made names' words, in pinyin or as written, those that are surnames.
+SURNAME_WORDS = golden.SURNAME_WORDS
 AUTHOR_SQL = (
-    r"WITH " + BYLINE + r""", w AS (SELECT batch_id, name, regexp_extract_all(name, '\p{L}+(?:[-'']\p{L}+)*') AS ws FROM bylines),
-h AS (SELECT batch_id, list_transform(ws, lambda x: CASE WHEN length(x) > 1 AND list_contains([""" + quoted(SURNAME_KEYS) + r"""], lower(x)) THEN 1 ELSE 0 END) AS hs FROM w)
+    r"WITH " + BYLINE + r""", w AS (SELECT batch_id, name, regexp_extract_all(name, '\p{L}+(?:[-'']\p{L}+)?') AS ws FROM bylines),
+h AS (SELECT batch_id, list_transform(ws, lambda x: CASE WHEN length(x) > 1 AND list_contains([""" + quoted(SURNAME_WORDS) + r"""], lower(strip_accents(x))) THEN 1 ELSE 0 END) AS hs FROM w)
 SELECT batch_id, len(hs) >= 6 AND list_sum(hs) >= 3 AND list_sum(hs[1:2]) > 0 AND list_sum(hs[3:len(hs)-2]) > 0 AND list_sum(hs[len(hs)-1:]) > 0 AS rejected FROM h"""
 )
 
@@ -186,7 +210,8 @@ SELECT batch_id, len(hs) >= 6 AND list_sum(hs) >= 3 AND list_sum(hs[1:2]) > 0 AN
 @query("gate_author_list", AUTHOR_SQL)
 def _(spark, sf_dir):
     rows = plans.derived_names(spark, sf_dir).groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), " ").alias("name"))
-    return rows.select("batch_id", gates.gate_author_list(F.col("name"), text.among(SURNAME_KEYS)).alias("rejected"))
+    lists = gates.author_lists(rows.select("name").distinct(), lex(spark)).withColumn("rejected", F.lit(True))
+    return rows.join(lists, "name", "left").select("batch_id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
 
 # ---- phonetics
@@ -201,87 +226,118 @@ on_words(
 )
 
 # ---- lexicon
-SUR_ROWS = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in data._numbers(data.SURNAMES, 2) + data._numbers(data.COMPOUNDS, 2))
-_given: dict[str, list[int]] = {}
-for _s, _a, _b in data._numbers(data.GIVEN, 3):
-    _given[_s] = [_given.get(_s, [0, 0])[0] + int(_a), _given.get(_s, [0, 0])[1] + int(_b)]
-GIV_ROWS = ", ".join(f"('{s}', {a}, {b})" for s, (a, b) in _given.items())
-ROM_ROWS = ", ".join(f"('{k}', '{v.split('=')[0]}')" for k, v in fixed.CANTONESE_SURNAMES.items())
-FREQ_SQL = f"""sur(key, ppm) AS (VALUES {SUR_ROWS}), rom(spelling, target) AS (VALUES {ROM_ROWS}), ali(source, key) AS (VALUES {values(fixed.PINYIN_ALIASES)}),
-base AS (SELECT key, max(ppm) AS ppm FROM sur GROUP BY key),
-spaced AS (SELECT key, max(ppm) AS ppm FROM (SELECT * FROM base UNION ALL SELECT ali.key, base.ppm FROM ali JOIN base ON base.key = ali.source) GROUP BY key),
-freq AS (SELECT key, max(ppm) AS ppm FROM (SELECT * FROM spaced UNION ALL SELECT spelling, exp(-4) * ppm FROM rom JOIN spaced ON spaced.key = target UNION ALL SELECT replace(key, ' ', ''), ppm FROM spaced WHERE contains(key, ' ')) GROUP BY key)"""
+GIV_ROWS = ", ".join(f"('{s}', {a}, {b})" for s, a, b in tables.given())
+LEFT_OUT = ", ".join(f"'{s}'" for s in tables.BYLINE_ONLY)
 
 
 def lex(spark: SparkSession) -> data.Lexicon:
     return data.Lexicon.builtin(spark)
 
 
-query("lex_surname_freq", f"WITH {FREQ_SQL} SELECT key, round(ppm, 6) AS ppm FROM freq")(lambda spark, sf_dir: data.surname_freq(lex(spark)).select("key", F.round("ppm", 6).alias("ppm")))
-query("lex_surname_logp", f"WITH {FREQ_SQL} SELECT key, round(ln(ppm / (SELECT sum(ppm) FROM sur)), 6) AS logp FROM freq")(
-    lambda spark, sf_dir: data.surname_logp(data.surname_freq(lex(spark)), lex(spark).surname).select("key", F.round("logp", 6).alias("logp"))
+def rows_of(table: dict) -> str:
+    return ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in table.items())
+
+
+query("lex_surname_freq", f"SELECT key, ppm FROM (VALUES {rows_of(golden.SURNAME_PPM)}) t(key, ppm)")(
+    lambda spark, sf_dir: data.surname_freq(lex(spark)).where(F.col("key").isin(*golden.SURNAME_PPM)).select("key", F.round("ppm", 4).alias("ppm"))
+)
+query("lex_alias", f"SELECT key, ppm FROM (VALUES {rows_of(golden.ALIAS_PPM)}) t(key, ppm)")(
+    lambda spark, sf_dir: data.surname_freq(lex(spark)).where(F.col("key").isin(*golden.ALIAS_PPM)).select("key", F.round("ppm", 4).alias("ppm"))
+)
+
+
+def made_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key rows from customers: every fourth is a compound, whose spelling c-n leads to it."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.abs("c_acctbal") + 1).alias("ppm"))
+    whole = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("k"), F.col("c_custkey")))
+    return c.select(F.concat(F.lit("k"), F.col("c_custkey")).alias("key"), F.col("c_custkey").cast("int").alias("ordinal"), "ppm", (F.col("c_custkey") % 4 != 0).alias("base"), whole.alias("whole"), F.when(F.col("c_custkey") % 8 == 1, F.lit("k2")).alias("target"))
+
+
+MADE_KEYS = "k AS (SELECT 'k' || c_custkey AS key, c_custkey AS ordinal, abs(c_acctbal) + 1 AS ppm, c_custkey % 4 <> 0 AS base, CASE WHEN c_custkey % 8 = 1 THEN 'k2' END AS target FROM customer)"
+query("lex_surname_logp", f"WITH {MADE_KEYS}, t AS (SELECT sum(CASE WHEN base THEN ppm END) AS plain, sum(ppm) AS every FROM k), o AS (SELECT key, target, ln(ppm / CASE WHEN base THEN plain ELSE every END) AS own FROM k, t) SELECT o.key, round(coalesce(x.own, o.own), 6) AS logp FROM o LEFT JOIN o x ON x.key = o.target")(
+    lambda spark, sf_dir: data.surname_logp(made_keys(spark, sf_dir)).select("key", F.round("logp", 6).alias("logp"))
 )
-query("lex_surname_rank", f"WITH {FREQ_SQL} SELECT key, round((row_number() OVER (ORDER BY ppm, key) - 1) / (count(*) OVER () - 1), 6) AS rank FROM freq")(
-    lambda spark, sf_dir: data.surname_rank(data.surname_freq(lex(spark))).select("key", F.round("rank", 6).alias("rank"))
+query("lex_surname_rank", f"WITH {MADE_KEYS} SELECT key, round((row_number() OVER (ORDER BY ppm, ordinal) - 1) / (count(*) OVER () - 1), 6) AS rank FROM k")(
+    lambda spark, sf_dir: data.surname_rank(made_keys(spark, sf_dir)).select("key", F.round("rank", 6).alias("rank"))
 )
 query(
     "lex_position",
-    f"WITH g(s, a, b) AS (VALUES {GIV_ROWS}), t AS (SELECT sum(a) AS ta, sum(b) AS tb, count(*) AS v FROM g) SELECT s AS syllable, round(ln((a + b) / (ta + tb)), 6) AS logp, round(ln((a + 0.5) / (ta + 0.5 * (v + 1))), 6) AS initial_logp, round(ln((b + 0.5) / (tb + 0.5 * (v + 1))), 6) AS final_logp FROM g, t",
-)(lambda spark, sf_dir: data.given_logp(lex(spark)).select("syllable", *[F.round(c, 6).alias(c) for c in ("logp", "initial_logp", "final_logp")]))
-query("lex_alias", f"SELECT source, key FROM (VALUES {values(fixed.PINYIN_ALIASES)}) t(source, key)")(lambda spark, sf_dir: spark.createDataFrame(list(fixed.PINYIN_ALIASES.items()), "source string, key string"))
-query("lex_hyphen_map", f"WITH {FREQ_SQL} SELECT replace(key, ' ', '-') AS hyphenated, key AS spaced FROM base WHERE contains(key, ' ')")(lambda spark, sf_dir: data.hyphen_map(lex(spark)))
-
-# ---- facts on the names' tokens
-FACTS = (
-    TOKENS
-    + ", words AS (SELECT DISTINCT unnest(tokens) AS w FROM toks)"
-    + WADE_SQL
-    + f", {FREQ_SQL}, g(s, a, b) AS (VALUES {GIV_ROWS}), normed AS (SELECT wade.w, {LIGHT % 'wade.w'} AS light, {NORM_SQL} AS pinyin FROM wade LEFT JOIN lay ON lay.k = l),"
-    " facts AS (SELECT n.w AS token, light, pinyin, coalesce(f1.key, pinyin) AS key, coalesce(f1.ppm, f2.ppm, 0) AS ppm, f1.key IS NOT NULL OR f2.key IS NOT NULL AS is_surname, g1.s IS NOT NULL OR g2.s IS NOT NULL AS is_given"
-    " FROM normed n LEFT JOIN freq f1 ON f1.key = light LEFT JOIN freq f2 ON f2.key = pinyin LEFT JOIN g g1 ON g1.s = light LEFT JOIN g g2 ON g2.s = pinyin)"
+    f"""WITH g(s, a, b) AS (VALUES {GIV_ROWS}), t AS (SELECT sum(a) AS ta, sum(b) AS tb, count(*) AS v FROM g),
+p AS (SELECT s, ln((a + 0.5) / (ta + 0.5 * (v + 1))) AS i, ln((b + 0.5) / (tb + 0.5 * (v + 1))) AS f FROM g, t), l AS (SELECT regexp_replace(s, '^([ln])v', '\\1u') AS s, ln(max((a + b) / (ta + tb))) AS l FROM g, t WHERE s NOT IN ({LEFT_OUT}) GROUP BY 1)
+SELECT coalesce(p.s, l.s) AS syllable, round(l, 6) AS logp, round(i, 6) AS initial_logp, round(f, 6) AS final_logp FROM p FULL JOIN l ON p.s = l.s""",
+)(lambda spark, sf_dir: data.given_logp(lex(spark)).where("initial_logp is not null or logp is not null").select("syllable", *[F.round(c, 6).alias(c) for c in ("logp", "initial_logp", "final_logp")]))
+query("lex_hyphen_map", f"SELECT replace(v, ' ', '-') AS hyphenated, v AS spaced FROM (SELECT DISTINCT v FROM (VALUES {values(fixed.COMPOUND_VARIANTS)}) t(k, v))")(
+    lambda spark, sf_dir: data.hyphen_map(lex(spark)).where(F.col("spaced").isin(*fixed.COMPOUND_VARIANTS.values()))
 )
 
+# ---- facts on the names' tokens: the SQL looks them up by their spelling without marks
+MADE = TOKENS + f", words AS (SELECT DISTINCT unnest(tokens) AS w FROM toks), lit AS (SELECT w, {LIGHT % 'w'} AS light FROM words)"
+PPM = f", ppm(light, ppm) AS (VALUES {rows_of(golden.TOKEN_PPM)})"
 
-def facts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = prepare(plans.derived_names(spark, sf_dir)).select(F.explode("tokens").alias("token"))
-    return token_facts(tokens, lex(spark))
 
+def facts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = plans.derived_names(spark, sf_dir).select("name").distinct()
+    return token_facts(prepare(names).select(F.explode("tokens").alias("token")), lex(spark), keep)
 
-query("parser_frequency", f"WITH {FACTS} SELECT token, key, round(ppm, 6) AS ppm FROM facts")(lambda spark, sf_dir: facts_of(spark, sf_dir).select("token", "key", F.round("ppm", 6).alias("ppm")))
-query("parser_is_surname", f"WITH {FACTS} SELECT token, is_surname, is_given FROM facts")(lambda spark, sf_dir: facts_of(spark, sf_dir).select("token", "is_surname", "is_given"))
-query("dominant", f"WITH {FACTS} SELECT token FROM facts WHERE ppm >= 10000")(lambda spark, sf_dir: facts_of(spark, sf_dir).where("ppm >= 10000").select("token"))
 
+query("parser_frequency", f"WITH {MADE}{PPM} SELECT w AS token, coalesce(ppm, 0) AS ppm FROM lit LEFT JOIN ppm USING (light)")(lambda spark, sf_dir: facts_of(spark, sf_dir).select("token", F.round("ppm", 4).alias("ppm")))
+query("parser_is_surname", f"WITH {MADE} SELECT w AS token, light IN ({quoted(golden.TOKEN_SURNAMES)}) AS is_surname, light IN ({quoted(golden.TOKEN_GIVEN)}) AS is_given FROM lit")(
+    lambda spark, sf_dir: facts_of(spark, sf_dir).select("token", "is_surname", "is_given")
+)
+query("dominant", f"WITH {MADE}{PPM} SELECT w AS token FROM lit JOIN ppm USING (light) WHERE ppm >= 10000")(lambda spark, sf_dir: facts_of(spark, sf_dir).where("ppm >= 10000").select("token"))
+PARTS_SQL = ", ".join(f"('{k}', '{v}')" for k, v in golden.TOKEN_PARTS.items())
+query("split_concat", f"WITH {MADE}, p(light, parts) AS (VALUES {PARTS_SQL}) SELECT w AS token, parts FROM lit JOIN p USING (light)")(
+    lambda spark, sf_dir: facts_of(spark, sf_dir).where(F.col("light").isin(*golden.TOKEN_PARTS)).select("token", F.lower(text.strip_marks(F.array_join("parts", "|"))).alias("parts"))
+)
 
 # ---- ethnicity
 TIER = TOKENS + ", low AS (SELECT batch_id, pos, list_transform(tokens, lambda t: lower(t)) AS ts FROM toks)"
 VN, KO = quoted(fixed.VIETNAMESE_GIVEN), quoted(fixed.KOREAN_OVERLAP)
 
 
-@query("eth_markers", f"WITH {TIER} SELECT batch_id, pos, list_has_any(ts, [{quoted(fixed.WESTERN)}]) AS western, list_has_any(ts, [{quoted(fixed.KOREAN_ONLY)}]) AS korean, list_has_any(ts, [{quoted(ethnicity.JAPANESE)}]) AS japanese, list_has_any(ts, [{quoted(fixed.VIETNAMESE_ONLY)}]) AS vietnamese, list_has_any(ts, [{KO}]) AS overlap FROM low")
+@query("eth_markers", f"WITH {TIER} SELECT batch_id, pos, list_has_any(ts, [{quoted(fixed.WESTERN)}]) AS western, list_has_any(ts, [{quoted(fixed.KOREAN_ONLY)}]) AS korean, list_has_any(ts, [{quoted(fixed.JAPANESE)}]) AS japanese, list_has_any(ts, [{quoted(fixed.VIETNAMESE_ONLY)}]) AS vietnamese, list_has_any(ts, [{KO}]) AS overlap FROM low")
 def _(spark, sf_dir):
     low = F.transform("tokens", lambda t: F.lower(t))
     has = lambda w, n: F.arrays_overlap(low, text.among(w)).alias(n)
     p = prepare(plans.derived_names(spark, sf_dir))
-    return p.select("batch_id", "pos", has(fixed.WESTERN, "western"), has(fixed.KOREAN_ONLY, "korean"), has(ethnicity.JAPANESE, "japanese"), has(fixed.VIETNAMESE_ONLY, "vietnamese"), has(fixed.KOREAN_OVERLAP, "overlap"))
+    return p.select("batch_id", "pos", has(fixed.WESTERN, "western"), has(fixed.KOREAN_ONLY, "korean"), has(fixed.JAPANESE, "japanese"), has(fixed.VIETNAMESE_ONLY, "vietnamese"), has(fixed.KOREAN_OVERLAP, "overlap"))
 
 
-KOREAN_SQL = f"""WITH {TIER}, p AS (SELECT batch_id, pos, ts, flatten(list_transform(ts, lambda t: string_split(t, '-'))) AS ps FROM low),
-c AS (SELECT *, len(list_filter(ps, lambda x: list_contains([{quoted(fixed.KOREAN_SPECIFIC)}], x))) AS sp, len(list_filter(ps, lambda x: list_contains([{quoted(fixed.KOREAN_AMBIGUOUS)}], x))) AS am,
- len(list_filter(list_zip(ps[:-2], ps[2:]), lambda x: list_contains([{quoted(fixed.KOREAN_PAIRS)}], x[1] || '>' || x[2]))) AS pr,
- len(list_filter(ts, lambda t: contains(t, '-') AND len(list_filter(string_split(t, '-'), lambda q: NOT list_contains([{quoted(fixed.KOREAN_GIVEN)}], q))) = 0)) > 0 AS hy FROM p)
-SELECT batch_id, pos, CASE WHEN hy THEN 3.0::DOUBLE ELSE 0 END + 3 * pr + CASE WHEN sp >= 2 THEN 2 WHEN sp = 1 THEN 1 ELSE 0 END + CASE WHEN am >= 2 AND list_contains([{KO}], ts[1]) THEN 1 ELSE 0 END AS score FROM c"""
+def golden_values(rows: dict) -> str:
+    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({cell(k)}, {cell(v)})" for k, v in rows.items())
 
 
-@query("eth_korean", KOREAN_SQL)
-def _(spark, sf_dir):
-    low = F.transform("tokens", lambda t: F.lower(t))
-    return prepare(plans.derived_names(spark, sf_dir)).select("batch_id", "pos", ethnicity.korean_score(low).alias("score"))
+def golden_query(key: str, rows: dict[str, str | None]) -> None:
+    """Names with the text that each must give, or null where it must be rejected."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return golden_table(spark).where(F.col("name").isin(*rows)).select("name", F.when(F.col("success"), F.col("result")).alias("result"))
 
-@query("eth_vietnamese", f"WITH {TIER}, v AS (SELECT batch_id, pos, ts, len(list_filter(ts, lambda t: list_contains([{VN}], t))) AS n FROM low) SELECT batch_id, pos, CASE WHEN list_contains(ts, 'thi') THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN list_has_any(ts, [{quoted(fixed.VIETNAMESE_OVERLAP)}]) AND n >= 1 THEN 2 ELSE 0 END + CASE WHEN n >= 2 THEN 1.5 ELSE 0 END AS score FROM v")
-def _(spark, sf_dir):
-    low = F.transform("tokens", lambda t: F.lower(t))
-    return prepare(plans.derived_names(spark, sf_dir)).select("batch_id", "pos", ethnicity.vietnamese_score(low, F.lit(False)).alias("score"))
+    query(key, f"SELECT name, result FROM (VALUES {golden_values(rows)}) t(name, result)")(run)
+
+
+_GOLDEN: dict[str, DataFrame] = {}
+
+
+def golden_table(spark: SparkSession) -> DataFrame:
+    """All golden names with their results, worked out once for an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _GOLDEN:
+        _GOLDEN.clear()
+        names = [n for rows in golden.NAMES.values() for n in rows]
+        df = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+        _GOLDEN[app] = keep(plans.single_result(plans.name_table(df, lex(spark))), "golden")
+    return _GOLDEN[app]
+
+
+for _key, _rows in golden.NAMES.items():
+    golden_query(_key, _rows)
+
+REASONS = ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in golden.REASONS.items())
+query("eth_classify", f"SELECT name, error FROM (VALUES {REASONS}) t(name, error)")(lambda spark, sf_dir: golden_table(spark).where(F.col("name").isin(*golden.REASONS)).select("name", "error"))
+ROLES = ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in golden.ROLES.items())
+query("component_order", f"SELECT name, roles FROM (VALUES {ROLES}) t(name, roles)")(lambda spark, sf_dir: golden_table(spark).where(F.col("name").isin(*golden.ROLES)).select("name", F.array_join("r.order", " ").alias("roles")))
 
 
 # ---- routing, over rows made from keys
@@ -327,8 +383,10 @@ def route_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("route_old", f"{ROUTED} SELECT k, i, old_p AS prediction FROM f")(lambda spark, sf_dir: route_rows(spark, sf_dir).select("k", "i", routing.old_rule()["route"].alias("prediction")))
 query("route_clean", f"{ROUTED} SELECT k, i, new_p AS prediction, why AS reason FROM f")(lambda spark, sf_dir: route_rows(spark, sf_dir).select("k", "i", routing.clean_rule()["route"].alias("prediction"), routing.clean_rule()["reason"].alias("reason")))
 query("route_input_order", f"{ROUTED} SELECT k, i, io AS candidate FROM f")(lambda spark, sf_dir: route_rows(spark, sf_dir).select("k", "i", routing.input_order().alias("candidate")))
-query("route_ppvys", f"{ROUTED} SELECT k, i, CASE WHEN old_p = 'not_person' THEN 'not_person' ELSE coalesce(prior, plus, base) END AS router_reason, CASE WHEN old_p = 'not_person' THEN 'unknown' ELSE io END AS input_order_candidate FROM f")(
-    lambda spark, sf_dir: routing.route_pp_vys(route_rows(spark, sf_dir)).select("k", "i", "router_reason", "input_order_candidate")
+query("route_ppvys", f"""{ROUTED} SELECT k, i, CASE WHEN old_p = 'not_person' THEN 'not_person' ELSE coalesce(prior, plus, base) END AS router_reason,
+  CASE WHEN old_p = 'not_person' THEN 'not_person' WHEN prior IS NOT NULL THEN CASE WHEN pp_selected_format = want THEN 'pp' ELSE 'vys' END WHEN plus IS NOT NULL THEN 'pp' WHEN base = 'reliable_input_order_abstain' THEN 'abstain'
+    WHEN base IN ('strong_pp_allowed_ratio', 'endpoint_pp_with_real_paper_votes', 'default_pp') THEN 'pp' ELSE 'vys' END AS router_prediction, CASE WHEN old_p = 'not_person' THEN 'unknown' ELSE io END AS input_order_candidate FROM f""")(
+    lambda spark, sf_dir: routing.route_pp_vys(route_rows(spark, sf_dir)).select("k", "i", "router_prediction", "router_reason", "input_order_candidate")
 )
 PP_COLUMNS_SQL = """k, i, p % 17 <> 0 AS pp_success, CAST(1 + p % 3 AS BIGINT) AS pp_result_token_count, CASE WHEN s % 2 = 0 THEN 'surname_first' ELSE 'given_first' END AS selected_format,
   CASE WHEN s % 5 < 3 THEN 'first' ELSE 'last' END AS selected_surname_position, CAST(1 + p % 2 AS BIGINT) AS selected_surname_token_count, CAST(n % 4 AS BIGINT) AS batch_total_count,
@@ -338,13 +396,14 @@ e AS (SELECT *, few AND has_cjk AND has_latin AND raw_tokens >= 3 AS mixed, st A
 SELECT k, i, CASE WHEN NOT pp_success THEN 'not_person' WHEN pp_result_token_count = 2 AND selected_format = 'given_first' AND has_cjk AND has_latin AND raw_tokens = 2 AND selected_surname_frequency >= 2500 THEN 'clean_bilingual_given_first'
   WHEN st AND pp_result_token_count = 2 AND NOT mixed AND NOT spaced THEN 'surname_first_two_token' WHEN st AND selected_surname_token_count > 1 AND NOT mixed AND NOT spaced THEN 'compound_surname_first_input_start'
   WHEN spaced THEN 'spaced_cjk_zero_batch_surname_first' WHEN few AND selected_surname_frequency < 500 THEN 'weak_zero_batch' WHEN mixed THEN 'zero_batch_mixed_long' ELSE 'default_abstain' END AS router_reason FROM e"""
+PP_SQL = f"SELECT *, CASE WHEN router_reason = 'not_person' THEN 'not_person' WHEN router_reason IN ('clean_bilingual_given_first', 'surname_first_two_token', 'compound_surname_first_input_start') THEN 'pp' ELSE 'abstain' END AS router_prediction FROM ({PP_SQL})"
 
 
 @query("route_pp", PP_SQL)
 def _(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("onomast_lineitem")
     rows = spark.sql(f"WITH {ROUTE_CASES.replace('FROM lineitem', 'FROM onomast_lineitem')} SELECT {PP_COLUMNS_SQL} FROM r")
-    return routing.route_pp(rows).select("k", "i", "router_reason")
+    return routing.route_pp(rows).select("k", "i", "router_prediction", "router_reason")
 
 
 # ---- batch votes, over votes made from keys
@@ -359,14 +418,13 @@ b AS (SELECT *, CASE WHEN t = 0 THEN 'mixed' WHEN sf > gf THEN 'surname_first' W
 def made_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     vote = F.when(F.col("l_partkey") % 5 == 0, None).when(F.col("l_suppkey") % 3 == 0, "surname_first").otherwise("given_first")
-    one = F.lit(1)
     rows = li.select(
         F.col("l_orderkey").alias("batch_id"),
         vote.alias("vote"),
         vote.isNotNull().alias("votes"),
         (1 + F.col("l_quantity") % 4).alias("weight"),
-        F.array_repeat(one, (1 + F.col("l_partkey") % 2).cast("int")).alias("cands"),
-        F.array(F.lit("a")).alias("tokens"),
+        (1 + F.col("l_partkey") % 2).alias("n_cands"),
+        F.array(F.lit("a")).alias("roman"),
         F.array(F.struct(F.lit(0.0).alias("ppm"))).alias("facts"),
     )
     return batch.votes(rows)

@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import among, preprocess, script_class
+from ..functions.text import preprocess, script_class
 from ..lexicon.data import Lexicon
 from ..operators import gates
-from ..plans.names import analyze_batches, known_surnames, normalize_names
+from ..plans.names import analyze_batches, normalize_names
 
 
-def gate_stream(names: DataFrame, lex: Lexicon) -> DataFrame:
-    """Stateless projection: cleaned text, script, and the reason of rejection, on a streaming or a static frame."""
+def gate_stream(names: DataFrame) -> DataFrame:
+    """Stateless projection: cleaned text, script, and the reason of rejection that needs no lexicon, on a streaming or a static frame."""
     return names.withColumns(
-        {"cleaned": preprocess(F.col("name")), "script": script_class(F.col("name")), "gate": gates.failure(F.col("name"), among(known_surnames(lex)))}
+        {"cleaned": preprocess(F.col("name")), "script": script_class(F.col("name")), "gate": gates.failure(F.col("name"))}
     )
 
 

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from onomast.functions import phonetics, text
 from onomast.lexicon.data import Lexicon, han_readings
+from onomast.operators.facts import token_facts
 from onomast.plans.names import analyze_batches, normalize_names
+from onomast.plans.stage import keep
 from onomast.sources.tables import names_from_lists, read_rows, write_rows
 from onomast.streaming import names as streaming
 
@@ -87,11 +89,12 @@ def test_functions(spark, column, value, want):
     assert one(spark, column, value) == want
 
 
-def test_split_concat(spark):
-    known = text.among(["wei", "ming", "xiao", "ka", "fai"])
-    words = ["xiaoming", "Ka-Fai", "mingming", "XiaoMing", "wei", "zz", "weiming"]
-    got = [one(spark, lambda c: phonetics.split_concat(c, known), w) for w in words]
-    assert got == [["xiao", "ming"], ["Ka", "Fai"], ["ming", "ming"], ["Xiao", "Ming"], None, None, ["wei", "ming"]]
+def test_split(spark):
+    words = ["xiaoming", "Ka-Fai", "mingming", "XiaoMing", "wei", "zz", "weiming", "Huang", "jianwei", "Chungming"]
+    facts = token_facts(spark.createDataFrame([(w,) for w in words], "token string"), Lexicon.builtin(spark), keep)
+    got = {r["token"]: r["parts"] for r in facts.collect()}
+    want = [["xiao", "ming"], ["Ka", "Fai"], ["ming", "ming"], ["Xiao", "Ming"], ["wei"], None, ["wei", "ming"], ["Huang"], ["jian", "wei"], ["Chung", "ming"]]
+    assert [got[w] for w in words] == want
 
 
 def test_han_readings(spark):
@@ -111,6 +114,6 @@ def test_stream_of_names(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, "Zhang Wei"), (1, 1, "北京大学")], "batch_id long, pos int, name string")
     df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    q = streaming.gate_stream(stream, Lexicon.builtin(spark)).writeStream.format("memory").queryName("gated").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q = streaming.gate_stream(stream).writeStream.format("memory").queryName("gated").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination(120)
     assert {r["name"]: r["gate"] for r in spark.table("gated").collect()} == {"Zhang Wei": None, "北京大学": "not a personal name"}
