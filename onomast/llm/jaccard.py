@@ -1,14 +1,19 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""SimHash near-duplicates at a Jaccard similarity of word shingles.
 
 The distinct shingles of a text are put in one order that holds for the whole
 table.  Two sets of similarity t or more share an element among the first
 ``n - ceil(t * n) + 1`` of each, so texts meet at the elements of these
-prefixes, and every pair that meets is compared by its whole sets.  Shingles
-seen in many texts come last in the order, so that a common passage brings few
-texts together; which ones count as common changes the work, never the result.
+prefixes.  Of the texts that meet at one, a self-join of the trie of their
+SimHash fingerprints finds those within an error budget, and only such pairs
+are compared by their whole sets.  Shingles seen in many texts come last in
+the order, so that a common passage brings few texts together; which ones
+count as common changes the work, never the result.
 
-Texts that meet are first compared with one of them.  Only those that this
-leaves in different components are then compared pair by pair.
+The budget is wide: texts of similarity 0.8 differ in about 10 of 64 bits,
+with a deviation of 3, unrelated ones in 32 with one of 4.
+
+Each text is first compared with one other that it meets.  Only those that
+this leaves in different components are then compared pair by pair.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import arrow_map, materialize
 from .components import connected_components
+from .simhash import majority, shingle_hashes, trie_pairs
 
 #: Counters for common shingles in a task, and how many of them are kept in all.
 COUNTERS = 1 << 20
@@ -31,21 +37,15 @@ MOST_COMMON = 50_000
 #: About so many pairs are compared in one go.
 PAIRS = 5_000
 EPS = 1e-9
+#: Error budget of fingerprints: pairs beyond it aren't compared.
+BITS = 24
+#: Texts at one element that are joined as a trie; more of them meet leaders first.
+TRIE = 512
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
     """64-bit hashes of the distinct shingles, sorted; a text of fewer words is one shingle, one without words has none."""
-    # As in simhash.fingerprint: A-Z only, cut at \x20 and \x09-\x0D only.
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-1]])
-    n = max(1, len(words) - size + 1)
-    last = ends[size - 1 :] - 1 if len(words) >= size else ends[-1:] - 1
-    h64 = xxhash.xxh64_intdigest
-    return np.unique(np.array([h64(line[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())], dtype=np.uint64))
+    return np.unique(shingle_hashes(text, size))
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -54,16 +54,21 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def add_sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs with ``set``, a hash of the whole set of shingles, and ``n``, its size."""
+    """docs with ``set``, a hash of the whole set of shingles, ``n``, its size, and ``fp``, the SimHash fingerprint."""
 
     def run(batches):
         for batch in batches:
-            found = [shingles(t, size) for t in batch.column("text").to_pylist()]
-            sets = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in found], dtype=np.uint64).view(np.int64)
-            n = pa.array([len(s) for s in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets), n], names=[*batch.schema.names, "set", "n"])
+            key, n, fp = [], [], []
+            for t in batch.column("text").to_pylist():
+                every = shingle_hashes(t, size)
+                s = np.unique(every)
+                key.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
+                n.append(len(s))
+                fp.append(majority(every))
+            made = [pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "set", "n", "fp"])
 
-    return arrow_map(docs, run, StructType([*docs.schema.fields, StructField("set", LongType()), StructField("n", IntegerType())]))
+    return arrow_map(docs, run, StructType([*docs.schema.fields, StructField("set", LongType()), StructField("n", IntegerType()), StructField("fp", LongType())]))
 
 
 def common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +90,14 @@ def common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def prefixes(rows: DataFrame, size: int, least: float) -> DataFrame:
-    """(h, set, n, pos): the elements by which texts meet, each with its place in the order of its set."""
+    """(h, set, n, pos, fp): the elements by which texts meet, each with its place in the order of its set."""
     at, n_at = common_shingles(rows, size)
 
     def run(batches):
         seen = set()
         for batch in batches:
             out = []
-            for t, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for t, key, fp in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if key in seen:
                     continue
                 seen.add(key)
@@ -104,7 +109,7 @@ def prefixes(rows: DataFrame, size: int, least: float) -> DataFrame:
                     k = np.minimum(np.searchsorted(at, low), len(at) - 1)
                     s = s[np.argsort(np.where(at[k] == low, n_at[k], 0), kind="stable")]
                 p = len(s) - math.ceil(least * len(s) - EPS) + 1
-                out.append((s[:p].view(np.int64), key, len(s)))
+                out.append((s[:p].view(np.int64), key, len(s), fp))
             if out:
                 size_of = [len(o[0]) for o in out]
                 columns = [
@@ -112,42 +117,122 @@ def prefixes(rows: DataFrame, size: int, least: float) -> DataFrame:
                     pa.array(np.repeat(np.array([o[1] for o in out], np.int64), size_of)),
                     pa.array(np.repeat(np.array([o[2] for o in out], np.int32), size_of)),
                     pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size_of])),
+                    pa.array(np.repeat(np.array([o[3] for o in out], np.int64), size_of)),
                 ]
-                yield pa.record_batch(columns, names=["h", "set", "n", "pos"])
+                yield pa.record_batch(columns, names=["h", "set", "n", "pos", "fp"])
 
-    return arrow_map(rows.select("text", "set"), run, "h long, set long, n int, pos int")
+    return arrow_map(rows.select("text", "set", "fp"), run, "h long, set long, n int, pos int, fp long")
 
 
-def _meetings(batches):
-    """Of rows sorted by (h, set): those of elements that more than one set has, once each, with the first of them as lead."""
+def _by_group(batches, work, rows: int = 200_000):
+    """Hands whole groups of equal h, many at a time, of batches sorted by h to work(table)."""
     rest = None
-
-    def groups(t: pa.Table):
-        h, s = t["h"].to_numpy(), t["set"].to_numpy()
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        t, h = t.filter(pa.array(new)), h[new]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size_of = np.diff(np.concatenate([first, [len(h)]]))
-        lead = np.repeat(first, size_of)
-        keep = np.repeat(size_of, size_of) > 1
-        mine, lead = t.filter(pa.array(keep)), t.take(pa.array(lead[keep]))
-        for name in ("set", "n", "pos"):
-            mine = mine.append_column(f"lead_{name}", lead[name])
-        yield from mine.combine_chunks().to_batches()
-
     for batch in batches:
         t = pa.Table.from_batches([batch])
         rest = t if rest is None else pa.concat_tables([rest, t])
-        if rest.num_rows < 200_000:
+        if rest.num_rows < rows:
             continue
         h = rest["h"].to_numpy()
         cuts = np.flatnonzero(h[1:] != h[:-1])
         if len(cuts):
-            yield from groups(rest.slice(0, int(cuts[-1]) + 1))
+            yield from work(rest.slice(0, int(cuts[-1]) + 1))
             rest = rest.slice(int(cuts[-1]) + 1)
     if rest is not None and rest.num_rows:
-        yield from groups(rest)
+        yield from work(rest)
+
+
+def _near_groups(bits: np.ndarray, cuts: np.ndarray, budget: int) -> np.ndarray:
+    """For members of groups [cuts[i], cuts[i+1]), sorted by their bits: the first member of the group within the budget, itself of the first, or -1 where there is none."""
+    lead = np.full(len(bits), -1)
+    size_of = np.diff(cuts)
+    small = np.flatnonzero(size_of <= TRIE)
+    if len(small):
+        at = np.concatenate([np.arange(cuts[g], cuts[g + 1]) for g in small]) if len(small) < len(size_of) else np.arange(len(bits))
+        inner = np.concatenate([[0], np.cumsum(size_of[small])])
+        for i, j in trie_pairs(bits[at], np.full(len(at), 2), inner, budget):
+            i, j = at[i], at[j]
+            for a, b in ((i, j), (j, i)):
+                best = np.full(len(bits), len(bits))
+                np.minimum.at(best, b, a)
+                hit = best < len(bits)
+                lead[hit] = np.where(lead[hit] < 0, best[hit], np.minimum(lead[hit], best[hit]))
+    for g in np.flatnonzero(size_of > TRIE):
+        a, b = int(cuts[g]), int(cuts[g + 1])
+        own, open_ = bits[a:b], np.ones(b - a, bool)
+        near = np.full(b - a, -1)
+        for k in range(b - a):  # those within the budget of a leader need no more leaders
+            if open_[k]:
+                hit = np.bitwise_count(own ^ own[k]) <= budget
+                hit[k] = False
+                if hit.any():
+                    fresh = hit & (near < 0)
+                    near[fresh] = k
+                    if near[k] < 0:
+                        near[k] = int(np.flatnonzero(hit)[0])
+                    open_[hit] = False
+                open_[k] = False
+        lead[a:b] = np.where(near >= 0, near + a, -1)
+    return lead
+
+
+def _meetings(batches):
+    """Of rows sorted by h: those of texts that have a near one among those that share the element, with such a one as lead."""
+
+    def work(t: pa.Table):
+        h, s, fp = (t[c].to_numpy() for c in ("h", "set", "fp"))
+        order = np.lexsort((s, fp.view(np.uint64), h))
+        h, s, fp = h[order], s[order], fp[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size_of = np.diff(np.concatenate([first, [len(h)]]))
+        keep = new & (np.repeat(size_of, size_of) > 1)
+        t = t.take(pa.array(order[keep])).combine_chunks()
+        h, fp = h[keep], fp[keep].view(np.uint64)
+        if not len(h):
+            return
+        cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+        lead = _near_groups(fp, cuts, BITS)
+        mine = np.flatnonzero(lead >= 0)
+        if not len(mine):
+            return
+        out, other = t.take(pa.array(mine)), t.take(pa.array(lead[mine]))
+        for name in ("set", "n", "pos"):
+            out = out.append_column(f"lead_{name}", other[name])
+        yield from out.combine_chunks().to_batches()
+
+    yield from _by_group(batches, work)
+
+
+def _across(least: float):
+    """Of rows (h, set, n, pos, fp, root) sorted by h: pairs (u, v) of different roots that may be similar enough."""
+
+    def run(batches):
+        def work(t: pa.Table):
+            h, s, n, pos, root = (t[c].to_numpy() for c in ("h", "set", "n", "pos", "root"))
+            fp = t["fp"].to_numpy().view(np.uint64)
+            cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+            us, vs = [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                names, of, count = np.unique(root[a:b], return_inverse=True, return_counts=True)
+                if len(names) < 2:
+                    continue
+                rare = np.flatnonzero(of != np.argmax(count))  # each pair across roots has one of these
+                at = np.arange(a, b)
+                for k in rare:
+                    i = a + int(k)
+                    near = (of != of[k]) & (np.bitwise_count(fp[a:b] ^ fp[i]) <= BITS)
+                    rest = np.minimum(n[a:b] - pos[a:b], n[i] - pos[i])
+                    near &= rest >= least / (1 + least) * (n[a:b] + n[i]) - EPS
+                    j = at[near]
+                    us.append(np.minimum(s[i], s[j]))
+                    vs.append(np.maximum(s[i], s[j]))
+            if us:
+                yield pa.record_batch([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
+
+        yield from _by_group(batches, work)
+
+    return run
 
 
 def _may(a: str, b: str, least: float):
@@ -201,23 +286,21 @@ def near_components(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataF
     part.  An empty table gives an empty result.
     """
     rows = materialize(add_sets(docs, size).withColumn("row", F.monotonically_increasing_id()), "near-rows")
-    dealt = prefixes(rows, size, least).repartition(F.col("h")).sortWithinPartitions("h", "set")
-    schema = "h long, set long, n int, pos int, lead_set long, lead_n int, lead_pos int"
+    dealt = prefixes(rows, size, least).repartition(F.col("h")).sortWithinPartitions("h")
+    schema = "h long, set long, n int, pos int, fp long, lead_set long, lead_n int, lead_pos int"
     met = materialize(arrow_map(dealt, _meetings, schema), "near-met")
-    tried = met.where(F.col("set") != F.col("lead_set")).where(_may("", "lead_", least))
-    tried = materialize(tried.select(F.col("lead_set").alias("u"), F.col("set").alias("v")).distinct(), "near-pairs")
+    tried = met.where(_may("", "lead_", least)).select(F.least("lead_set", "set").alias("u"), F.greatest("lead_set", "set").alias("v"))
+    tried = materialize(tried.where("u <> v").distinct(), "near-pairs")
     links = _verified(tried, rows, size, least)
     roots = materialize(connected_components(links), "near-roots")
     # Sets that met, and are not yet in one component.
-    own = met.select("h", "set", "n", "pos").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    own = met.select("h", "set", "n", "pos", "fp").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     open_ = own.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi and k > 2").select("h")
-    own = materialize(own.join(open_, "h", "left_semi"), "near-open")
-    a = own.select("h", *(F.col(c).alias(f"a_{c}") for c in ("set", "n", "pos", "root")))
-    b = own.select("h", *(F.col(c).alias(f"b_{c}") for c in ("set", "n", "pos", "root")))
-    more = a.join(b, "h").where("a_set < b_set and a_root <> b_root").where(_may("a_", "b_", least))
-    more = more.select(F.col("a_set").alias("u"), F.col("b_set").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = _verified(materialize(more, "near-pairs"), rows, size, least)
+    own = own.join(open_, "h", "left_semi").select("h", "set", "n", "pos", "fp", "root").repartition(F.col("h")).sortWithinPartitions("h")
+    more = arrow_map(own, _across(least), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
+    more = materialize(more, "near-pairs")
     if not more.isEmpty():
+        more = _verified(more, rows, size, least)
         roots = materialize(connected_components(links.unionByName(more)), "near-roots")
     out = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("root", "set"))
     return out.select(*docs.columns, "row", "component")

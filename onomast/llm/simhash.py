@@ -25,25 +25,34 @@ CHUNK = 1024
 LEAF = 24
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
-    """The 64-bit fingerprint of a text; 0 if it has no words."""
+def shingle_hashes(text: str | None, size: int = 4) -> np.ndarray:
+    """64-bit hashes of a text's shingles of ``size`` words in order, repeats included; of fewer words the whole is one shingle, of none there is none."""
     # bytes.lower() maps A-Z only, bytes.split() cuts at \x20 and \x09-\x0D only.
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])
     n = max(1, len(words) - size + 1)
     last = ends[size - 1 :] - 1 if len(words) >= size else ends[-1:] - 1
     h64 = xxhash.xxh64_intdigest
-    found = [h64(line[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())]
+    return np.array([h64(line[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set where more than half of the hashes have it set; 0 of none."""
+    n = len(hashes)
     set_bits = np.zeros(64, np.int64)
-    hashes = np.array(found, dtype=">u8")
     for at in range(0, n, 65_536):
-        part = hashes[at : at + 65_536]
+        part = hashes[at : at + 65_536].astype(">u8")
         set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big") if n else 0
+
+
+def fingerprint(text: str | None, size: int = 4) -> int:
+    """The 64-bit fingerprint of a text; 0 if it has no words."""
+    return majority(shingle_hashes(text, size))
 
 
 def add_fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
