@@ -35,10 +35,12 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near-duplicates: that of the least doc_id, a null one last, and of these the least by the hash of the row.
 
     Near-duplicates have a Jaccard similarity of 0.8 or more between their
-    five-word shingles, compared exactly, or are joined by a chain of such
-    texts.  SimHash of 64 bits can't tell that similarity, so the stage has no
-    more than its name from op7.  Ids play no part in the groups: of unlike
-    texts under one id, or without any, each stays.
+    five-word shingles, or are joined by a chain of such texts.  op7's
+    fingerprints, of five words, are joined as tries with an error budget of
+    24 bits among texts that share a rare shingle; an exact comparison
+    follows.  Ids play no part in the groups: of unlike texts under one id, or
+    without any, each stays.  Null and empty texts are copies of each other;
+    an empty table gives an empty one.
     """
     rows = near_components(docs.select(*COLUMNS), size=5, least=0.8)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*COLUMNS[1:]).alias("hash"), "row")
