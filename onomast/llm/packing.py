@@ -26,8 +26,8 @@ from .common import arrow_map, materialize
 from .tokens import Encoder, slices
 
 GROUPS = 32
-#: Lengths above this share of a sequence are large.
-LARGE = 1 / 3
+#: Lengths above such a share of a sequence are large; the shares are tried in this order.
+LARGE = (1 / 3, 1 / 6, 0.0)
 
 
 class Plan:
@@ -92,8 +92,22 @@ def patterns(size: int, sizes: list[int], need: list[int], rounds: int = 400) ->
     return [(int(x[j] + 1e-6), [int(round(v)) for v in basis[:, j]]) for j in range(k) if x[j] >= 1 - 1e-6]
 
 
-def plan_packing(counts: dict[int, int], size: int, groups: int = GROUPS, large: float = LARGE) -> Plan:
-    """The plan for so many items of each length, 1 to size."""
+def plan_packing(counts: dict[int, int], size: int, groups: int = GROUPS, large: tuple[float, ...] = LARGE) -> Plan:
+    """The plan for so many items of each length, 1 to size: the one of fewest
+    sequences over the shares of a sequence from which a length counts as
+    large, tried until a plan meets the bound of all tokens over ``size``."""
+    bound = -(-sum(s * n for s, n in counts.items()) // size)
+    best = None
+    for share in large:
+        plan = _plan(counts, size, groups, share)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences <= bound:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], size: int, groups: int, large: float) -> Plan:
     plan = Plan(size)
     room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free tokens -> runs of sequences (first, how many)
     free: list[int] = []
@@ -111,8 +125,12 @@ def plan_packing(counts: dict[int, int], size: int, groups: int = GROUPS, large:
         share = -(-total // groups)
         runs: list[list[list[int]]] = [[]]
         left = share
+        few = len(big) <= groups  # each length is a group, and nothing is rounded
         for s in big:
             lo, n = 0, counts[s]
+            if few:
+                runs.append([[s, 0, n]])
+                continue
             while n:
                 if not left:
                     runs.append([])
@@ -122,7 +140,7 @@ def plan_packing(counts: dict[int, int], size: int, groups: int = GROUPS, large:
                 lo, n, left = lo + part, n - part, left - part
         # Groups that round to one size are one group.
         by_size: dict[int, list[list[int]]] = {}
-        for r in runs:
+        for r in filter(None, runs):
             by_size.setdefault(r[0][0], []).extend(r)
         sizes = list(by_size)
         queue = list(by_size.values())
@@ -247,6 +265,7 @@ def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
             made = [pa.array(base[at] + k // each[at]), pa.array(offset[at] + k % each[at] * own)]
             yield pa.record_batch([*b.columns[:-1], *made], names=[*names, "sequence_id", "offset"])
 
-    ranked = pieces.join(counted_before, ["length", "_part"]).select(*names, (F.col("_before") + F.col("_i")).alias("_rank"))
+    # Counts grow with the tasks: a merge join, so that they are never sent to every executor.
+    ranked = pieces.join(counted_before.hint("merge"), ["length", "_part"]).select(*names, (F.col("_before") + F.col("_i")).alias("_rank"))
     schema = pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long")
     return arrow_map(ranked, run, schema)
