@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, crc_mod
@@ -26,8 +26,6 @@ ORDER = 3
 #: Bound on the bytes learned per language, of whole texts in the order of a hash of their ids.
 TRAIN_BYTES = 1_000_000
 TRAIN_DOCS = 1_000
-#: Symbols: the bytes learned most often; the last stands for all others.
-SYMBOLS = 96
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256))
@@ -84,14 +82,12 @@ def learn(samples: dict[str, list[str]]) -> Ppm:
     """Learns from texts by language."""
     langs = sorted(samples)
     folded = {g: [np.frombuffer(fold(t), np.uint8) for t in samples[g]] for g in langs}
-    seen = np.zeros(256, np.int64)
-    for g in langs:
-        own = sum((np.bincount(b, minlength=256) for b in folded[g]), np.zeros(256, np.int64))
-        seen = np.maximum(seen, own * 1_000_000 // max(1, own.sum()) + (own > 0))
+    # Each byte that was learned is a symbol; the last stands for the others, which no context knows.
+    seen = sum((np.bincount(b, minlength=256) for g in langs for b in folded[g]), np.zeros(256, np.int64))
     seen[32] += 1
-    order = [int(b) for b in np.argsort(-seen, kind="stable") if seen[b]][: SYMBOLS - 1]
+    order = np.flatnonzero(seen).tolist()
     size = len(order) + 1
-    symbol = np.full(256, size - 1, np.uint8)
+    symbol = np.full(256, size - 1, np.uint16)
     symbol[order] = np.arange(len(order))
     space = symbol[32]
     tables, known = [], []
@@ -147,18 +143,22 @@ def learn(samples: dict[str, list[str]]) -> Ppm:
 
 
 def train_langid(docs: DataFrame, held: tuple[int, int] = (3, 1)) -> Ppm:
-    """Learns from text and lang of documents off the held-out remainder."""
+    """Learns from text and lang of documents off the held-out remainder.
+
+    Null ids, texts and languages are left out; of a language, whole texts in
+    the order of a hash of their ids, up to TRAIN_DOCS and until TRAIN_BYTES
+    are reached; copies of a text under one language count once; ties of the
+    hash go by doc_id; an empty table learns nothing.  Other columns aren't read.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), held[0]) != held[1]))
-    # The least hashes of each language, each an aggregate of bounded size.
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).select("lang").collect()]
-    picked = None
-    for g in langs:
-        own = known.where(F.col("lang") == g).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n")).orderBy("h", "doc_id").limit(TRAIN_DOCS)
-        picked = own if picked is None else picked.unionByName(own)
-    if picked is None:
+    # The least hashes of each language, of all languages in one scan; each task passes on no more than the bound.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n")).withColumn("place", place).where(F.col("place") <= TRAIN_DOCS)
+    rows = picked.collect()  # TRAIN_DOCS ids a language
+    if not rows:
         return learn({})
     chosen, spent = [], {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"])):
         if spent.get(r["lang"], 0) < TRAIN_BYTES:
             spent[r["lang"]] = spent.get(r["lang"], 0) + r["n"]
             chosen.append((r["doc_id"], r["lang"]))
@@ -178,7 +178,8 @@ def identify(docs: DataFrame, model: Ppm, keep: list[str] | None = None) -> Data
     judged alike; an empty table gives an empty one.
     """
     keep = [c for c in (keep or ["doc_id"]) if c not in ("lang_pred", "lang_score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SYMBOLS, ORDER and TRAIN_BYTES
+    # As many rows as contexts were learned, so bounded by TRAIN_BYTES a language; a column for each byte and language.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
