@@ -233,16 +233,32 @@ def fit(rows: list[tuple[str, int]], weight: tuple[float, float] = (1.0, 1.0), f
     return ToxicityModel(stems(None), boost(x, y, w), at, level)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4, 2), most: int = MAX_TRAIN) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4, 2), most: int = MAX_TRAIN, most_bytes: int = MAX_BYTES) -> ToxicityModel:
+    """Learns from labelled rows off the held-out remainder.
+
+    At most ``most`` rows, half of either class where there are as many, chosen
+    by a hash of the id, and of these, in the order of that hash, whole texts
+    until ``most_bytes`` are reached.  Null ids and labels other than 0 and 1
+    are left out; a null text is empty; copies of a row count once; empty
+    tables give a model that scores all alike.  Other columns aren't read.
+    """
     from .common import crc_mod
 
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), held[0]) != held[1]))
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    texts, used = {}, 0
-    picked = training_rows(docs, labels, "toxic", held, most).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"))
-    for r in picked.toLocalIterator():
-        if used + len(r["text"]) <= MAX_BYTES:
-            used += len(r["text"])
+    text = F.coalesce("text", F.lit(""))
+    picked = training_rows(docs, labels, "toxic", held, most).select("doc_id", "label", text.alias("text"), F.xxhash64("doc_id").alias("h"), F.xxhash64(text).alias("t"), F.octet_length(text).alias("bytes"))
+    # Sizes first, a few thousand numbers, so that which rows are read doesn't hang on the order of tasks.
+    sizes = sorted({(r["h"], r["doc_id"], r["t"], r["bytes"]) for r in picked.select("h", "doc_id", "t", "bytes").collect()})
+    total, last = 0, None
+    for h, i, t, n in sizes:
+        if total + n > most_bytes and last is not None:
+            break
+        total, last = total + n, (h, i, t)
+    texts = {}
+    if last is not None:
+        upto = F.struct("h", F.col("doc_id").cast("long"), "t") <= F.struct(*(F.lit(x).cast("long") for x in last))
+        for r in picked.where(upto).toLocalIterator():
             texts[r["h"], r["doc_id"], r["text"]] = r["label"]
     rows = [(k[2], texts[k]) for k in sorted(texts)]
     n = Counter(y for _, y in rows)
