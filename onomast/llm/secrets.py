@@ -59,25 +59,33 @@ ENCODINGS = {
 }
 SLICES = 4
 LENGTH_CLASSES = (32, 64)
+#: Numbers that are summed in one go, and characters in a stretch where spans may overlap.
+BLOCK, STRETCH = 64, 4096
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _spans(text: Column, found: Column, regex: str, kind: int, keep=None) -> Column:
-    """Spans of all matches: found are the matched texts in order, and what the split leaves stands between them."""
-    gaps = F.split(text, regex, -1)
-    folded = F.aggregate(
-        F.arrays_zip(F.transform(found, lambda m: F.length(m)).alias("n"), F.slice(F.transform(gaps, lambda g: F.length(g)), 1, F.greatest(F.size(found), F.lit(0))).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("all")),
-        lambda s, x: F.struct(
-            (s["at"] + x["g"] + x["n"]).cast("int").alias("at"),
-            F.concat(
-                s["all"],
-                F.array(F.struct((s["at"] + x["g"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (s["at"] + x["g"] + x["n"]).cast("int").alias("end"))),
-            ).alias("all"),
+def _sums(lengths: Column) -> Column:
+    """For each number of an array the sum of those before it, a block at a time: folding one by one would copy the whole for each."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    one = lambda s, b: F.slice(lengths, b * BLOCK + 1, BLOCK)
+    return F.aggregate(
+        F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / BLOCK).cast("int")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+        lambda s, b: F.struct(
+            (s["at"] + total(one(s, b))).alias("at"),
+            F.concat(s["all"], F.transform(one(s, b), lambda _, i: s["at"] + total(F.slice(lengths, b * BLOCK + 1, i)))).alias("all"),
         ),
         lambda s: s["all"],
     )
-    return folded
+
+
+def _spans(text: Column, found: Column, regex: str, kind: int, keep=None) -> Column:
+    """Spans of all matches: found are the matched texts in order, and what the split leaves stands between them."""
+    gaps = F.transform(F.slice(F.split(text, regex, -1), 1, F.greatest(F.size(found), F.lit(0))), lambda g: F.length(g))
+    sizes = F.transform(found, lambda m: F.length(m))
+    ends = F.zip_with(gaps, sizes, lambda g, n: g + n)
+    parts = F.arrays_zip(_sums(ends).alias("at"), gaps.alias("g"), sizes.alias("n"))
+    return F.transform(parts, lambda x: F.struct((x["at"] + x["g"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (x["at"] + x["g"] + x["n"]).cast("int").alias("end"))).cast(SPAN)
 
 
 def _scan(text: Column, regex: str, kind: int, hint: str | None = None) -> Column:
@@ -196,9 +204,15 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, alpha: float =
     base = F.concat(_scan(text, ASSIGN, 0, ASSIGN_HINT), _scan(text, ACCESS, 1), _scan(text, HEX, 2))
     found = docs.select(*keep, base.alias("_base"), F.when(text.rlike(RUN), _spans(text, F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), RUN, 3)).otherwise(F.array().cast(SPAN)).alias("_runs"), F.when(text.rlike(RUN), F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).alias("_texts"))
     found = materialize(found.withColumn("_row", F.monotonically_increasing_id()), "secrets")
-    free = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    runs = found.where(F.size("_runs") > 0).select("_row", "_base", F.explode(F.arrays_zip(F.col("_runs").alias("s"), F.col("_texts").alias("t"))).alias("r"))
-    runs = runs.where(free(F.col("r")["s"])).select("_row", F.col("r")["s"].alias("span"), F.col("r")["t"].alias("run"))
+    runs = found.where(F.size("_runs") > 0).select("_row", F.explode(F.arrays_zip(F.col("_runs").alias("s"), F.col("_texts").alias("t"))).alias("r"))
+    runs = runs.select("_row", F.col("r")["s"].alias("span"), F.col("r")["t"].alias("run"))
+    # Runs and base spans meet in stretches of the text, so each is compared with its neighbours alone.
+    stretch = lambda s: F.explode(F.sequence(F.floor(s["start"] / STRETCH), F.floor((s["end"] - 1) / STRETCH)))
+    both = found.where((F.size("_runs") > 0) & (F.size("_base") > 0))
+    mine = both.select("_row", F.explode("_runs").alias("span")).select("_row", "span", stretch(F.col("span")).alias("at"))
+    theirs = both.select("_row", F.explode("_base").alias("b")).select("_row", "b", stretch(F.col("b")).alias("at"))
+    taken = mine.join(theirs, ["_row", "at"]).where((F.col("b.start") < F.col("span.end")) & (F.col("span.start") < F.col("b.end"))).select("_row", "span").distinct()
+    runs = runs.join(taken, ["_row", "span"], "left_anti")
     runs = materialize(randomness(runs).withColumn("length_class", _length_class(F.col("run"))), "runs")
     bounds = e_bh_bounds(runs, fdr)
     bound = F.lit(None).cast("double")
