@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,13 +58,67 @@ def read_corpus_lines(spark: SparkSession, path: str, skip: int = 3) -> DataFram
     return lines.where((F.col("n") >= skip) & (F.col("line") != "")).select("line")
 
 
-def strict_bool(c: str):
-    """true/false, 1/0, yes/no as boolean; anything else is an error when it is read."""
+def _fail(message) -> Column:
+    return F.raise_error(message)
+
+
+def required_bool(c: str) -> Column:
+    """true, t, yes, y or 1 and their contraries as boolean; anything else is an error when it is read."""
     low = F.lower(F.trim(F.col(c).cast("string")))
-    return F.when(low.isin("true", "1", "yes"), True).when(low.isin("false", "0", "no"), False).otherwise(F.raise_error(F.concat(F.lit(f"{c} is no boolean: "), F.coalesce(low, F.lit("null")))).cast("boolean"))
+    low = F.regexp_replace(low, r"^([01])\.0$", "$1")
+    bad = _fail(F.concat(F.lit(f"{c} must be a boolean: "), F.coalesce(low, F.lit("null")))).cast("boolean")
+    return F.when(low.isin("true", "t", "1", "yes", "y"), True).when(low.isin("false", "f", "0", "no", "n"), False).otherwise(bad)
 
 
-def lenient_double(c: str):
-    """A number, or null for what is empty, NaN or none."""
+def required_number(c: str) -> Column:
+    """A finite number, else an error when it is read."""
     x = F.col(c).cast("string").try_cast("double")
-    return F.when(F.isnan(x), None).otherwise(x)
+    good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(good, x).otherwise(_fail(F.lit(f"{c} must be a finite number")).cast("double"))
+
+
+def optional_number(c: str, default: float | None = None) -> Column:
+    """A finite number, or the default for null, empty and NaN."""
+    text = F.trim(F.col(c).cast("string"))
+    empty = text.isNull() | (text == "") | (F.lower(text) == "nan")
+    return F.when(empty, F.lit(default).cast("double")).otherwise(required_number(c))
+
+
+def required_text(c: str, allowed: tuple[str, ...] = ()) -> Column:
+    """Text that isn't empty and is one of ``allowed``, if given; else an error when it is read."""
+    x = F.col(c).cast("string")
+    good = x.isNotNull() & ~x.isin("", "NaN")
+    if allowed:
+        good = good & x.isin(*allowed)
+    what = f"{c} must be one of {', '.join(allowed)}" if allowed else f"{c} is required"
+    return F.when(good, x).otherwise(_fail(F.lit(what)))
+
+
+def optional_text(c: str) -> Column:
+    """Text; empty for null and NaN."""
+    x = F.col(c).cast("string")
+    return F.when(x.isNull() | (x == "NaN"), "").otherwise(x)
+
+
+FORMATS = ("surname_first", "given_first", "mixed")
+POSITIONS = ("first", "last", "internal", "unknown")
+
+
+def coerce_routing(df: DataFrame) -> DataFrame:
+    """Router rows from a file of any types, each known column by its kind; a bad cell is an error that names its column."""
+    ends = {"success": required_bool, "threshold_met": required_bool, "result": optional_text, "selected_format": lambda c: required_text(c, FORMATS), "dominant_format": lambda c: required_text(c, FORMATS), "surname_position": lambda c: required_text(c, POSITIONS), "ratio": optional_number}
+    flags = ("has_cjk", "has_latin", "cjk_has_space")
+
+    def one(c: str) -> Column:
+        if c in flags:
+            return required_bool(c)
+        for end, kind in ends.items():
+            if c.endswith(end):
+                return kind(c)
+        if c.endswith(("count", "raw_tokens")):
+            return required_number(c).cast("long")
+        if c.endswith(("frequency", "confidence", "margin")):
+            return optional_number(c, 0.0) if c.endswith("frequency") else required_number(c)
+        return F.col(c)
+
+    return df.select(*[one(c).alias(c) for c in df.columns])
