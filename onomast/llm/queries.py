@@ -105,4 +105,22 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_urls": op3_urls, "op4_embeddings": op4_embeddings, "op5_toxicity": op5_toxicity, "op8_langid": op8_langid, "op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {}
+#: Words and their places, windows, and their occurrences, one length of windows after the other.
+OP10_SQL = r"""WITH dw AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+bw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT DISTINCT item, array_to_string(w[a : a + 9], ' ') AS s, least(len(w), 10) AS n FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS a FROM bw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+places AS (SELECT doc_id, n, a, array_to_string(w[a : a + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM dw, sizes WHERE len(w) >= n)),
+found AS (SELECT doc_id, a, places.n, item FROM places JOIN win ON win.s = places.s AND win.n = places.n),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + n)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS line FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(line, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+#: All pairs of a label by cosine, then what is reachable.
+OP4_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, e FROM v WHERE len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+lowest AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(least(vec_id, lowest.b), vec_id)::BIGINT AS component_id, vec_id = coalesce(least(vec_id, lowest.b), vec_id) AS kept FROM embeddings LEFT JOIN lowest ON lowest.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+ORACLES: dict[str, str] = {"op4_embeddings": OP4_SQL, "op10_decontaminate": OP10_SQL}

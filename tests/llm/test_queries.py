@@ -6,13 +6,14 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from onomast.llm.queries import QUERIES
+from onomast.llm.queries import ORACLES, QUERIES
 
 RNG = random.Random(8)
 WORDS = "the of and to in river stone hears light under over cold warm seven quiet garden holds open letters Été naïve 数据 x1".split()
@@ -212,3 +213,14 @@ def test_models(spark, made, name, n, rest):
     for d in made[1]:
         by[d[1]].add(got[d[0]]["score"])
     assert all(len(s) == 1 for s in by.values())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, made, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{made[0]}/{t}.parquet/*.parquet')")
+    want = con.sql(ORACLES[name])
+    cols = sorted(want.columns)
+    got = sorted(str(tuple(r[c] for c in cols)) for r in rows(spark, made, name))
+    assert got == sorted(str(r) for r in con.sql(f"select {', '.join(cols)} from ({ORACLES[name]})").fetchall())
