@@ -26,7 +26,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that score 0.5 or more; the model is learned as in op1, from labels off the held-out third."""
+    """Keeps documents that score 0.5 or more; the model is learned as in op1, from labels off the held-out third.
+
+    A null text counts as empty and is scored like one; a null id plays no part
+    but in the labels; whole texts are read; repeated rows are judged alike;
+    an empty table gives an empty one; other columns than ``COLUMNS`` go.
+    """
     model = train_quality(docs, _table(spark, sf_dir, "labels"))
     return score_quality(docs, model, COLUMNS).where("quality_score >= 0.5").select(*COLUMNS)
 
@@ -50,13 +55,23 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of the benchmark."""
+    """Drops documents that hold a window of the benchmark.
+
+    Each row is judged by its own text, also where ids are null or repeat; null
+    and empty texts hold none and stay; whole texts are searched; empty tables
+    on either side drop nothing; other columns than ``COLUMNS`` go.
+    """
     out = decontaminate(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
     return out.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; every document stays."""
+    """Masks secrets in the texts; every document stays.
+
+    A null text stays null; n_chars counts anew where something was masked;
+    copies are masked alike, and each counts in the false-discovery rule; an
+    empty table gives an empty one; other columns than ``COLUMNS`` go.
+    """
     text = redact(F.col("text"), F.col("spans"))
     masked = F.size("spans") > 0
     out = scan_secrets(docs, COLUMNS).withColumns({"text": text, "n_chars": F.when(masked, F.length(text).cast("long")).otherwise(F.col("n_chars"))})
@@ -64,7 +79,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 4096 tokens: a row per piece."""
+    """Packs the documents into sequences of 4096 tokens: a row per piece.
+
+    A null text is empty and has its end id alone; only longer documents are
+    cut; copies take any places for their length; null ids stay; an empty
+    table gives an empty one; other columns than ``COLUMNS`` aren't read.
+    """
     pieces = encode_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     placed = pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
