@@ -39,6 +39,8 @@ PAIRS = 5_000
 EPS = 1e-9
 #: Error budget of fingerprints: pairs beyond it aren't compared.
 BITS = 24
+#: Turns in which a text meets so many of the nearest and of the most central ones, before all that are left.
+TURNS, FEW = 2, 2
 #: Texts at one element that are joined as a trie; more of them meet leaders first.
 TRIE = 512
 
@@ -204,8 +206,13 @@ def _meetings(batches):
     yield from _by_group(batches, work)
 
 
-def _across(least: float):
-    """Of rows (h, set, n, pos, fp, root) sorted by h: pairs (u, v) of different roots that may be similar enough."""
+def _across(least: float, full: bool):
+    """Of rows (h, set, n, pos, fp, root) sorted by h: pairs (u, v) of different roots that may be similar enough.
+
+    Unless ``full``, a text meets no more than a few: the nearest by their
+    fingerprints, and those nearest to the middle of all, which in a cluster
+    of copies is what they were made from.
+    """
 
     def run(batches):
         def work(t: pa.Table):
@@ -217,16 +224,26 @@ def _across(least: float):
                 names, of, count = np.unique(root[a:b], return_inverse=True, return_counts=True)
                 if len(names) < 2:
                     continue
+                bits = fp[a:b]
+                ones = np.unpackbits(bits.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+                middle = np.frombuffer(np.packbits(2 * ones > b - a).tobytes(), ">u8")[0].astype(np.uint64)
+                central = np.argsort(np.bitwise_count(bits ^ middle), kind="stable")
                 rare = np.flatnonzero(of != np.argmax(count))  # each pair across roots has one of these
-                at = np.arange(a, b)
-                for k in rare:
+                for k in rare if full else range(b - a):
                     i = a + int(k)
-                    near = (of != of[k]) & (np.bitwise_count(fp[a:b] ^ fp[i]) <= BITS)
+                    apart = np.bitwise_count(bits ^ fp[i])
                     rest = np.minimum(n[a:b] - pos[a:b], n[i] - pos[i])
-                    near &= rest >= least / (1 + least) * (n[a:b] + n[i]) - EPS
-                    j = at[near]
-                    us.append(np.minimum(s[i], s[j]))
-                    vs.append(np.maximum(s[i], s[j]))
+                    near = (of != of[k]) & (apart <= BITS) & (rest >= least / (1 + least) * (n[a:b] + n[i]) - EPS)
+                    if not near.any():
+                        continue
+                    if full:
+                        j = np.flatnonzero(near)
+                    else:
+                        hub = central[near[central]][:FEW]
+                        open_ = np.flatnonzero(near)
+                        j = np.unique(np.concatenate([hub, open_[np.argsort(apart[open_], kind="stable")[:FEW]]]))
+                    us.append(np.minimum(s[i], s[a + j]))
+                    vs.append(np.maximum(s[i], s[a + j]))
             if us:
                 yield pa.record_batch([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
 
@@ -293,14 +310,21 @@ def near_components(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataF
     tried = materialize(tried.where("u <> v").distinct(), "near-pairs")
     links = _verified(tried, rows, size, least)
     roots = materialize(connected_components(links), "near-roots")
-    # Sets that met, and are not yet in one component.
-    own = met.select("h", "set", "n", "pos", "fp").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    open_ = own.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi and k > 2").select("h")
-    own = own.join(open_, "h", "left_semi").select("h", "set", "n", "pos", "fp", "root").repartition(F.col("h")).sortWithinPartitions("h")
-    more = arrow_map(own, _across(least), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
-    more = materialize(more, "near-pairs")
-    if not more.isEmpty():
-        more = _verified(more, rows, size, least)
-        roots = materialize(connected_components(links.unionByName(more)), "near-roots")
+    # Sets that met, and are not yet in one component, meet others: few at a time, and at last all that are left.
+    for turn in range(TURNS + 1):
+        own = met.select("h", "set", "n", "pos", "fp").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        open_ = own.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi and k > 2").select("h")
+        own = own.join(open_, "h", "left_semi").select("h", "set", "n", "pos", "fp", "root").repartition(F.col("h")).sortWithinPartitions("h")
+        more = arrow_map(own, _across(least, turn == TURNS), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
+        more = materialize(more, "near-pairs")
+        if more.isEmpty():
+            if turn < TURNS:
+                continue
+            break
+        found = _verified(more, rows, size, least)
+        tried = materialize(tried.unionByName(more), "near-tried")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = materialize(connected_components(links), "near-roots")
     out = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("root", "set"))
     return out.select(*docs.columns, "row", "component")
