@@ -64,28 +64,35 @@ BLOCK, STRETCH = 64, 4096
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), worked out once: what a lambda names from outside is worked out again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _sums(lengths: Column) -> Column:
     """For each number of an array the sum of those before it, a block at a time: folding one by one would copy the whole for each."""
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    one = lambda s, b: F.slice(lengths, b * BLOCK + 1, BLOCK)
-    return F.aggregate(
-        F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / BLOCK).cast("int")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda s, b: F.struct(
-            (s["at"] + total(one(s, b))).alias("at"),
-            F.concat(s["all"], F.transform(one(s, b), lambda _, i: s["at"] + total(F.slice(lengths, b * BLOCK + 1, i)))).alias("all"),
-        ),
-        lambda s: s["all"],
-    )
+    blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / BLOCK).cast("int"))
+
+    def add(s: Column, b: Column) -> Column:
+        return _let(
+            F.slice(lengths, b * BLOCK + 1, BLOCK),
+            lambda part: F.struct(
+                (s["at"] + total(part)).alias("at"),
+                F.concat(s["all"], F.transform(part, lambda _, i: s["at"] + total(F.slice(part, F.lit(1), i)))).alias("all"),
+            ),
+        )
+
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), add, lambda s: s["all"])
 
 
 def _spans(text: Column, found: Column, regex: str, kind: int, keep=None) -> Column:
     """Spans of all matches: found are the matched texts in order, and what the split leaves stands between them."""
     gaps = F.transform(F.slice(F.split(text, regex, -1), 1, F.greatest(F.size(found), F.lit(0))), lambda g: F.length(g))
-    sizes = F.transform(found, lambda m: F.length(m))
-    ends = F.zip_with(gaps, sizes, lambda g, n: g + n)
-    parts = F.arrays_zip(_sums(ends).alias("at"), gaps.alias("g"), sizes.alias("n"))
-    return F.transform(parts, lambda x: F.struct((x["at"] + x["g"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (x["at"] + x["g"] + x["n"]).cast("int").alias("end"))).cast(SPAN)
+    pairs = F.zip_with(gaps, F.transform(found, lambda m: F.length(m)), lambda g, n: F.struct(g.alias("g"), n.alias("n")))
+    span = lambda x, at: F.struct((at + x["g"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (at + x["g"] + x["n"]).cast("int").alias("end"))
+    sums = lambda ps: _let(F.transform(ps, lambda x: x["g"] + x["n"]), _sums)
+    return _let(pairs, lambda ps: F.zip_with(ps, sums(ps), span)).cast(SPAN)
 
 
 def _scan(text: Column, regex: str, kind: int, hint: str | None = None) -> Column:
@@ -140,12 +147,18 @@ def randomness(runs: DataFrame) -> DataFrame:
     mean = 2 * n1 * n0 / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
     runs = runs.withColumn("p_runs", F.when((n1 > 0) & (n0 > 0) & (var > 0), _normal_two_sided((count - mean) / F.sqrt(var))).otherwise(F.lit(0.0)))
-    centre = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v.cast("double")) / n
-    runs = runs.withColumn("_d", F.transform("_x", lambda v: v.cast("double") - centre))
-    square = F.aggregate("_d", F.lit(0.0), lambda a, v: a + v * v)
-    lag = F.aggregate(F.zip_with(F.slice("_d", 1, F.size("_d") - 1), F.slice("_d", 2, F.size("_d") - 1), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    # By sums alone: a mean inside a lambda would be worked out for each character.
+    total = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    squares = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
+    less = F.greatest(F.size("_x") - 1, F.lit(0))
+    products = F.aggregate(F.zip_with(F.slice("_x", F.lit(1), less), F.slice("_x", F.lit(2), less), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, v: a + v)
+    runs = runs.withColumns({"_s1": total, "_s2": squares, "_s3": products})
+    centre = F.col("_s1") / n
+    ends = F.get("_x", F.lit(0)) + F.element_at("_x", -1)
+    square = F.col("_s2") - F.col("_s1") * centre
+    lag = F.col("_s3") - centre * (2 * F.col("_s1") - ends) + (n - 1) * centre * centre
     rho = lag / square
-    runs = runs.withColumn("p_serial", F.when(square > 0, _normal_two_sided((rho + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0)))
+    runs = runs.withColumn("p_serial", F.when(square > 1e-9, _normal_two_sided((rho + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0)))
     # The least over three kinds of prose is an e-value against each.
     uniform = n * -F.log(F.col("_k"))
     spread = common = capitals = uniform
@@ -157,7 +170,7 @@ def randomness(runs: DataFrame) -> DataFrame:
     cost = F.create_map(*[F.lit(x) for c, share in LETTERS.items() for x in (c, -math.log(share / sum(LETTERS.values())))])
     letters = F.aggregate("_c", F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(cost, F.upper(c)), F.lit(0.0)))
     runs = runs.withColumns({"_spread": spread, "_common": common + letters, "_capitals": capitals + letters})
-    return runs.withColumn("log_e", F.least("_spread", "_common", "_capitals")).drop("_k", "_c", "_x", "_h", "_d", "_spread", "_common", "_capitals")
+    return runs.withColumn("log_e", F.least("_spread", "_common", "_capitals")).drop("_k", "_c", "_x", "_h", "_s1", "_s2", "_s3", "_spread", "_common", "_capitals")
 
 
 def _length_class(run: Column) -> Column:
