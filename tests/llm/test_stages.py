@@ -19,7 +19,7 @@ def folder(spark, tmp_path_factory):
 
 def rows():
     own = [f"{GOOD} number {i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(4)]
-    texts = [(None, own[0]), (None, own[1]), (7, own[2]), (7, own[3]), (8, own[3]), (9, None), (None, ""), (10, "x" * 300_000), (11, "token = abcdefgh12345")]
+    texts = [(None, own[0]), (None, own[1]), (7, own[2]), (7, own[3]), (8, own[3]), (9, None), (None, ""), (10, "x y " * 20_000), (11, "token = abcdefgh12345")]
     return [(i, t, None, None, None, "clash", 5) for i, t in texts]
 
 
