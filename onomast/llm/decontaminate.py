@@ -106,7 +106,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     none = F.array().cast("array<struct<start:int,ws:array<string>,items:array<string>>>")
     fits = F.filter(F.coalesce("_found", none), lambda c: F.slice(F.col("_w"), c["start"] + 1, F.size(c["ws"])) == c["ws"])
     out = out.withColumn("_ok", fits)
-    spans = F.array_sort(F.array_distinct(F.transform("_ok", lambda c: F.struct(c["start"].alias("start"), (c["start"] + F.size(c["ws"])).alias("end")))))
+    # A span as one number, by which repeats go in linear time; numbers sort as (start, end) do.
+    packed = F.array_sort(F.array_distinct(F.transform("_ok", lambda c: F.shiftleft(c["start"].cast("long"), 32) + F.size(c["ws"]))))
+    start = lambda x: F.shiftright(x, 32).cast("int")
+    spans = F.transform(packed, lambda x: F.struct(start(x).alias("start"), (start(x) + x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("end")))
     out = out.select(
         *docs.columns,
         F.size("_w").cast("long").alias("n_words"),

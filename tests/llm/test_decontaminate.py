@@ -1,4 +1,5 @@
 import re
+import time
 
 from onomast.llm.decontaminate import decontaminate, proximity_matches
 
@@ -63,3 +64,13 @@ def test_proximity(spark):
     items = spark.createDataFrame([(9, "rarea x x rareb")], "item_id long, text string")
     got = {r["doc_id"]: r["gap"] for r in proximity_matches(docs, items, slop=2).collect()}
     assert got == {1: 0, 2: 1}
+
+
+def test_long_text_of_hits(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, (PASSAGE + " ") * n), (2, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate(docs, items).select("doc_id", "n_words", "n_hit", "n_items").collect()}
+    assert got == {1: (12 * n, 12 * n, 2), 2: (1, 0, 0)}
+    assert time.time() - start < 60
