@@ -25,6 +25,8 @@ from .components import connected_components, forest
 
 BLOCK = 1024
 CODE_BITS = 12
+#: About so many blocks of a label on either side of a key under which they meet.
+GROUP = 256
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +165,13 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     b = blocks.select(*[F.col(c).alias(c if c in ("label", "dim") else f"b_{c}") for c in meta])
     apart = F.sqrt(F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
-    pairs = a.join(b, ["label", "dim"]).where("a_block <= b_block").where(apart <= F.col("a_radius") + F.col("b_radius") + reach)
+    # A label's blocks are dealt to groups, and each two groups meet under a key of their own.
+    sizes = blocks.groupBy("label", "dim").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("k"))
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    group = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
+    a = a.join(sizes, ["label", "dim"]).select("*", group("a_block").alias("ga"), every.alias("gb")).drop("k")
+    b = b.join(sizes, ["label", "dim"]).select("*", group("b_block").alias("gb"), every.alias("ga")).drop("k")
+    pairs = a.join(b, ["label", "dim", "ga", "gb"]).where("a_block <= b_block").where(apart <= F.col("a_radius") + F.col("b_radius") + reach)
     pairs = materialize(pairs.select("label", "dim", "a_block", "b_block"), "block-pairs")
     body = ["ids", "sizes", "vecs"]
     full = pairs

@@ -37,7 +37,8 @@ def brute(rows, least):
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    monkeypatch.setattr(embeddings, "GROUP", 2)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(25, 8))
     rows = []
