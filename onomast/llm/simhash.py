@@ -1,8 +1,9 @@
 """SimHash near-duplicates by a self-join over binary tries of fingerprints.
 
-Two 64-bit fingerprints that differ in at most ``budget`` bits agree on one of
-``budget + 1`` blocks of bits.  Distinct fingerprints are dealt by (block,
-value); the members of a bucket form a binary trie, which is joined with itself:
+Two 64-bit fingerprints that differ in at most ``budget`` bits agree on at
+least r of ``budget + r`` blocks of bits.  Distinct fingerprints are dealt by
+each choice of r blocks and their value, r growing with their number so that
+buckets stay small; the members of a bucket form a binary trie, which is joined with itself:
 node pairs are walked down together, differing bits add up, and a pair is left
 as soon as they exceed the budget.  A bucket of more than ``chunk``
 fingerprints becomes several tries, joined pairwise in different tasks.
@@ -11,6 +12,8 @@ fingerprints becomes several tries, joined pairwise in different tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -148,21 +151,33 @@ def _join(budget: int):
     return run
 
 
+def block_keys(count: int, budget: int, chunk: int) -> list[list[tuple[int, int]]]:
+    """Choices of blocks, each a list of (lowest bit, width), of which two fingerprints within the budget agree on one.
+
+    All r of budget + r blocks do for any r; it is chosen so that ``count``
+    fingerprints make the fewest rows.
+    """
+
+    def rows(r: int) -> float:
+        shared = 64 * r // (budget + r)
+        return comb(budget + r, r) * max(1, ceil(count / chunk / 2**shared))
+
+    r = min(range(1, 5), key=rows)
+    m = budget + r
+    edges = [64 * k // m for k in range(m + 1)]
+    return [list(pick) for pick in combinations([(a, b - a) for a, b in zip(edges, edges[1:])], r)]
+
+
 def fingerprint_links(prints: DataFrame, budget: int = 4, chunk: int = CHUNK) -> DataFrame:
     """Edges (u, v) that join all distinct values of prints.fp at budget or fewer differing bits,
     thinned to spanning forests: no connection is lost."""
-    blocks, width, parts = budget + 1, 64 // (budget + 1), []
-    for k in range(blocks):
-        w = width + (1 if k < 64 - width * blocks else 0)
-        at = sum(p[2] for p in parts)
-        parts.append((k, 64 - at - w, w))
-    fp = F.col("fp")
-    keys = F.array(
-        *(
-            F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << w) - 1)).cast("int").alias("val"))
-            for k, low, w in parts
-        )
-    )
+    fp, made = F.col("fp"), []
+    for k, pick in enumerate(block_keys(prints.count(), budget, chunk)):
+        val = F.lit(0).cast("long")
+        for low, width in pick:
+            val = F.shiftleft(val, width) + F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+        made.append(F.struct(F.lit(k).alias("block"), val.alias("val")))
+    keys = F.array(*made)
     dealt = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.val")
     sizes = dealt.groupBy("block", "val").agg(F.count("*").alias("n")).where("n > 1")
     # Every bucket that is not hot is a trie of its own; of a hot one, each row goes to the tries its part meets.

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from onomast.llm.components import connected_components
-from onomast.llm.simhash import fingerprint, fingerprint_links, simhash_components, trie_pairs
+from onomast.llm.simhash import block_keys, fingerprint, fingerprint_links, simhash_components, trie_pairs
 
 
 def brute_fingerprint(text):
@@ -59,6 +59,30 @@ def test_links_join_all_within_budget_also_in_hot_buckets(spark):
     assert [got.index(g) for g in got] == want
 
 
+def test_near_fingerprints_share_a_choice_of_blocks():
+    rng = random.Random(3)
+    for count, least in ((1000, 12), (10**8, 21), (10**10, 26), (10**12, 32)):
+        keys = block_keys(count, 4, 1024)
+        assert min(sum(w for _, w in pick) for pick in keys) >= least - 3
+        assert len({len(pick) for pick in keys}) == 1 and {b for pick in keys for low, w in pick for b in range(low, low + w)} == set(range(64))
+        for _ in range(300):
+            apart = sum(1 << k for k in rng.sample(range(64), 4))
+            assert any(all(apart >> low & ((1 << w) - 1) == 0 for low, w in pick) for pick in keys)
+
+
+def test_links_by_several_blocks(spark, monkeypatch):
+    from onomast.llm import simhash
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    vals = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(12)})
+    monkeypatch.setattr(simhash, "block_keys", lambda count, budget, chunk: block_keys(10**8, budget, chunk))
+    df = spark.createDataFrame([(v - (1 << 64) if v >= 1 << 63 else v,) for v in vals], "fp long")
+    roots = {r["node"] & ((1 << 64) - 1): r["root"] for r in connected_components(fingerprint_links(df, 4)).collect()}
+    got = [roots.get(v, -v) for v in vals]
+    assert [got.index(g) for g in got] == brute_components(vals)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
