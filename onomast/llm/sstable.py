@@ -10,9 +10,11 @@ over the keys, and a footer of fixed size.  All numbers are little-endian.
     bloom    u32 hashes, then the bits
     footer   u64 index offset, u64 bloom offset, u64 documents, u64 tokens, u32 width of an id, u32 crc32 of index and bloom, 8 bytes magic
 
-A key is one byte (0: no id, 1: id), eight bytes of the id that sort as the
-number does, and four bytes that count rows of the same id.  A value is the
-document's ids, 2 or 4 bytes each.
+A key is one byte (0: no id, 1: id) and eight bytes of the id that sort as the
+number does; eight of the text's hash and eight of a row number follow, by
+which rows of one id have keys of their own, in whichever shards they come to
+lie.  The Bloom filter holds the first nine bytes.  A value is the document's
+ids, 2 or 4 bytes each.
 """
 
 from __future__ import annotations
@@ -39,13 +41,20 @@ FOOTER = struct.Struct("<QQQQII8s")
 BLOCK = 1 << 16
 RESTART = 16
 SHARD = 32 << 20
+#: Documents to a shard at most, so that keys of tiny ones stay few in memory.
+SHARD_DOCS = 1 << 18
+#: Shards that one task reads, where there are many.
+READ = 8
+ID = 9
 BLOOM_BITS = 10
 
 
-def key_of(doc_id: int | None, nth: int = 0) -> bytes:
+def key_of(doc_id: int | None, order: int = 0, row: int = 0) -> bytes:
+    """The key of a row; its first ``ID`` bytes are those of the identifier."""
+    sort = lambda n: (n + (1 << 63)) & ((1 << 64) - 1)
     if doc_id is None:
-        return b"\0" + bytes(8) + struct.pack(">I", nth)
-    return b"\1" + struct.pack(">QI", (doc_id + (1 << 63)) & ((1 << 64) - 1), nth)
+        return b"\0" + bytes(8) + struct.pack(">QQ", sort(order), row)
+    return b"\1" + struct.pack(">QQQ", sort(doc_id), sort(order), row)
 
 
 def id_of(key: bytes) -> int | None:
@@ -72,23 +81,28 @@ def _number(b: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int, hashes: int) -> list[int]:
-    h = xxhash.xxh64_intdigest(key)
-    a, b = h & 0xFFFFFFFF, h >> 32 | 1
-    return [(a + i * b) % bits for i in range(hashes)]
+def _probes(hashed: np.ndarray, bits: int, hashes: int) -> np.ndarray:
+    """Places in the filter of keys hashed to 64 bits, a row of ``hashes`` places a key."""
+    a, b = hashed & np.uint64(0xFFFFFFFF), hashed >> np.uint64(32) | np.uint64(1)
+    return (a[:, None] + np.arange(hashes, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
+
+
+def _hashed(key: bytes) -> int:
+    return xxhash.xxh64_intdigest(key[:ID])
 
 
 class Writer:
     """Writes one shard; keys must come in ascending order."""
 
     def __init__(self, width: int = 2):
-        self.width, self.out, self.keys, self.index = width, [], [], []
+        self.width, self.out, self.hashed, self.index = width, [], [], []
         self.size = self.docs = self.tokens = 0
-        self.block, self.restarts, self.fill, self.n, self.last = [], [], 0, 0, b""
+        self.block, self.restarts, self.fill, self.n, self.first, self.last = [], [], 0, 0, b"", b""
 
     def add(self, key: bytes, value: bytes) -> None:
-        if self.keys and key <= self.keys[-1]:
+        if self.docs and key <= self.last:
             raise ValueError("keys must ascend")
+        self.first = self.first or key
         shared = 0
         if self.n % RESTART == 0:
             self.restarts.append(self.fill)
@@ -99,8 +113,9 @@ class Writer:
         self.block.append(entry)
         self.fill += len(entry)
         self.n += 1
+        if not self.docs or key[:ID] != self.last[:ID]:
+            self.hashed.append(_hashed(key))
         self.last = key
-        self.keys.append(key)
         self.docs += 1
         self.tokens += len(value) // self.width
         if self.fill >= BLOCK:
@@ -118,11 +133,10 @@ class Writer:
     def close(self) -> bytes:
         self.flush()
         index = b"".join(struct.pack("<I", len(k)) + k + struct.pack("<QI", at, n) for k, at, n in self.index)
-        bits, hashes = max(64, BLOOM_BITS * len(self.keys)), 7
-        filled = np.zeros(-(-bits // 8), np.uint8)
-        for k in self.keys:
-            for p in _probes(k, bits, hashes):
-                filled[p >> 3] |= 1 << (p & 7)
+        bits, hashes = max(64, BLOOM_BITS * len(self.hashed)), 7
+        filled = np.zeros(-(-bits // 8) * 8, bool)
+        filled[_probes(np.array(self.hashed, np.uint64), bits, hashes).ravel().astype(np.int64)] = True
+        filled = np.packbits(filled, bitorder="little")
         bloom = struct.pack("<IQ", hashes, bits) + filled.tobytes()
         tail = FOOTER.pack(self.size, self.size + len(index), self.docs, self.tokens, self.width, zlib.crc32(index + bloom), MAGIC)
         return b"".join((*self.out, index, bloom, tail))
@@ -180,25 +194,32 @@ class Shard:
         return np.frombuffer(value, f"<u{self.width}").astype("<u4")
 
     def may_hold(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits, self.hashes))
-
-    def get(self, doc_id: int | None, nth: int = 0) -> np.ndarray | None:
-        key = key_of(doc_id, nth)
-        k = bisect_left(self.last, key)
-        if k == len(self.last) or not self.may_hold(key):
-            return None
-        raw, restarts, end = self._block(k)
-        lo, hi = 0, len(restarts)
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            if next(self._entries(raw, restarts[mid], end))[0] <= key:
-                lo = mid
-            else:
-                hi = mid
-        for found, value in self._entries(raw, restarts[lo], end):
-            if found >= key:
-                return self.ids(value) if found == key else None
-        return None
+        """Whether the filter may hold the key's identifier."""
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(np.array([_hashed(key)], np.uint64), self.bits, self.hashes)[0].tolist())
+
+    def find(self, doc_id: int | None) -> Iterator[np.ndarray]:
+        """The documents of an identifier in this shard, in order."""
+        wanted = key_of(doc_id)[:ID]
+        if not self.may_hold(wanted):
+            return
+        for k in range(bisect_left(self.last, wanted), len(self.blocks)):
+            raw, restarts, end = self._block(k)
+            lo, hi = 0, len(restarts)
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                if next(self._entries(raw, restarts[mid], end))[0] < wanted:
+                    lo = mid
+                else:
+                    hi = mid
+            for found, value in self._entries(raw, restarts[lo], end):
+                if found[:ID] > wanted:
+                    return
+                if found[:ID] == wanted:
+                    yield self.ids(value)
+
+    def get(self, doc_id: int | None) -> np.ndarray | None:
+        """The first document of an identifier in this shard."""
+        return next(self.find(doc_id), None)
 
     def scan(self) -> Iterator[tuple[bytes, np.ndarray]]:
         for k in range(len(self.blocks)):
@@ -207,21 +228,24 @@ class Shard:
                 yield key, self.ids(value)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, shard_bytes: int = SHARD) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, shard_bytes: int = SHARD, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Encodes every whole text, appends end_id, and writes shards in ascending
     order of doc_id.  Returns the manifest: path, part, nth (the shards' order),
     n_docs, n_tokens, first_key, last_key, start (tokens of all shards before).
 
     A null text counts as empty and has the end id alone; a null id comes
-    first; rows of one id are all kept, in the order of their texts' hashes.  Files have names
-    that no other attempt at a task uses, and only those in the manifest count,
-    so a task may be run again.  An empty table gives an empty manifest.
+    first; rows of one id are all kept, in the order of their texts' hashes,
+    and copies after them as they lie in the table, each under a key of its
+    own; very many of them are dealt to several tasks.  Other columns aren't
+    read.  Files have names that no other attempt at a task uses, and only
+    those in the manifest count, so a task may be run again.  An empty table
+    gives an empty manifest.
     """
     folder = folder or fresh_path(docs.sparkSession, "sstable")
 
     def run(batches):
         encoder = Encoder.of(tokenizer, "spaced")
-        part, nth, last, again, writer = TaskContext.get().partitionId(), 0, object(), 0, Writer()
+        part, nth, writer = TaskContext.get().partitionId(), 0, Writer()
         system, where = fs.FileSystem.from_uri(folder)
         system.create_dir(where, recursive=True)
 
@@ -229,25 +253,23 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             name = f"part-{part:06d}-{nth:04d}-{uuid.uuid4().hex}.sst"
             with system.open_output_stream(f"{where}/{name}") as f:
                 f.write(writer.close())
-            row = (f"{folder}/{name}", part, nth, writer.docs, writer.tokens, writer.keys[0], writer.keys[-1])
+            row = (f"{folder}/{name}", part, nth, writer.docs, writer.tokens, writer.first, writer.last)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["path", "part", "nth", "n_docs", "n_tokens", "first_key", "last_key"])
 
         for batch in batches:
             for b in slices(batch):
-                ids, at = encoder.encode(b.column(1))
-                for i, doc in enumerate(b.column(0).to_pylist()):
-                    again = again + 1 if doc == last else 0
-                    last = doc
-                    writer.add(key_of(doc, again), np.append(ids[at[i] : at[i + 1]], np.uint16(end_id)).astype("<u2").tobytes())
-                    if writer.size + writer.fill >= shard_bytes:
+                ids, at = encoder.encode(b.column(3))
+                for i, of in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+                    writer.add(key_of(*of), np.append(ids[at[i] : at[i + 1]], np.uint16(end_id)).astype("<u2").tobytes())
+                    if writer.size + writer.fill >= shard_bytes or writer.docs >= shard_docs:
                         yield end()
                         nth, writer = nth + 1, Writer()
         if writer.docs:
             yield end()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
-    # Rows of one id stay together by the order; where one id has very many, the hash splits them.
-    rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_row"), "text")
+    # Where one id has very many rows, the hash splits them, and copies their numbers.
+    rows = rows.repartitionByRange("doc_id", "_h", "_row").sortWithinPartitions("doc_id", "_h", "_row")
     schema = "path string, part int, nth int, n_docs long, n_tokens long, first_key binary, last_key binary"
     manifest = materialize(arrow_map(rows, run, schema), "manifest")
     # One row per shard, hundreds of thousands of documents each: a single ordered sum is small.
@@ -280,7 +302,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def out(docs, starts, sizes, blobs):
         return pa.record_batch([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    n = max(1, manifest.count())
-    # Numbers are dealt one to a task.
+    shards = manifest.count()
+    # A task for each shard as long as that only keeps all cores busy, then one for several.
+    n = max(1, min(shards, max(-(-shards // READ), 2 * manifest.sparkSession.sparkContext.defaultParallelism)))
     rows = manifest.select("path", "start").repartition(n)
     return arrow_map(rows, run, "doc_id long, start long, n_tokens long, ids binary")

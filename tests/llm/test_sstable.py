@@ -33,6 +33,21 @@ def test_round_trip(spark):
     assert read_shards(write_shards(docs.where("1 = 0"), PATH)).count() == 0
 
 
+def test_rows_of_one_id_have_keys_of_their_own(spark):
+    rows = [(5, f"text {i % 40}", "x") for i in range(400)] + [(5, None, "y")] * 30 + [(None, "lost", "z")] * 30 + [(i, "a b", "z") for i in range(6, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h string").repartition(6)
+    manifest = write_shards(docs, PATH, shard_docs=50)
+    shards = [(Shard(r["path"]), r) for r in manifest.orderBy("part", "nth").collect()]
+    keys = [k for s, _ in shards for k, _ in s.scan()]
+    assert len(shards) > 9 and len(keys) == len(rows) and keys == sorted(set(keys))
+    assert [(r["first_key"], r["last_key"]) for _, r in shards] == [(k[0], k[-1]) for k in ([k for k, _ in s.scan()] for s, _ in shards)]
+    count = lambda d: sum(1 for s, _ in shards for _ in s.find(d))
+    assert (count(5), count(None), count(20), count(4)) == (430, 30, 1, 0)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"]) for r in read_shards(manifest).collect())
+    tok = Tokenizer.from_file(PATH)
+    assert got == sorted((d is not None, d or 0, len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for d, t, _ in rows)
+
+
 def test_blocks_index_and_bloom(tmp_path):
     w = Writer()
     rng = np.random.default_rng(0)
