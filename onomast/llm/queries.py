@@ -104,7 +104,20 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op3_urls": op3_urls, "op4_embeddings": op4_embeddings, "op5_toxicity": op5_toxicity, "op8_langid": op8_langid, "op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import build_index, search
+
+    index = build_index(table(spark, sf_dir, "documents"))
+    return search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .veccodes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op3_urls": op3_urls, "op4_embeddings": op4_embeddings, "op5_toxicity": op5_toxicity, "op8_langid": op8_langid, "op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate, "op11_lexical_search": op11_lexical_search, "op13_vector_codes": op13_vector_codes}
 #: Words and their places, windows, and their occurrences, one length of windows after the other.
 OP10_SQL = r"""WITH dw AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 bw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -123,4 +136,35 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.l
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 lowest AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(least(vec_id, lowest.b), vec_id)::BIGINT AS component_id, vec_id = coalesce(least(vec_id, lowest.b), vec_id) AS kept FROM embeddings LEFT JOIN lowest ON lowest.a = vec_id LEFT JOIN n ON n.a = vec_id"""
-ORACLES: dict[str, str] = {"op4_embeddings": OP4_SQL, "op10_decontaminate": OP10_SQL}
+#: Terms of each document and item, weights from their frequencies, and the scores of all documents that share one.
+OP11_SQL = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT r, doc_id, w, len(w) AS n FROM t WHERE len(w) > 0),
+g AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM d),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+wt AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, g GROUP BY term, big_n),
+q AS (SELECT q, item_id, term, count(*)::BIGINT AS times FROM (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY q, item_id, term),
+s AS (SELECT q, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score FROM q JOIN wt USING (term) JOIN p USING (term) JOIN d USING (r), g GROUP BY q, item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 20"""
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain Lloyd rounds, one after the other; every part meets every entry."""
+    near = "SELECT r, part, min_by(entry, (far, entry)) AS entry, min(far) AS far FROM (SELECT r, x.part, entry, sum((x.v - b.v) * (x.v - b.v))::BIGINT AS far FROM x JOIN {b} b USING (part, pos) GROUP BY r, x.part, entry) GROUP BY r, part"
+    steps = [
+        "k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)",
+        f"x AS MATERIALIZED (SELECT r, (p - 1) // (len(embedding) // {parts}) AS part, (p - 1) % (len(embedding) // {parts}) AS pos, floor(4096 * embedding[p]::DOUBLE)::BIGINT AS v FROM (SELECT r, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM k))",
+        f"b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, v FROM x WHERE r <= {entries})",
+    ]
+    for i in range(rounds):
+        mean = f"SELECT part, entry, pos, (s - ((s % n) + n) % n) // n AS v FROM (SELECT x.part, n{i}.entry, pos, sum(v)::BIGINT AS s, count(*)::BIGINT AS n FROM x JOIN n{i} USING (r, part) GROUP BY x.part, n{i}.entry, pos)"
+        steps += [f"n{i} AS MATERIALIZED ({near.format(b=f'b{i}')})", f"m{i} AS MATERIALIZED ({mean})"]
+        steps.append(f"b{i + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(m{i}.v, b{i}.v) AS v FROM b{i} LEFT JOIN m{i} USING (part, entry, pos))")
+    steps += [
+        f"n{rounds} AS MATERIALIZED ({near.format(b=f'b{rounds}')})",
+        f"c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM n{rounds} GROUP BY r)",
+        f"h AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})",
+    ]
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"
+
+
+ORACLES: dict[str, str] = {"op4_embeddings": OP4_SQL, "op10_decontaminate": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_vector_codes": _op13_sql()}
