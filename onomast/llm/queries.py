@@ -111,13 +111,20 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index, table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_substrings
+
+    out = remove_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .veccodes import vector_codes
 
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_urls": op3_urls, "op4_embeddings": op4_embeddings, "op5_toxicity": op5_toxicity, "op8_langid": op8_langid, "op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate, "op11_lexical_search": op11_lexical_search, "op13_vector_codes": op13_vector_codes}
+QUERIES = {"op3_urls": op3_urls, "op4_embeddings": op4_embeddings, "op5_toxicity": op5_toxicity, "op8_langid": op8_langid, "op2_token_shards": op2_token_shards, "op6_packing": op6_packing, "op1_quality": op1_quality, "op9_secrets": op9_secrets, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate, "op11_lexical_search": op11_lexical_search, "op12_substring_dedup": op12_substring_dedup, "op13_vector_codes": op13_vector_codes}
 #: Words and their places, windows, and their occurrences, one length of windows after the other.
 OP10_SQL = r"""WITH dw AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 bw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -147,6 +154,16 @@ s AS (SELECT q, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (
 SELECT item_id, rank, doc_id, score FROM (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 20"""
 
 
+#: Windows of 50 words, the least document of each, and the words that an older one covers.
+OP12_SQL = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS MATERIALIZED (SELECT r, doc_id, a, md5(array_to_string(w[a : a + 49], ' ')) AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS a FROM d WHERE len(w) >= 50)),
+old AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT r, unnest(range(a, a + 50)) AS i FROM win JOIN old USING (s) WHERE doc_id > m),
+one AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS line FROM one ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+
 def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """Plain Lloyd rounds, one after the other; every part meets every entry."""
     near = "SELECT r, part, min_by(entry, (far, entry)) AS entry, min(far) AS far FROM (SELECT r, x.part, entry, sum((x.v - b.v) * (x.v - b.v))::BIGINT AS far FROM x JOIN {b} b USING (part, pos) GROUP BY r, x.part, entry) GROUP BY r, part"
@@ -167,4 +184,4 @@ def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"
 
 
-ORACLES: dict[str, str] = {"op4_embeddings": OP4_SQL, "op10_decontaminate": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_vector_codes": _op13_sql()}
+ORACLES: dict[str, str] = {"op4_embeddings": OP4_SQL, "op10_decontaminate": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_vector_codes": _op13_sql()}
