@@ -484,3 +484,7 @@ def _(spark, sf_dir):
 @query("route_alone")
 def _(spark, sf_dir):
     return serve.papers_alone(plans.derived_names(spark, sf_dir), lex(spark))
+
+
+# Queries of their own modules, which take their helpers from here.
+from . import builds  # noqa: E402, F401
