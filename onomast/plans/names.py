@@ -14,7 +14,7 @@ from ..lexicon.data import Lexicon
 from ..operators import batch, ethnicity, gates, routing, structural
 from ..operators.evidence import evidence
 from ..operators.facts import name_facts, spaced_tables, strings, token_facts
-from ..operators.japanese import heuristic
+from ..operators.japanese import builtin_model, probabilities
 from ..operators.parse import scored
 from ..operators.render import NOT_PLAUSIBLE, render
 from ..operators.render import RESULT as PARTS
@@ -58,7 +58,7 @@ def _ev_dominant(lex: Lexicon) -> dict[str, float]:
 def name_table(names: DataFrame, lex: Lexicon, japanese: DataFrame | None = None) -> DataFrame:
     """One row for each distinct name (name, of any frame): failed, script, tokens, facts, cands, choice and r.
 
-    japanese: (name, probability) of names in Han alone, where a model is at hand.
+    japanese: (name, probability) of names in Han alone, where a model is at hand; else the built-in one says.
     """
     p = keep(prepared(names), "prepared")
     lists = gates.author_lists(p.where("gate is null"), lex).withColumn("listed", F.lit(True))
@@ -80,8 +80,12 @@ def name_table(names: DataFrame, lex: Lexicon, japanese: DataFrame | None = None
         s = plain_names(s.where("not has_han"), lex).unionByName(mine)
     else:
         s = plain_names(s, lex)
-    # A model's word counts where there is one, and weighed flags else; a Chinese compound surname outweighs both.
-    model = F.when(F.col("compact") != "", heuristic(F.col("compact")))
+    # A Chinese compound surname outweighs the model.
+    model = F.lit(None).cast("double")
+    if some and japanese is None:
+        bare = han.where("compact <> ''").select("name", "compact")
+        judged = probabilities(builtin_model(lex.spark), bare.select(F.col("compact").alias("name"))).withColumnRenamed("name", "compact")
+        japanese = keep(bare.join(judged, "compact").select("name", "probability"), "japanese")
     if japanese is not None:
         s = s.join(japanese.select("name", F.col("probability").alias("_jp")), "name", "left")
         model = F.when(F.col("compact") != "", F.col("_jp"))
