@@ -487,4 +487,4 @@ def _(spark, sf_dir):
 
 
 # Queries of their own modules, which take their helpers from here.
-from . import builds  # noqa: E402, F401
+from . import builds, han, searches  # noqa: E402, F401
