@@ -120,9 +120,9 @@ def tokenize(name: Column) -> Column:
 
 
 def strip_marks(x: Column) -> Column:
-    """NFD without combining marks, by ICU in Spark's own jars; ASCII is left as it is."""
+    """NFD without combining marks, by ICU in Spark's own jars; ASCII is left as it is, and null."""
     nfd = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), x, F.lit(False))
-    return F.when(F.octet_length(x) == F.length(x), x).otherwise(F.regexp_replace(nfd, r"\p{Mn}+", ""))
+    return F.when(x.isNull() | (F.octet_length(x) == F.length(x)), x).otherwise(F.regexp_replace(nfd, r"\p{Mn}+", ""))
 
 
 def norm_light(token: Column) -> Column:

@@ -40,7 +40,6 @@ class Lexicon:
     surname: DataFrame
     given: DataFrame
     romanization: DataFrame | None = None
-    unlisted: int = 0
     known: dict = field(default_factory=dict)
 
     @property
@@ -53,7 +52,9 @@ class Lexicon:
         app = spark.sparkContext.applicationId
         if app not in _BUILTIN:
             _BUILTIN.clear()
-            _BUILTIN[app] = cls(spark.createDataFrame(tables.surnames(), SURNAME), spark.createDataFrame(tables.given(), GIVEN), None, tables.UNLISTED)
+            read = han_readings(spark)
+            syllables = tables.given([r["pinyin"] for r in read.collect()])
+            _BUILTIN[app] = cls(spark.createDataFrame(tables.surnames(), SURNAME), spark.createDataFrame(syllables, GIVEN), None, {"readings": read})
         return _BUILTIN[app]
 
     @classmethod
@@ -76,7 +77,7 @@ class Lexicon:
         """Surname keys with everything that a lookup by key gives; see ``KEY``, and logp and rank."""
         if "keys" not in self.known:
             rows = surname_keys(self)
-            logp, rank = surname_logp(rows), surname_rank(rows.where("ppm is not null").unionByName(_unlisted(self), allowMissingColumns=True))
+            logp, rank = surname_logp(rows), surname_rank(rows.where("ppm is not null"))
             out = rows.join(logp.select("key", "logp"), "key", "left").join(rank, "key", "left")
             self.known["keys"] = local(out)
         return self.known["keys"]
@@ -241,10 +242,6 @@ def surname_keys(lex: Lexicon) -> DataFrame:
     return spark.createDataFrame(rows, KEY)
 
 
-def _unlisted(lex: Lexicon) -> DataFrame:
-    return lex.spark.createDataFrame([(f"\u0000{i}", tables.unlisted_ppm(i), 10**6 + i) for i in range(lex.unlisted)], "key string, ppm double, ordinal int")
-
-
 def surname_freq(lex: Lexicon) -> DataFrame:
     """(key, ppm): the greatest share of each key; aliases, Cantonese and compound spellings have theirs from their target."""
     return lex.keys().where("ppm is not null").select("key", "ppm")

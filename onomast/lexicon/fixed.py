@@ -262,4 +262,4 @@ TAIWANESE_SURNAMES = {
 KOREAN_DOMINANT = ("im", "jung", "kyeong", "moon", "pak")
 
 # Characters that are read otherwise as surnames.
-SURNAME_READINGS = {"隗": "kui"}
+SURNAME_READINGS = {"隗": "kui", "卜": "bu"}

@@ -47,12 +47,6 @@ JP_GIVEN = (
 # Characters at the head and at the end of Japanese given names of two characters.
 JP_HEAD = "正義和秀康泰博文武忠信克晴弘裕雅孝敏幸光友元安久貞重政宗盛良直隆茂清誠健慎浩邦利勝達哲智千美真由奈恵理佳沙早朝相善賢栄寛豊俊純昌恒圭修伸伊春夏秋冬雪"
 JP_TAIL = "夫男雄彦之一吉三人也樹司介助蔵作治次郎平美子代江枝香恵織紀行明則範史志広弘宏久徳生太輔哉乃菜奈花音月里穂実信義光博文男偉"
-# Common characters of Chinese given names, simplified and traditional.
-CN_GIVEN = (
-    "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华玉兰红建国文志海波辉鹏飞燕玲丹萍云龙凤琴梅莉俊峰斌宇浩凯健鑫婷雪琳晶欢佳嘉怡欣悦思雨晨梓涵子轩博睿泽航宁康乐安福庆祥瑞林森东南北春秋冬夏晓小永长德仁义礼智信忠良才"
-    "友新成立功业兴发生荣贵宝珍珠翠莲菊梦瑶颖洁慧智三四五六七八九十增为民俐贺偉麗靜強軍傑濤輝鵬飛燕雲龍鳳瓊瑋穎潔慶榮貴寶華國興業義禮廣"
-)
-
 NGRAMS, MIN_DF, MAX_DF, VOCABULARY, REGULARISATION = (1, 2, 3), 3, 0.95, 5000, 0.1
 
 
@@ -99,11 +93,12 @@ def labelled(ids: DataFrame) -> DataFrame:
     """
     pick = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     of = lambda words, i: F.element_at(among(words), i + 1)
+    cn_given = tables.GIVEN_CHARACTERS
     ppm = tables.SURNAMES | {s: tables.COMPOUND_SURNAMES[s] for s in fixed_compounds()}
     cn_sur = [s for s, x in ppm.items() for _ in range(max(1, round(x / 1000)))]
     made = F.concat(of(JP_HEAD, pick(10, len(JP_HEAD))), of(JP_TAIL, pick(11, len(JP_TAIL))))
     jp = F.concat(of(JP_SURNAMES, pick(1, len(JP_SURNAMES))), F.when(pick(12, 10) < 4, made).otherwise(of(JP_GIVEN, pick(3, len(JP_GIVEN)))))
-    a, b = of(CN_GIVEN, pick(7, len(CN_GIVEN))), of(CN_GIVEN, pick(8, len(CN_GIVEN)))
+    a, b = of(cn_given, pick(7, len(cn_given))), of(cn_given, pick(8, len(cn_given)))
     given = F.when(pick(9, 10) < 3, a).when(pick(9, 10) == 3, F.concat(a, a)).otherwise(F.concat(a, b))
     cn = F.concat(of(cn_sur, pick(5, len(cn_sur))), given)
     even = F.col("id") % 2 == 0

@@ -227,8 +227,6 @@ on_words(
 )
 
 # ---- lexicon
-GIV_ROWS = ", ".join(f"('{s}', {a}, {b})" for s, a, b in tables.given())
-LEFT_OUT = ", ".join(f"'{s}'" for s in tables.BYLINE_ONLY)
 
 
 def lex(spark: SparkSession) -> data.Lexicon:
@@ -239,12 +237,34 @@ def rows_of(table: dict) -> str:
     return ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in table.items())
 
 
-query("lex_surname_freq", f"SELECT key, ppm FROM (VALUES {rows_of(golden.SURNAME_PPM)}) t(key, ppm)")(
-    lambda spark, sf_dir: data.surname_freq(lex(spark)).where(F.col("key").isin(*golden.SURNAME_PPM)).select("key", F.round("ppm", 4).alias("ppm"))
-)
-query("lex_alias", f"SELECT key, ppm FROM (VALUES {rows_of(golden.ALIAS_PPM)}) t(key, ppm)")(
-    lambda spark, sf_dir: data.surname_freq(lex(spark)).where(F.col("key").isin(*golden.ALIAS_PPM)).select("key", F.round("ppm", 4).alias("ppm"))
-)
+def dealt_sql(words) -> str:
+    return f"d AS (SELECT l_orderkey AS k, l_linenumber::INT AS i, [{quoted(words)}][1 + (l_partkey * 7 + l_suppkey) % {len(words)}] AS name FROM lineitem)"
+
+
+def dealt(spark: SparkSession, sf_dir: str, words) -> DataFrame:
+    """(k, i, name): the words dealt over lineitem by key."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    name = F.get(F.array(*map(F.lit, words)), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % len(words)).cast("int"))
+    return li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), name.alias("name"))
+
+
+def listed(key: str, out: str, table: dict, values_sql: str, found: Callable[[SparkSession, DataFrame], DataFrame]) -> None:
+    """A query that looks words up which the keys of lineitem deal; found: (name, out) of distinct names; values_sql: what each word must give."""
+    words = list(table)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = dealt(spark, sf_dir, words)
+        return rows.join(found(spark, rows.select("name").distinct()), "name", "left").select("k", "i", "name", out)
+
+    query(key, f"WITH {dealt_sql(words)}, v(name, {out}) AS (VALUES {values_sql}) SELECT k, i, name, {out} FROM d LEFT JOIN v USING (name)")(run)
+
+
+def ppm_of(spark: SparkSession, names: DataFrame) -> DataFrame:
+    return names.join(data.surname_freq(lex(spark)).withColumnRenamed("key", "name"), "name").select("name", F.round("ppm", 4).alias("ppm"))
+
+
+listed("lex_surname_freq", "ppm", golden.SURNAME_PPM, rows_of(golden.SURNAME_PPM), ppm_of)
+listed("lex_alias", "ppm", golden.ALIAS_PPM, rows_of(golden.ALIAS_PPM), ppm_of)
 
 
 def made_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,15 +281,27 @@ query("lex_surname_logp", f"WITH {MADE_KEYS}, t AS (SELECT sum(CASE WHEN base TH
 query("lex_surname_rank", f"WITH {MADE_KEYS} SELECT key, round((row_number() OVER (ORDER BY ppm, ordinal) - 1) / (count(*) OVER () - 1), 6) AS rank FROM k")(
     lambda spark, sf_dir: data.surname_rank(made_keys(spark, sf_dir)).select("key", F.round("rank", 6).alias("rank"))
 )
-query(
+SYLLABLES = "wei ming hua lv nv lu xiao zhi li fo kung qing".split()
+PLACES_SQL = f"g AS (SELECT [{quoted(SYLLABLES)}][1 + l_partkey % {len(SYLLABLES)}] AS s, sum(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS a, sum(CASE WHEN l_linenumber % 3 > 0 THEN 1 ELSE 0 END)::BIGINT AS b FROM lineitem GROUP BY 1)"
+
+
+@query(
     "lex_position",
-    f"""WITH g(s, a, b) AS (VALUES {GIV_ROWS}), t AS (SELECT sum(a) AS ta, sum(b) AS tb, count(*) AS v FROM g),
-p AS (SELECT s, ln((a + 0.5) / (ta + 0.5 * (v + 1))) AS i, ln((b + 0.5) / (tb + 0.5 * (v + 1))) AS f FROM g, t), l AS (SELECT regexp_replace(s, '^([ln])v', '\\1u') AS s, ln(max((a + b) / (ta + tb))) AS l FROM g, t WHERE s NOT IN ({LEFT_OUT}) GROUP BY 1)
-SELECT coalesce(p.s, l.s) AS syllable, round(l, 6) AS logp, round(i, 6) AS initial_logp, round(f, 6) AS final_logp FROM p FULL JOIN l ON p.s = l.s""",
-)(lambda spark, sf_dir: data.given_logp(lex(spark)).where("initial_logp is not null or logp is not null").select("syllable", *[F.round(c, 6).alias(c) for c in ("logp", "initial_logp", "final_logp")]))
-query("lex_hyphen_map", f"SELECT replace(v, ' ', '-') AS hyphenated, v AS spaced FROM (SELECT DISTINCT v FROM (VALUES {values(fixed.COMPOUND_VARIANTS)}) t(k, v))")(
-    lambda spark, sf_dir: data.hyphen_map(lex(spark)).where(F.col("spaced").isin(*fixed.COMPOUND_VARIANTS.values()))
+    f"""WITH {PLACES_SQL}, t AS (SELECT sum(a) AS ta, sum(b) AS tb, count(*) AS v FROM g),
+p AS (SELECT s, ln((a + 0.5) / (ta + 0.5 * (v + 1))) AS i, ln((b + 0.5) / (tb + 0.5 * (v + 1))) AS f FROM g, t), l AS (SELECT regexp_replace(s, '^([ln])v', '\\1u') AS s, ln(max((a + b) / (ta + tb))) AS l FROM g, t WHERE s NOT IN ({quoted(tables.BYLINE_ONLY)}) GROUP BY 1)
+  SELECT coalesce(p.s, l.s) AS syllable, round(l, 6) AS logp, round(i, 6) AS initial_logp, round(f, 6) AS final_logp FROM p FULL JOIN l ON p.s = l.s""",
 )
+def _(spark, sf_dir):
+    """Log shares of given syllables from counts by key."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    first = F.col("l_linenumber") % 3 == 0
+    counts = li.groupBy(F.element_at(text.among(SYLLABLES), (F.col("l_partkey") % len(SYLLABLES) + 1).cast("int")).alias("syllable")).agg(F.sum(first.cast("long")).alias("initial_count"), F.sum((~first).cast("long")).alias("final_count"))
+    out = data.given_logp(data.Lexicon(lex(spark).surname, counts)).where("initial_logp is not null or logp is not null")
+    return out.select("syllable", *[F.round(c, 6).alias(c) for c in ("logp", "initial_logp", "final_logp")])
+
+
+HYPHENED = {v.replace(" ", "-"): v for v in fixed.COMPOUND_VARIANTS.values()} | {"li-ming": None, "ouyang": None}
+listed("lex_hyphen_map", "spaced", HYPHENED, ", ".join(f"('{k}', '{v}')" for k, v in HYPHENED.items() if v), lambda spark, names: names.join(data.hyphen_map(lex(spark)).toDF("name", "spaced"), "name"))
 
 # ---- facts on the names' tokens: the SQL looks them up by their spelling without marks
 MADE = TOKENS + f", words AS (SELECT DISTINCT unnest(tokens) AS w FROM toks), lit AS (SELECT w, {LIGHT % 'w'} AS light FROM words)"
@@ -286,9 +318,10 @@ query("parser_is_surname", f"WITH {MADE} SELECT w AS token, light IN ({quoted(go
     lambda spark, sf_dir: facts_of(spark, sf_dir).select("token", "is_surname", "is_given")
 )
 query("dominant", f"WITH {MADE}{PPM} SELECT w AS token FROM lit JOIN ppm USING (light) WHERE ppm >= 10000")(lambda spark, sf_dir: facts_of(spark, sf_dir).where("ppm >= 10000").select("token"))
+NO_PARTS = ("anh", "brian", "john", "kim", "nguyen", "park", "smith", "tanaka")
 PARTS_SQL = ", ".join(f"('{k}', '{v}')" for k, v in golden.TOKEN_PARTS.items())
-query("split_concat", f"WITH {MADE}, p(light, parts) AS (VALUES {PARTS_SQL}) SELECT w AS token, parts FROM lit JOIN p USING (light)")(
-    lambda spark, sf_dir: facts_of(spark, sf_dir).where(F.col("light").isin(*golden.TOKEN_PARTS)).select("token", F.lower(text.strip_marks(F.array_join("parts", "|"))).alias("parts"))
+query("split_concat", f"WITH {MADE}, p(light, parts) AS (VALUES {PARTS_SQL}) SELECT w AS token, CASE WHEN light NOT IN ({quoted(NO_PARTS)}) THEN coalesce(parts, lower(strip_accents(w))) END AS parts FROM lit LEFT JOIN p USING (light)")(
+    lambda spark, sf_dir: facts_of(spark, sf_dir).select("token", F.lower(text.strip_marks(F.array_join("parts", "|"))).alias("parts"))
 )
 
 # ---- ethnicity
@@ -309,36 +342,17 @@ def golden_values(rows: dict) -> str:
     return ", ".join(f"({cell(k)}, {cell(v)})" for k, v in rows.items())
 
 
-def golden_query(key: str, rows: dict[str, str | None]) -> None:
-    """Names with the text that each must give, or null where it must be rejected."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return golden_table(spark).where(F.col("name").isin(*rows)).select("name", F.when(F.col("success"), F.col("result")).alias("result"))
-
-    query(key, f"SELECT name, result FROM (VALUES {golden_values(rows)}) t(name, result)")(run)
-
-
-_GOLDEN: dict[str, DataFrame] = {}
-
-
-def golden_table(spark: SparkSession) -> DataFrame:
-    """All golden names with their results, worked out once for an application."""
-    app = spark.sparkContext.applicationId
-    if app not in _GOLDEN:
-        _GOLDEN.clear()
-        names = [n for rows in golden.NAMES.values() for n in rows]
-        df = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
-        _GOLDEN[app] = keep(plans.single_result(plans.name_table(df, lex(spark))), "golden")
-    return _GOLDEN[app]
+def parsed(spark: SparkSession, names: DataFrame) -> DataFrame:
+    """Distinct names with their results."""
+    return keep(plans.single_result(plans.name_table(names, lex(spark))), "parsed")
 
 
 for _key, _rows in golden.NAMES.items():
-    golden_query(_key, _rows)
+    # Names with the text that each must give, or null where it must be rejected.
+    listed(_key, "result", _rows, golden_values(_rows), lambda spark, names: parsed(spark, names).select("name", F.when(F.col("success"), F.col("result")).alias("result")))
 
-REASONS = ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in golden.REASONS.items())
-query("eth_classify", f"SELECT name, error FROM (VALUES {REASONS}) t(name, error)")(lambda spark, sf_dir: golden_table(spark).where(F.col("name").isin(*golden.REASONS)).select("name", "error"))
-ROLES = ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in golden.ROLES.items())
-query("component_order", f"SELECT name, roles FROM (VALUES {ROLES}) t(name, roles)")(lambda spark, sf_dir: golden_table(spark).where(F.col("name").isin(*golden.ROLES)).select("name", F.array_join("r.order", " ").alias("roles")))
+listed("eth_classify", "error", golden.REASONS, golden_values(golden.REASONS), lambda spark, names: parsed(spark, names).select("name", "error"))
+listed("component_order", "roles", golden.ROLES, golden_values(golden.ROLES), lambda spark, names: parsed(spark, names).select("name", F.array_join("r.order", " ").alias("roles")))
 
 
 # ---- routing, over rows made from keys

@@ -70,9 +70,9 @@ ALIAS_PPM = {"zeng": 3793.8, "yuan": 4504.8, "ou": 817.5, "jin": 3214.7, "lai":
 # Of the made names' tokens, those that are surnames and their shares.
 TOKEN_PPM = {
     "wong": 68479.7, "zhang": 62799.6, "lin": 8149.6, "zheng": 7762.1, "chen": 35080.8, "wu": 16077.8, "liu": 45525.4, "huang": 15698.8,
-    "jing": 338.2, "ying": 245.8, "lu": 3206.2, "tsai": 4177.0, "wei": 4564.5, "lan": 647.2, "yang": 26347.8, "hong": 1328.5, "li": 63038.1,
+    "jing": 60.0, "ying": 60.0, "lu": 3206.2, "tsai": 4177.0, "wei": 4564.5, "lan": 647.2, "yang": 26347.8, "hong": 1328.5, "li": 63038.1,
     "wang": 68479.7, "leung": 5594.9, "zhao": 19288.3, "tsui": 13395.3, "hsieh": 5522.5, "mei": 774.9, "hsu": 13395.3, "ng": 16077.8, "chan": 35080.8,
-    "min": 237.4, "ouyang": 464.1048, "jun": 35.8, "zhou": 16312.0, "ma": 10815.0, "gao": 9444.0, "hao": 2316.3, "szeto": 58.5995, "hua": 647.2,
+    "min": 60.0, "ouyang": 464.1048, "zhou": 16312.0, "ma": 10815.0, "gao": 9444.0, "hao": 2316.3, "szeto": 58.5995, "hua": 647.2,
     "yan": 2754.9, "cheung": 62799.6, "feng": 5305.3,
 }
 
@@ -87,7 +87,7 @@ TOKEN_GIVEN = (
 # Their syllables.
 TOKEN_PARTS = {
     "kafai": "ka|fai", "minjun": "min|jun", "xiaoming": "xiao|ming", "wei": "wei", "chihwei": "chih|wei", "yuchen": "yu|chen", "ming": "ming",
-    "ouyang": "ouyang", "xiaohong": "xiao|hong",
+    "ouyang": "ouyang", "xiaohong": "xiao|hong", "soojin": "soo-jin",
 }
 
 # Words of the made names that are surnames, where hyphens and apostrophes end a word or not.
