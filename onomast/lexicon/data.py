@@ -40,6 +40,7 @@ class Lexicon:
     surname: DataFrame
     given: DataFrame
     romanization: DataFrame | None = None
+    unseen: int = 0
     known: dict = field(default_factory=dict)
 
     @property
@@ -54,7 +55,7 @@ class Lexicon:
             _BUILTIN.clear()
             read = han_readings(spark)
             syllables = tables.given([r["pinyin"] for r in read.collect()])
-            _BUILTIN[app] = cls(spark.createDataFrame(tables.surnames(), SURNAME), spark.createDataFrame(syllables, GIVEN), None, {"readings": read})
+            _BUILTIN[app] = cls(spark.createDataFrame(tables.surnames(), SURNAME), spark.createDataFrame(syllables, GIVEN), None, tables.UNSEEN, {"readings": read})
         return _BUILTIN[app]
 
     @classmethod
@@ -77,8 +78,8 @@ class Lexicon:
         """Surname keys with everything that a lookup by key gives; see ``KEY``, and logp and rank."""
         if "keys" not in self.known:
             rows = surname_keys(self)
-            logp, rank = surname_logp(rows), surname_rank(rows.where("ppm is not null"))
-            out = rows.join(logp.select("key", "logp"), "key", "left").join(rank, "key", "left")
+            logp, rank = surname_logp(rows), surname_rank(rows.where("ppm is not null").unionByName(_unseen(self), allowMissingColumns=True))
+            out = rows.join(logp.select("key", "logp"), "key", "left").join(rank.where("key <> ''"), "key", "left")
             self.known["keys"] = local(out)
         return self.known["keys"]
 
@@ -242,6 +243,11 @@ def surname_keys(lex: Lexicon) -> DataFrame:
     return spark.createDataFrame(rows, KEY)
 
 
+def _unseen(lex: Lexicon) -> DataFrame:
+    """Rows of no key below all shares."""
+    return lex.spark.range(lex.unseen).select(F.lit("").alias("key"), F.lit(0.0).alias("ppm"), F.lit(0).alias("ordinal"))
+
+
 def surname_freq(lex: Lexicon) -> DataFrame:
     """(key, ppm): the greatest share of each key; aliases, Cantonese and compound spellings have theirs from their target."""
     return lex.keys().where("ppm is not null").select("key", "ppm")

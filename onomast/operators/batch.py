@@ -82,7 +82,13 @@ def votes(e: DataFrame) -> DataFrame:
 
 
 def pattern(v: DataFrame, threshold: float = THRESHOLD, minimum: int = MIN_BATCH) -> DataFrame:
-    """Adds dominant_format, decision_confidence, confidence, vote_margin and threshold_met to votes."""
+    """Adds dominant_format, decision_confidence, confidence, vote_margin, threshold_met, would_meet and regime to votes.
+
+    A batch of fewer names than ``minimum`` is read name by name (regime
+    individual): its pattern is judged by the default threshold, which
+    would_meet tells, but never counts as met.  A larger one is read by its
+    pattern (batch), or name by name where that is too weak (weak).
+    """
     sf, gf = F.col("surname_first_count"), F.col("given_first_count")
     sw, gw = F.round("sf_weight", 6), F.round("gf_weight", 6)
     voters, total = sf + gf, F.col("total_count")
@@ -92,12 +98,15 @@ def pattern(v: DataFrame, threshold: float = THRESHOLD, minimum: int = MIN_BATCH
     v = v.withColumns({"dominant_format": fmt, "decision_confidence": sure})
     first = F.col("dominant_format") == "surname_first"
     alone = F.when(first, F.col("sf_alone") > 0).otherwise(F.col("gf_alone") > 0)
-    enough = (F.col("decision_confidence") >= threshold) & (F.col("decision_confidence") > 0.5) & ((sf != gf) | alone) & (voters >= MIN_BATCH) & (voters >= MIN_SHARE * total)
+    small = F.col("size") < minimum
+    enough = (F.col("decision_confidence") >= F.when(small, THRESHOLD).otherwise(threshold)) & (F.col("decision_confidence") > 0.5) & ((sf != gf) | alone) & (voters >= MIN_BATCH) & (voters >= MIN_SHARE * total)
     return v.withColumns(
         {
             "confidence": F.when(total == 0, 0.0).otherwise(F.when(first, sf).otherwise(gf) / F.greatest(total, F.lit(1))),
             "vote_margin": F.when(voters == 0, 0.0).otherwise(F.abs(sf - gf) / F.greatest(voters, F.lit(1))),
-            "threshold_met": (total > 0) & enough & (F.col("size") >= minimum),
+            "would_meet": (total > 0) & enough,
+            "threshold_met": (total > 0) & enough & ~small,
+            "regime": F.when(small, "individual").when((total > 0) & enough, "batch").otherwise("weak"),
         }
     )
 
@@ -128,8 +137,18 @@ def apply(e: DataFrame, patterns: DataFrame) -> DataFrame:
     return e.withColumns({"changed": F.coalesce(changed, F.lit(False)), "confidence": F.when(F.col("alone").isNull(), F.when(ok, 1.0).otherwise(0.0)).otherwise(confidence(F.col("cands")))}).drop("_c", "_r", "_latin")
 
 
+def lineage(applied: DataFrame) -> DataFrame:
+    """(batch_id, pos, name, from, to, single, result): the names that their batch gave another format, with both readings.
+
+    from and single are the format and text of the best parse by itself, to
+    and result those under the batch.  Both come from one pass: the candidates
+    of a name hold either reading.
+    """
+    return applied.where("changed").select("batch_id", "pos", "name", F.col("alone.form").alias("from"), F.col("order").alias("to"), F.col("alone.r.result").alias("single"), "result")
+
+
 def improvements(applied: DataFrame) -> DataFrame:
-    """(batch_id, positions): the rows of each batch whose format the batch changed, in order."""
+    """(batch_id, positions): the rows of each batch whose format the batch changed, in order; batches without one have no row."""
     return applied.where("changed").groupBy("batch_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 

@@ -501,4 +501,4 @@ def _(spark, sf_dir):
 
 
 # Queries of their own modules, which take their helpers from here.
-from . import builds, han, searches  # noqa: E402, F401
+from . import batches, builds, han, searches, served  # noqa: E402, F401

@@ -29,10 +29,11 @@ R = "struct<result:string,surname:string,given:string,middle:string,surname_toke
 def prepared(names: DataFrame) -> DataFrame:
     """Distinct names (name) cleaned and cut into tokens, with the gates that need no lexicon."""
     n = names.select("name").distinct()
-    bare = unsplit(F.col("name"))
-    n = n.withColumns({"gate": gates.failure(F.col("name")), "cleaned": preprocess(F.col("name")), "camel": camel_pair(bare), "hint": F.coalesce(paren_hint(F.col("name")), F.lit(False))})
-    n = n.withColumns({"tokens": tokenize(comma_swap(F.col("cleaned"))), "compact": compact_han(F.col("name"))})
-    spaced = F.trim("name").rlike(r"(?U)\s")
+    # A text too long for a name is no input of the patterns, some of which need stack for each repetition.
+    text = F.when(gates.gate_length(F.col("name")), F.when(F.col("name").isNotNull(), "")).otherwise(F.col("name"))
+    n = n.withColumns({"gate": F.when(gates.gate_length(F.col("name")), gates.LENGTH).otherwise(gates.failure(text)), "cleaned": preprocess(text), "camel": camel_pair(unsplit(text)), "hint": F.coalesce(paren_hint(text), F.lit(False))})
+    n = n.withColumns({"tokens": tokenize(comma_swap(F.col("cleaned"))), "compact": compact_han(text)})
+    spaced = F.trim(text).rlike(r"(?U)\s")
     return n.withColumns({"has_han": F.coalesce(structural.has_han(F.col("cleaned")), F.lit(False)), "all_han": F.coalesce((F.col("compact") != "") & ~spaced, F.lit(False)), "camel": F.coalesce("camel", F.lit(False))})
 
 
@@ -129,14 +130,24 @@ def normalize_names(names: DataFrame, lex: Lexicon | None = None, japanese: Data
     return out.select(*RESULT)
 
 
-def analyze_batches(names: DataFrame, lex: Lexicon | None = None, threshold: float = batch.THRESHOLD, minimum: int = batch.MIN_BATCH, japanese: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results, patterns, evidence) of names in batches."""
-    lex = lex or Lexicon.builtin(names.sparkSession)
+def applied_batches(names: DataFrame, lex: Lexicon, threshold: float, minimum: int, japanese: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows under their batch's pattern, patterns)."""
     table = keep(batch.entries(single_result(name_table(names, lex, japanese))), "names")
     rows = names.select("batch_id", "pos", F.col("name").alias("raw")).join(table, F.col("raw").eqNullSafe(table["name"]), "left").drop("name").withColumnRenamed("raw", "name")
     voters = batch.promote(rows)
     patterns = keep(batch.pattern(batch.votes(voters), threshold, minimum), "patterns")
-    applied = batch.apply(rows, patterns)
+    return batch.apply(rows, patterns), patterns
+
+
+def batch_improvements(names: DataFrame, lex: Lexicon | None = None, threshold: float = batch.THRESHOLD, minimum: int = batch.MIN_BATCH) -> DataFrame:
+    """The names (batch_id, pos, name) that their batch reads otherwise than they read by themselves; see ``batch.lineage``."""
+    return batch.lineage(applied_batches(names, lex or Lexicon.builtin(names.sparkSession), threshold, minimum)[0])
+
+
+def analyze_batches(names: DataFrame, lex: Lexicon | None = None, threshold: float = batch.THRESHOLD, minimum: int = batch.MIN_BATCH, japanese: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, patterns, evidence) of names in batches; those of fewer names than ``minimum`` are read name by name in the same plan."""
+    lex = lex or Lexicon.builtin(names.sparkSession)
+    applied, patterns = applied_batches(names, lex, threshold, minimum, japanese)
     return applied.select(*RESULT, "surname_tokens", "given_tokens", "middle_tokens", "components", "confidence", "changed"), patterns, evidence(applied, lex)
 
 

@@ -122,3 +122,54 @@ def coerce_routing(df: DataFrame) -> DataFrame:
         return F.col(c)
 
     return df.select(*[one(c).alias(c) for c in df.columns])
+
+
+def _kinds(columns) -> dict[str, tuple[str, object]]:
+    """For each known column what a cell must be (bool, number, count, text), and the values allowed or the default."""
+    out: dict[str, tuple[str, object]] = {}
+    for c in columns:
+        if c in ("has_cjk", "has_latin", "cjk_has_space") or c.endswith(("success", "threshold_met")):
+            out[c] = ("bool", None)
+        elif c.endswith(("selected_format", "dominant_format")):
+            out[c] = ("text", FORMATS)
+        elif c.endswith("surname_position"):
+            out[c] = ("text", POSITIONS)
+        elif c.endswith("ratio"):
+            out[c] = ("optional", None)
+        elif c.endswith("frequency"):
+            out[c] = ("optional", 0.0)
+        elif c.endswith(("count", "raw_tokens")):
+            out[c] = ("count", None)
+        elif c.endswith(("confidence", "margin")):
+            out[c] = ("number", None)
+        elif c.endswith("result"):
+            out[c] = ("any", None)
+    return out
+
+
+def isolated_routing(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows as ``coerce_routing`` makes them, bad rows with error): a bad cell fails its own row, while the others go on.
+
+    A bad row keeps its columns as they came; error names its first bad column
+    in the order of the columns and shows the cell.  Every row is in one of the
+    two; both are empty for an empty table.
+    """
+    faults = []
+    for c, (kind, what) in _kinds(df.columns).items():
+        text = F.trim(F.col(c).cast("string"))
+        low = F.regexp_replace(F.lower(text), r"^([01])\.0$", "$1")
+        number = text.try_cast("double")
+        finite = F.coalesce(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf")), F.lit(False))
+        empty = text.isNull() | (text == "") | (F.lower(text) == "nan")
+        good = {
+            "bool": F.coalesce(low.isin("true", "t", "1", "yes", "y", "false", "f", "0", "no", "n"), F.lit(False)),
+            "number": finite,
+            "count": finite,
+            "optional": empty | finite,
+            "text": F.coalesce(F.col(c).cast("string").isin(*(what or ())), F.lit(False)),
+            "any": F.lit(True),
+        }[kind]
+        faults.append(F.when(~good, F.concat(F.lit(f"{c}: "), F.coalesce(text, F.lit("null")))))
+    rows = df.withColumn("_fault", F.coalesce(*faults, F.lit(None).cast("string")) if faults else F.lit(None).cast("string"))
+    good = coerce_routing(rows.where("_fault is null").drop("_fault"))
+    return good, rows.where("_fault is not null").withColumn("error", F.col("_fault")).drop("_fault")
