@@ -73,11 +73,12 @@ def candidates(docs: DataFrame, items: DataFrame, size: int = 10) -> tuple[DataF
     wins = materialize(anchors(docs, materialize(test_windows(items, size), "windows")), "anchors")
     n = wins.count()
     terms = materialize(wins.select(F.explode("anchors").alias("a")).select("a.term").distinct(), "terms")
-    index = materialize(postings(docs, terms, terms.count()), "index")
+    # Repeated rows have the same postings.
+    index = materialize(postings(docs, terms, terms.count()).distinct(), "index")
     one = _anchored(index, wins, n, 0).where("start >= 0")
     second = F.col("anchors")[1]
     pair = one.where(F.size("anchors") > 1).withColumns({"term2": second["term"], "pos2": F.col("start") + second["off"]})
-    other = index.select(F.col("doc_id").alias("d"), F.col("term").alias("term2"), F.col("pos").alias("pos2")).distinct()
+    other = index.select(F.col("doc_id").alias("d"), F.col("term").alias("term2"), F.col("pos").alias("pos2"))
     same = pair["doc_id"].eqNullSafe(other["d"]) & (pair["term2"] == other["term2"]) & (pair["pos2"] == other["pos2"])
     met = pair.join(other, same, "left_semi").select("doc_id", "start", "ws", "items")
     alone = one.where(F.size("anchors") == 1).select("doc_id", "start", "ws", "items")
@@ -98,11 +99,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     """
     made = ["n_words", "n_hit", "n_items", "hit_items", "hits", "contaminated"]
     docs = docs.drop(*made)
-    found, *_ = candidates(docs.select("doc_id", "text"), items.select("item_id", "text"), size)
-    # Rows that share an id share candidates; distinct, as each row's own words decide.
-    found = found.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "ws", "items")).alias("_found"))
-    found = found.withColumnRenamed("doc_id", "_doc")
-    out = docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]), "left").drop("_doc").withColumn("_w", words(F.col("text")))
+    # Candidates belong to an id with its text, so rows under one id, or without any, don't share them; each row's own words decide.
+    key = F.xxhash64("doc_id", "text")
+    found, *_ = candidates(docs.select(key.alias("doc_id"), "text"), items.select("item_id", "text"), size)
+    found = found.distinct().groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "ws", "items")).alias("_found"))
+    out = docs.join(found, key == F.col("_doc"), "left").drop("_doc").withColumn("_w", words(F.col("text")))
     none = F.array().cast("array<struct<start:int,ws:array<string>,items:array<string>>>")
     fits = F.filter(F.coalesce("_found", none), lambda c: F.slice(F.col("_w"), c["start"] + 1, F.size(c["ws"])) == c["ws"])
     out = out.withColumn("_ok", fits)
@@ -135,7 +136,6 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, size: in
     stand at most ``slop`` positions nearer or farther than in the window.  gap 0
     includes every exact phrase; windows of one word match wherever it stands."""
     _, wins, n, index = candidates(docs.select("doc_id", "text"), items.select("item_id", "text"), size)
-    index = index.distinct()
     one = _anchored(index, wins, n, 0)
     alone = one.where(F.size("anchors") == 1).select("doc_id", "items", "start", F.lit(0).alias("gap"))
     second = F.col("anchors")[1]

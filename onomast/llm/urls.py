@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, materialize
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-# A link's target with a host: absolute, or relative to the scheme.
-LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+# A link's tag up to its end or the next tag, which takes time in proportion to the page whether tags are closed or not.
+TAG = r"(?i)<a\b[^<>]*+"
+# In it, the target's host: of an absolute link, or one relative to the scheme.
+LINK = r"""(?i)\bhref\s*+=\s*+["']?\s*+(?:[a-z][a-z0-9+.-]*+:)?//([^/?#"'\s>]+)"""
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Rules and hosts up to so many rows are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -44,9 +46,15 @@ def host_rules(hosts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, w): how many links lead from pages of one host to another."""
+    """(src, dst, w): how many links lead from pages of one host to another.
+
+    Tags are cut first, then looked through, so a page of any length and of
+    unclosed tags takes linear time; a tag that isn't closed ends where the
+    next one begins.  Null html has no links.
+    """
     host, _ = split_url(F.col("url"))
-    out = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("dst"))
+    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TAG), F.lit(0))
+    out = pages.select(host.alias("src"), F.explode(F.transform(tags, lambda t: F.regexp_extract(t, LINK, 1))).alias("dst"))
     out = out.select("src", ascii_lower(F.col("dst")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return out.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 

@@ -74,3 +74,14 @@ def test_long_text_of_hits(spark):
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate(docs, items).select("doc_id", "n_words", "n_hit", "n_items").collect()}
     assert got == {1: (12 * n, 12 * n, 2), 2: (1, 0, 0)}
     assert time.time() - start < 60
+
+
+def test_rows_without_an_id_stay_apart(spark):
+    """Hundreds of unlike texts without an id, or under one, each with the same passage: no row meets the others' candidates."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(None if i % 2 else 7, f"x{i} y{i} {passage} z{i}", i) for i in range(400)] + [(None, f"x1 y1 {passage} z1", 1)] * 50 + [(None, None, 0), (7, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(8)
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = decontaminate(docs, items).select("doc_id", "extra", "text", "n_words", "n_hit", "contaminated").collect()
+    assert len(got) == len(rows)
+    assert all((r["n_words"], r["n_hit"], r["contaminated"]) == ((43, 40, True) if r["text"] else (0, 0, False)) for r in got)

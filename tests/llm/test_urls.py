@@ -81,3 +81,17 @@ def test_rank_passes_more_than_30_hosts(spark):
         assert abs(got[f"h{i}"] - 0.85**i / whole) < 1e-5
     with pytest.raises(RuntimeError):
         personalised_rank(spark.createDataFrame([("h0", 1.0)], "host string, seed double"), spark.createDataFrame(links, "src string, dst string, w double"), rounds=3)
+
+
+def test_links_of_broken_and_long_pages(spark):
+    """Unclosed tags, a megabyte of them too, end where the next one begins."""
+    import time
+
+    from onomast.llm.urls import host_links
+
+    pages = [("http://a.org/", "<a x " * 200_000 + "<a href=//b.org/>"), ("http://c.org/", "<A title='x'\nHREF = \"https://D.org:80/y\">t</a><a href='/own'><a name=x href=http:rel><a href=//e.org <a href=//f.org"), ("http://g.org", None), ("http://h.org", ""), ("http://i.org", "<a href=" + " " * 300_000), ("http://j.org", "<abbr href=//k.org><a data-href=//l.org>")]
+    df = spark.createDataFrame(pages, "url string, html string")
+    began = time.time()
+    got = {(r["src"], r["dst"]) for r in host_links(df).collect()}
+    assert time.time() - began < 20
+    assert got == {("a.org", "b.org"), ("c.org", "d.org:80"), ("c.org", "e.org"), ("c.org", "f.org"), ("j.org", "l.org")}
