@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.phonetics import plausible_syllable
 from ..functions.text import norm, norm_light
+from ..sources import resources
 from . import fixed, tables
 
 DEFAULT_LOGP = -15.0
@@ -26,7 +27,9 @@ COMPOUND_PENALTY, COMPOUND_FLOOR = 0.1, 0.1
 GIVEN_SCALE = 1.0
 SMOOTHING = 0.5
 
-_BUILTIN: dict[str, Lexicon] = {}
+#: Settings of a session: a folder of saved tables instead of the built-in ones, and whether it has spellings.
+FOLDER_KEY, ROMANIZATION_KEY = "spark.onomast.lexicon", "spark.onomast.lexicon.romanization"
+_BUILTIN: dict[str | tuple[str, str], Lexicon] = {}
 SURNAME = "surname string, ppm double"
 GIVEN = "syllable string, initial_count long, final_count long"
 ROMANIZATION = "spelling string, mandarin_target string, surname_ppm_as_written double, target_share double"
@@ -49,8 +52,13 @@ class Lexicon:
 
     @classmethod
     def builtin(cls, spark: SparkSession) -> Lexicon:
-        """The built-in tables, made once for an application."""
-        app = spark.sparkContext.applicationId
+        """The built-in tables, or those that ``FOLDER_KEY`` names, made once for an application."""
+        app, folder = spark.sparkContext.applicationId, spark.conf.get(FOLDER_KEY, None)
+        if folder and (app, folder) not in _BUILTIN:
+            _BUILTIN.clear()
+            _BUILTIN[app, folder] = cls.load(spark, folder, spark.conf.get(ROMANIZATION_KEY, "false") == "true")
+        if folder:
+            return _BUILTIN[app, folder]
         if app not in _BUILTIN:
             _BUILTIN.clear()
             read = han_readings(spark)
@@ -69,6 +77,20 @@ class Lexicon:
             roman = roman.withColumn("target_share", F.when(fair, F.col("target_share")).otherwise(F.raise_error(F.lit("bad romanization row")).cast("double")))
         return cls(read("surname", SURNAME), read("given", GIVEN), roman)
 
+    def save(self, folder: str) -> None:
+        """Writes the tables that the lexicon starts from, with their checksums."""
+        rows = {"surname": self.surname.select("surname", "ppm"), "given": self.given.select("syllable", "initial_count", "final_count")}
+        if self.romanization is not None:
+            rows["romanization"] = self.romanization.select("spelling", "mandarin_target", "surname_ppm_as_written", "target_share")
+        resources.write_tables(rows, folder)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, romanization: bool = False) -> Lexicon:
+        """A lexicon that ``save`` wrote; tables of another schema or other rows are an error."""
+        schemas = {"surname": SURNAME, "given": GIVEN} | ({"romanization": ROMANIZATION} if romanization else {})
+        got = resources.read_tables(spark, folder, {k: v.replace(" long", " bigint") for k, v in schemas.items()})
+        return cls(local(got["surname"]), local(got["given"]), local(got["romanization"]) if romanization else None)
+
     def readings(self) -> DataFrame:
         if "readings" not in self.known:
             self.known["readings"] = han_readings(self.spark)

@@ -9,7 +9,8 @@ from ..functions.text import among, norm_light
 from ..lexicon import build, fixed
 from . import names as plans
 from .catalogue import LIGHT, NAMES, NORM_SQL, WADE_SQL, lex, query, quoted
-from .stage import keep
+from ..sources import resources
+from .stage import fresh, keep
 
 # Surnames and given characters of the made corpus; the last of either is no surname, or none that is read.
 HAN_SUR = "王 李 张 刘 陈 欧阳 司马 诸葛 林 郭 吕 龘".split()
@@ -92,3 +93,11 @@ def _(spark, sf_dir):
     """Spellings of surnames, by the masses of the surnames that the names have."""
     mass = keep(attested_mass(spark, sf_dir), "mass")
     return build.romanization_table(mass, mass.select("key"), spark.createDataFrame([(w,) for w in GIVEN_WORDS], "syllable string"))
+
+
+@query("src_surname", f"WITH m0 AS (SELECT {LIGHT % ('[' + quoted(plans.SUR) + '][1 + l_suppkey % ' + str(len(plans.SUR)) + ']')} AS key, count(*) AS n FROM lineitem GROUP BY 1) SELECT key AS surname, round(n * 1e6::DOUBLE / (SELECT sum(n) FROM m0), 4) AS ppm FROM m0")
+def _(spark, sf_dir):
+    """A table of surnames written with its checksum, and read back."""
+    folder = fresh("lexicon", spark)
+    resources.write_tables({"surname": attested_mass(spark, sf_dir).select(F.col("key").alias("surname"), F.round("ppm", 4).alias("ppm"))}, folder)
+    return resources.read_tables(spark, folder, {"surname": "surname string, ppm double"})["surname"]
