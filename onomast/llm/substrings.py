@@ -38,7 +38,7 @@ from .common import arrow_map, materialize
 #: Contents of an anchor beyond which its windows go by hash.
 SPLIT = 256
 #: Bound on remembered words of a worker.
-WORDS = 1 << 20
+WORDS = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 
 
