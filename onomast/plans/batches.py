@@ -98,3 +98,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Those names with both readings."""
     return batch.lineage(applied(spark, sf_dir))
+
+
+@query("batch_confidence", f"""WITH {MADE} SELECT batch_id, pos, round(CASE WHEN NOT ok THEN CASE WHEN error IS NULL THEN 1.0 ELSE 0.0 END WHEN sole THEN 1.0
+  ELSE 1 / (exp(sf - greatest(sf, gf + bonus)) + exp(gf + bonus - greatest(sf, gf + bonus))) END, 6)::DOUBLE AS confidence FROM i""")
+def _(spark, sf_dir):
+    """How sure the best candidate of each name is among all."""
+    return applied(spark, sf_dir).select("batch_id", "pos", F.round("confidence", 6).alias("confidence"))

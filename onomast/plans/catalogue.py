@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
 from ..lexicon import data, fixed, tables
-from ..operators import batch, ethnicity, gates, routing
+from ..operators import batch, ethnicity, facts, gates, routing
 from ..operators.facts import prepare, token_facts
 from . import golden
 from . import names as plans
@@ -259,6 +259,11 @@ def listed(key: str, out: str, table: dict, values_sql: str, found: Callable[[Sp
     query(key, f"WITH {dealt_sql(words)}, v(name, {out}) AS (VALUES {values_sql}) SELECT k, i, name, {out} FROM d LEFT JOIN v USING (name)")(run)
 
 
+def golden_values(rows: dict) -> str:
+    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({cell(k)}, {cell(v)})" for k, v in rows.items())
+
+
 def ppm_of(spark: SparkSession, names: DataFrame) -> DataFrame:
     return names.join(data.surname_freq(lex(spark)).withColumnRenamed("key", "name"), "name").select("name", F.round("ppm", 4).alias("ppm"))
 
@@ -324,6 +329,12 @@ query("split_concat", f"WITH {MADE}, p(light, parts) AS (VALUES {PARTS_SQL}) SEL
     lambda spark, sf_dir: facts_of(spark, sf_dir).select("token", F.lower(text.strip_marks(F.array_join("parts", "|"))).alias("parts"))
 )
 
+on_words("compound_format", "form", facts.compound_format, r"CASE WHEN contains(w, '-') THEN 'hyphenated' WHEN (regexp_matches(w, '^\p{Lu}.*\p{Lu}') OR (length(w) > 2 AND length(regexp_replace(w, '[^\p{Lu}]', '', 'g')) >= 2)) AND regexp_matches(w, '\p{Ll}') THEN 'camelCase' ELSE 'compact' END")
+# Compound surnames in one word, cut as they are written.
+COMPOUND_CUTS = {"Ouyang": "Ou|yang", "AuYeung": "Au|Yeung", "aUyEUNG": "au|yeung", "Au-Yeung": "Ou|Yang", "Sima": "Si|ma", "SiMa": "Si|Ma", "Zhuge": "Zhu|ge", "ZHUGE": "ZHU|GE", "Duanmu": "Duan|mu", "Situ": "Si|tu", "Szeto": "Sze|to"}
+COMPOUND_OF = {"Ouyang": "ou yang", "AuYeung": "ou yang", "aUyEUNG": "ou yang", "Au-Yeung": "ou yang", "Sima": "si ma", "SiMa": "si ma", "Zhuge": "zhu ge", "ZHUGE": "zhu ge", "Duanmu": "duan mu", "Situ": "si tu", "Szeto": "si tu"}
+listed("compound_split", "parts", COMPOUND_CUTS, golden_values(COMPOUND_CUTS), lambda spark, names: names.select("name", F.array_join(facts.compound_split(F.col("name"), facts.compound_format(F.col("name")), text.lookup(COMPOUND_OF, F.col("name"))), "|").alias("parts")))
+
 # ---- ethnicity
 TIER = TOKENS + ", low AS (SELECT batch_id, pos, list_transform(tokens, lambda t: lower(t)) AS ts FROM toks)"
 VN, KO = quoted(fixed.VIETNAMESE_GIVEN), quoted(fixed.KOREAN_OVERLAP)
@@ -337,11 +348,6 @@ def _(spark, sf_dir):
     return p.select("batch_id", "pos", has(fixed.WESTERN, "western"), has(fixed.KOREAN_ONLY, "korean"), has(fixed.JAPANESE, "japanese"), has(fixed.VIETNAMESE_ONLY, "vietnamese"), has(fixed.KOREAN_OVERLAP, "overlap"))
 
 
-def golden_values(rows: dict) -> str:
-    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    return ", ".join(f"({cell(k)}, {cell(v)})" for k, v in rows.items())
-
-
 def parsed(spark: SparkSession, names: DataFrame) -> DataFrame:
     """Distinct names with their results."""
     return keep(plans.single_result(plans.name_table(names, lex(spark))), "parsed")
@@ -403,6 +409,11 @@ query("route_ppvys", f"""{ROUTED} SELECT k, i, CASE WHEN old_p = 'not_person' TH
     WHEN base IN ('strong_pp_allowed_ratio', 'endpoint_pp_with_real_paper_votes', 'default_pp') THEN 'pp' ELSE 'vys' END AS router_prediction, CASE WHEN old_p = 'not_person' THEN 'unknown' ELSE io END AS input_order_candidate FROM f""")(
     lambda spark, sf_dir: routing.route_pp_vys(route_rows(spark, sf_dir)).select("k", "i", "router_prediction", "router_reason", "input_order_candidate")
 )
+query("route_final", f"""{ROUTED}, z AS (SELECT *, CASE WHEN old_p = 'not_person' THEN 'not_person' WHEN prior IS NOT NULL THEN CASE WHEN pp_selected_format = want THEN 'pp' ELSE 'vys' END WHEN plus IS NOT NULL THEN 'pp' WHEN base = 'reliable_input_order_abstain' THEN 'abstain'
+    WHEN base IN ('strong_pp_allowed_ratio', 'endpoint_pp_with_real_paper_votes', 'default_pp') THEN 'pp' ELSE 'vys' END AS side FROM f)
+  SELECT k, i, CASE CASE WHEN side = 'abstain' THEN io ELSE side END WHEN 'pp' THEN pp_result WHEN 'vys' THEN vys_result END AS final_result FROM z""")(
+    lambda spark, sf_dir: routing.route_final(routing.route_pp_vys(route_rows(spark, sf_dir))).select("k", "i", "final_result")
+)
 PP_COLUMNS_SQL = """k, i, p % 17 <> 0 AS pp_success, CAST(1 + p % 3 AS BIGINT) AS pp_result_token_count, CASE WHEN s % 2 = 0 THEN 'surname_first' ELSE 'given_first' END AS selected_format,
   CASE WHEN s % 5 < 3 THEN 'first' ELSE 'last' END AS selected_surname_position, CAST(1 + p % 2 AS BIGINT) AS selected_surname_token_count, CAST(n % 4 AS BIGINT) AS batch_total_count,
   CAST(p * 31 % 5000 AS DOUBLE) AS selected_surname_frequency, p % 3 <> 0 AS has_cjk, s % 3 <> 0 AS has_latin, n % 2 = 0 AS cjk_has_space, CAST(1 + s % 4 AS BIGINT) AS raw_tokens"""
