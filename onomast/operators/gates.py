@@ -62,12 +62,17 @@ def surname_like(words: DataFrame, lex: Lexicon) -> DataFrame:
 
 
 def author_lists(names: DataFrame, lex: Lexicon) -> DataFrame:
-    """Those of the names (name) that list authors: three surnames or more, one at the head, one inside, one at the tail."""
-    at = names.select("name", list_words(F.col("name")).alias("ws")).where("ws is not null").select("name", F.size("ws").alias("n"), F.posexplode("ws").alias("i", "w"))
+    """Those of the distinct names (name) that list authors: three surnames or more, one at the head, one inside, one at the tail.
+
+    Words are counted by 96 bits of hashes of their list, not by its text.
+    """
+    key = {"_a": F.xxhash64("name"), "_b": F.hash("name")}
+    at = names.select(*[v.alias(k) for k, v in key.items()], list_words(F.col("name")).alias("ws")).where("ws is not null").select("_a", "_b", F.size("ws").alias("n"), F.posexplode("ws").alias("i", "w"))
     hits = at.join(surname_like(at, lex), "w")
     inside = (F.col("i") > 1) & (F.col("i") < F.col("n") - 2)
-    g = hits.groupBy("name").agg(F.count("*").alias("k"), F.min("i").alias("first"), F.bool_or(inside).alias("inside"), F.bool_or(F.col("i") >= F.col("n") - 2).alias("last"))
-    return g.where((F.col("k") >= LIST_SURNAMES) & (F.col("first") <= 1) & F.col("inside") & F.col("last")).select("name")
+    g = hits.groupBy("_a", "_b").agg(F.count("*").alias("k"), F.min("i").alias("first"), F.bool_or(inside).alias("inside"), F.bool_or(F.col("i") >= F.col("n") - 2).alias("last"))
+    g = g.where((F.col("k") >= LIST_SURNAMES) & (F.col("first") <= 1) & F.col("inside") & F.col("last")).select("_a", "_b")
+    return names.withColumns(key).join(g, ["_a", "_b"], "left_semi").select("name")
 
 
 def initial_bridge(name: Column) -> Column:

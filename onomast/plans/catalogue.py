@@ -211,6 +211,7 @@ SELECT batch_id, len(hs) >= 6 AND list_sum(hs) >= 3 AND list_sum(hs[1:2]) > 0 AN
 @query("gate_author_list", AUTHOR_SQL)
 def _(spark, sf_dir):
     rows = plans.derived_names(spark, sf_dir).groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), " ").alias("name"))
+    rows = keep(rows, "bylines")
     lists = gates.author_lists(rows.select("name").distinct(), lex(spark)).withColumn("rejected", F.lit(True))
     return rows.join(lists, "name", "left").select("batch_id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
