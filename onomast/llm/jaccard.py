@@ -34,8 +34,8 @@ from .simhash import majority, shingle_hashes, trie_pairs
 #: Counters for common shingles in a task, and how many of them are kept in all.
 COUNTERS = 1 << 20
 MOST_COMMON = 50_000
-#: About so many pairs are compared in one go.
-PAIRS = 5_000
+#: About so many pairs of one text are compared in one go.
+PAIRS = 256
 EPS = 1e-9
 #: Error budget of fingerprints: pairs beyond it aren't compared.
 BITS = 24
@@ -258,38 +258,43 @@ def _may(a: str, b: str, least: float):
     return rest >= least / (1 + least) * (F.col(f"{a}n") + F.col(f"{b}n")) - EPS
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, size: int, least: float) -> DataFrame:
+def _texts(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """(set, text) of the sets that met others, from one row of each: no other text is sent, and these once for all turns."""
+    row = rows.select("row", "set").join(met.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("row").alias("row"))
+    return materialize(rows.join(row.select("row"), "row", "left_semi").select("set", "text"), "near-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
     """Of pairs (u, v) of sets those that are similar enough by all their shingles.
 
-    Pairs that hang together go to one task, which gets each text once; the
-    pairs of a large cluster are dealt out by blocks of their two sides.
+    A pair goes with that of its two sides which has more pairs, the hub, and
+    the pairs of one hub go to as many tasks as they fill: each task gets the
+    hub's text once and those of the others as it comes to them.
     """
-    clusters = materialize(connected_components(pairs), "near-clusters")
-    dealt = pairs.join(clusters.select(F.col("node").alias("u"), "root"), "u")
-    blocks = dealt.groupBy("root").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).cast("int").alias("k"))
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
-    key = ["root", "bu", "bv"]
-    dealt = materialize(dealt.join(blocks, "root").select("root", block("u").alias("bu"), block("v").alias("bv"), "u", "v"), "near-dealt")
-    need = dealt.select(*key, F.col("u").alias("set")).unionByName(dealt.select(*key, F.col("v").alias("set"))).distinct()
-    chosen = rows.select("row", "set").join(need.select("set").distinct(), "set").groupBy("set").agg(F.min("row").alias("row"))
-    texts = materialize(rows.join(chosen.select("row"), "row", "left_semi").select("set", "text"), "near-texts")
-    sent = need.join(texts, "set").select(*key, F.lit(0).alias("kind"), F.col("set").alias("u"), F.lit(0).cast("long").alias("v"), "text")
-    sent = sent.unionByName(dealt.select(*key, F.lit(1).alias("kind"), "u", "v", F.lit(None).cast("string").alias("text")))
-    sent = sent.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, "kind")
+    sides = pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set")))
+    pairs_of = sides.groupBy("set").agg(F.count("*").alias("k"))
+    of = lambda c: pairs_of.select(F.col("set").alias(c), F.col("k").alias(f"k{c}"))
+    hub = F.when(F.col("kv") > F.col("ku"), F.col("v")).otherwise(F.col("u"))
+    leaf = F.when(F.col("kv") > F.col("ku"), F.col("u")).otherwise(F.col("v"))
+    part = F.pmod(F.xxhash64(leaf), F.ceil(F.greatest("ku", "kv") / PAIRS)).cast("int")
+    dealt = pairs.join(of("u"), "u").join(of("v"), "v")
+    dealt = materialize(dealt.select(hub.alias("hub"), leaf.alias("set"), part.alias("part")), "near-dealt")
+    hubs = dealt.select("hub", "part", F.col("hub").alias("set")).distinct()
+    sent = hubs.unionByName(dealt.select("hub", "part", "set")).join(texts, "set")
+    sent = sent.select("hub", "part", (F.col("set") != F.col("hub")).alias("leaf"), "set", "text")
+    sent = sent.repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "leaf")
 
     def run(batches):
-        at, held = None, {}
+        held = np.zeros(0, np.uint64)
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(7)]
-            out = []
-            for *now, kind, u, v, text in zip(*columns):
-                if now != at:
-                    at, held = now, {}
-                if kind == 0:
-                    held[u] = shingles(text, size)
-                elif similar(held[u], held[v], least):
-                    out.append((u, v))
-            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            u, v = [], []
+            for hub, leaf, key, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if not leaf:
+                    held = shingles(text, size)
+                elif similar(held, shingles(text, size), least):
+                    u.append(min(hub, key))
+                    v.append(max(hub, key))
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return materialize(arrow_map(sent, run, "u long, v long"), "near-links")
 
@@ -308,7 +313,8 @@ def near_components(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataF
     met = materialize(arrow_map(dealt, _meetings, schema), "near-met")
     tried = met.where(_may("", "lead_", least)).select(F.least("lead_set", "set").alias("u"), F.greatest("lead_set", "set").alias("v"))
     tried = materialize(tried.where("u <> v").distinct(), "near-pairs")
-    links = _verified(tried, rows, size, least)
+    texts = _texts(rows, met)
+    links = _verified(tried, texts, size, least)
     roots = materialize(connected_components(links), "near-roots")
     # Sets that met, and are not yet in one component, meet others: few at a time, and at last all that are left.
     for turn in range(TURNS + 1):
@@ -321,7 +327,7 @@ def near_components(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataF
             if turn < TURNS:
                 continue
             break
-        found = _verified(more, rows, size, least)
+        found = _verified(more, texts, size, least)
         tried = materialize(tried.unionByName(more), "near-tried")
         if not found.isEmpty():
             links = links.unionByName(found)
