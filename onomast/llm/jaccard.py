@@ -56,17 +56,16 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def add_sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs with ``set``, a hash of the whole set of shingles, ``n``, its size, and ``fp``, the SimHash fingerprint."""
+    """docs with ``set``, a hash of the whole set of shingles, ``n``, its size, and ``fp``, the SimHash fingerprint of the set, in which repeats count once."""
 
     def run(batches):
         for batch in batches:
             key, n, fp = [], [], []
             for t in batch.column("text").to_pylist():
-                every = shingle_hashes(t, size)
-                s = np.unique(every)
+                s = shingles(t, size)
                 key.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
                 n.append(len(s))
-                fp.append(majority(every))
+                fp.append(majority(s))
             made = [pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "set", "n", "fp"])
 

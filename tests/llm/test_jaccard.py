@@ -87,3 +87,12 @@ def test_pairs_of_080_to_095(spark, words, changed):
     want = 1 if len(a & b) >= 0.8 * len(a | b) else 2
     assert len(stage(spark, rows)) == want
     assert stage(spark, []) == []
+
+
+def test_repeated_lines_do_not_part_similar_texts(spark):
+    rows = []
+    for k in range(4):
+        x, y = (" ".join(f"{c}{k}w{i}" for i in range(30)) for c in "xy")
+        rows += [(2 * k, " ".join([x] * 40 + [y]), "en", "s", 0), (2 * k + 1, " ".join([x] + [y] * 40), "en", "s", 0)]
+    assert components([r[1] for r in rows]) == [0, 0, 2, 2, 4, 4, 6, 6]
+    assert {r["doc_id"] for r in stage(spark, rows)} == {0, 2, 4, 6}
