@@ -41,9 +41,9 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near-duplicates have a Jaccard similarity of 0.8 or more between their
     five-word shingles, or are joined by a chain of such texts.  op7's
-    fingerprints, of five words, are joined as tries with an error budget of
-    24 bits among texts that share a rare shingle; an exact comparison
-    follows.  Ids play no part in the groups: of unlike texts under one id, or
+    fingerprints, of five words and of distinct shingles, are joined as tries
+    with an error budget of 24 bits among texts that share a rare shingle; an
+    exact comparison follows.  Ids play no part in the groups: of unlike texts under one id, or
     without any, each stays.  Null and empty texts are copies of each other;
     an empty table gives an empty one.
     """
