@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from onomast.llm.common import materialize
 from onomast.llm.decontaminate import decontaminate
-from onomast.llm.jaccard import near_components
+from onomast.llm.jaccard import add_component, near_roots
 from onomast.llm.packing import encode_pieces, pack
 from onomast.llm.quality import score_quality, train_quality
 from onomast.llm.secrets import redact, scan_secrets
@@ -47,11 +47,14 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without any, each stays.  Null and empty texts are copies of each other;
     an empty table gives an empty one.
     """
-    rows = near_components(docs.select(*COLUMNS), size=5, least=0.8)
+    rows, roots = near_roots(docs.select(*COLUMNS), size=5, least=0.8)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*COLUMNS[1:]).alias("hash"), "row")
-    rows = materialize(rows.withColumn("order", order), "near-order")
-    kept = rows.groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    # Texts aren't sent: they meet the numbers of those that go, a table of their own, so that Spark sees its size.
+    groups = add_component(rows.select("row", "set", order.alias("order")), roots)
+    kept = groups.groupBy("component").agg(F.min("order").alias("least"), F.count("*").alias("k")).where("k > 1")
+    kept = materialize(kept.select("component", F.col("least.row").alias("kept")), "near-kept")
+    lost = materialize(groups.join(kept, "component").where("row <> kept").select("row"), "near-lost")
+    return rows.join(lost, "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ table.  Two sets of similarity t or more share an element among the first
 ``n - ceil(t * n) + 1`` of each, so texts meet at the elements of these
 prefixes.  Of the texts that meet at one, a self-join of the trie of their
 SimHash fingerprints finds those within an error budget, and only such pairs
-are compared by their whole sets.  Shingles seen in many texts come last in
+are compared: by sketches of their sets, which tell most unlike ones apart
+and no others, then by their whole sets.  Shingles seen in many texts come last in
 the order, so that a common passage brings few texts together; which ones
 count as common changes the work, never the result.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import arrow_map, materialize
 from .components import connected_components
@@ -36,6 +37,8 @@ COUNTERS = 1 << 20
 MOST_COMMON = 50_000
 #: About so many pairs of one text are compared in one go.
 PAIRS = 256
+#: A text of more pairs than these is the hub of them.
+BUSY = 16
 EPS = 1e-9
 #: Error budget of fingerprints: pairs beyond it aren't compared.
 BITS = 24
@@ -55,21 +58,40 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - EPS
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each of the low bits of the hashes that the set holds, in as many places as it has elements, or up to twice that."""
+    bits = np.zeros(1 << max(6, (len(s) - 1).bit_length()), bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_be_similar(a: bytes, n_a: int, b: bytes, n_b: int, least: float) -> bool:
+    """Whether sets of these sketches and sizes can be similar enough; a bit that only one has is an element that the other lacks."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):
+        short = min(len(x), len(y))
+        x, y = (np.bitwise_or.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
+    both = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+    return both >= least * (n_a + n_b - both) - EPS
+
+
 def add_sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs with ``set``, a hash of the whole set of shingles, ``n``, its size, and ``fp``, the SimHash fingerprint of the set, in which repeats count once."""
+    """docs with ``set``, a hash of the whole set of shingles, ``n``, its size, ``fp``, the SimHash fingerprint of the set, in which repeats count once, and its ``sketch``."""
 
     def run(batches):
         for batch in batches:
-            key, n, fp = [], [], []
+            key, n, fp, bits = [], [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t, size)
                 key.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
                 n.append(len(s))
                 fp.append(majority(s))
-            made = [pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "set", "n", "fp"])
+                bits.append(sketch(s))
+            made = [pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "set", "n", "fp", "sketch"])
 
-    return arrow_map(docs, run, StructType([*docs.schema.fields, StructField("set", LongType()), StructField("n", IntegerType()), StructField("fp", LongType())]))
+    made = [StructField("set", LongType()), StructField("n", IntegerType()), StructField("fp", LongType()), StructField("sketch", BinaryType())]
+    return arrow_map(docs, run, StructType([*docs.schema.fields, *made]))
 
 
 def common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,40 +279,39 @@ def _may(a: str, b: str, least: float):
     return rest >= least / (1 + least) * (F.col(f"{a}n") + F.col(f"{b}n")) - EPS
 
 
-def _texts(rows: DataFrame, met: DataFrame) -> DataFrame:
-    """(set, text) of the sets that met others, from one row of each: no other text is sent, and these once for all turns."""
-    row = rows.select("row", "set").join(met.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("row").alias("row"))
-    return materialize(rows.join(row.select("row"), "row", "left_semi").select("set", "text"), "near-texts")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """Of pairs (u, v) of sets those that are similar enough by all their shingles.
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(hub, part, set, leaf): the texts that pairs (u, v) of sets need, each where it is compared.
 
     A pair goes with that of its two sides which has more pairs, the hub, and
     the pairs of one hub go to as many tasks as they fill: each task gets the
-    hub's text once and those of the others as it comes to them.
+    hub once and the others as it comes to them.
     """
     sides = pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set")))
-    pairs_of = sides.groupBy("set").agg(F.count("*").alias("k"))
-    of = lambda c: pairs_of.select(F.col("set").alias(c), F.col("k").alias(f"k{c}"))
-    hub = F.when(F.col("kv") > F.col("ku"), F.col("v")).otherwise(F.col("u"))
-    leaf = F.when(F.col("kv") > F.col("ku"), F.col("u")).otherwise(F.col("v"))
-    part = F.pmod(F.xxhash64(leaf), F.ceil(F.greatest("ku", "kv") / PAIRS)).cast("int")
-    dealt = pairs.join(of("u"), "u").join(of("v"), "v")
-    dealt = materialize(dealt.select(hub.alias("hub"), leaf.alias("set"), part.alias("part")), "near-dealt")
-    hubs = dealt.select("hub", "part", F.col("hub").alias("set")).distinct()
-    sent = hubs.unionByName(dealt.select("hub", "part", "set")).join(texts, "set")
-    sent = sent.select("hub", "part", (F.col("set") != F.col("hub")).alias("leaf"), "set", "text")
+    busy = materialize(sides.groupBy("set").agg(F.count("*").alias("k")).where(F.col("k") > BUSY), "near-busy")
+    of = lambda c: busy.select(F.col("set").alias(c), F.col("k").alias(f"k{c}"))
+    ku, kv = F.coalesce("ku", F.lit(1)), F.coalesce("kv", F.lit(1))
+    hub, leaf = F.when(kv > ku, F.col("v")).otherwise(F.col("u")), F.when(kv > ku, F.col("u")).otherwise(F.col("v"))
+    part = F.pmod(F.xxhash64(leaf), F.ceil(F.greatest(ku, kv) / PAIRS)).cast("int")
+    dealt = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    dealt = materialize(dealt.select(hub.alias("hub"), part.alias("part"), leaf.alias("set"), F.lit(True).alias("leaf")), "near-dealt")
+    hubs = dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("set"), F.lit(False).alias("leaf"))
+    return hubs.unionByName(dealt)
+
+
+def _compared(pairs: DataFrame, known: DataFrame, made, close) -> DataFrame:
+    """Of pairs (u, v) of sets those that are close by what is made of the columns that are known of each set."""
+    columns = [c for c in known.columns if c != "set"]
+    sent = _dealt(pairs).join(known, "set").select("hub", "part", "leaf", "set", *columns)
     sent = sent.repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "leaf")
 
     def run(batches):
-        held = np.zeros(0, np.uint64)
+        held = None
         for batch in batches:
             u, v = [], []
-            for hub, leaf, key, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+            for hub, _, leaf, key, *values in zip(*(c.to_pylist() for c in batch.columns)):
                 if not leaf:
-                    held = shingles(text, size)
-                elif similar(held, shingles(text, size), least):
+                    held = made(*values)
+                elif close(held, made(*values)):
                     u.append(min(hub, key))
                     v.append(max(hub, key))
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -298,38 +319,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     return materialize(arrow_map(sent, run, "u long, v long"), "near-links")
 
 
-def near_components(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
-    """Rows of docs with ``row``, a number, and ``component``: rows share it if they are
-    joined by a chain of links, a link being a Jaccard similarity of ``least`` or more
-    between their sets of shingles of ``size`` words.
+def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, size: int, least: float) -> DataFrame:
+    """Of pairs (u, v) of sets those that are similar enough by all their shingles; only texts of pairs that their sketches leave are read and sent."""
+    likely = _compared(pairs, sets.select("set", "sketch", "n"), lambda b, n: (b, n), lambda a, b: may_be_similar(*a, *b, least))
+    if likely.isEmpty():
+        return likely
+    sides = likely.select(F.col("u").alias("set")).unionByName(likely.select(F.col("v").alias("set"))).distinct()
+    # A table of its own, by whose size Spark sees whether it is sent to the texts or they to it.
+    chosen = materialize(sets.join(sides, "set", "left_semi").select("row"), "near-chosen")
+    texts = rows.join(chosen, "row", "left_semi").select("set", "text")
+    return _compared(likely, texts, lambda t: shingles(t, size), lambda a, b: similar(a, b, least))
 
-    Texts without words, null included, are copies of each other.  Ids play no
-    part.  An empty table gives an empty result.
+
+def near_roots(docs: DataFrame, size: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """docs with ``row``, a number, and ``set``, a hash of the text's shingles; and (set, root): the
+    sets that are linked to others, with the least one that a chain of links reaches.
+
+    A link is a Jaccard similarity of ``least`` or more between sets of
+    shingles of ``size`` words.  Rows of one set are copies.
     """
     rows = materialize(add_sets(docs, size).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    sets = materialize(rows.groupBy("set", "n", "sketch").agg(F.min("row").alias("row")), "near-sets")
     dealt = prefixes(rows, size, least).repartition(F.col("h")).sortWithinPartitions("h")
     schema = "h long, set long, n int, pos int, fp long, lead_set long, lead_n int, lead_pos int"
     met = materialize(arrow_map(dealt, _meetings, schema), "near-met")
     tried = met.where(_may("", "lead_", least)).select(F.least("lead_set", "set").alias("u"), F.greatest("lead_set", "set").alias("v"))
     tried = materialize(tried.where("u <> v").distinct(), "near-pairs")
-    texts = _texts(rows, met)
-    links = _verified(tried, texts, size, least)
+    links = _verified(tried, rows, sets, size, least)
     roots = materialize(connected_components(links), "near-roots")
+    met = met.select("h", "set", "n", "pos", "fp")
     # Sets that met, and are not yet in one component, meet others: few at a time, and at last all that are left.
     for turn in range(TURNS + 1):
-        own = met.select("h", "set", "n", "pos", "fp").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        own = met.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         open_ = own.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi and k > 2").select("h")
-        own = own.join(open_, "h", "left_semi").select("h", "set", "n", "pos", "fp", "root").repartition(F.col("h")).sortWithinPartitions("h")
+        # Components only grow, so what meets in one of them now needs no later turn.
+        own = materialize(own.join(open_, "h", "left_semi"), "near-open")
+        met = own.select(*met.columns)
+        own = own.select(*met.columns, "root").repartition(F.col("h")).sortWithinPartitions("h")
         more = arrow_map(own, _across(least, turn == TURNS), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
         more = materialize(more, "near-pairs")
         if more.isEmpty():
             if turn < TURNS:
                 continue
             break
-        found = _verified(more, texts, size, least)
+        found = _verified(more, rows, sets, size, least)
         tried = materialize(tried.unionByName(more), "near-tried")
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = materialize(connected_components(links), "near-roots")
-    out = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("root", "set"))
-    return out.select(*docs.columns, "row", "component")
+    return rows.select(*docs.columns, "row", "set"), roots.withColumnRenamed("node", "set")
+
+
+def add_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "set", "left").withColumn("component", F.coalesce("root", "set")).drop("set", "root")
+
+
+def near_components(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows of docs with ``row``, a number, and ``component``: rows share it if they are
+    joined by a chain of links, a link being a Jaccard similarity of ``least`` or more
+    between their sets of shingles of ``size`` words.
+
+    Texts without words, null included, are copies of each other.  Ids play no
+    part.  An empty table gives an empty result.
+    """
+    rows, roots = near_roots(docs, size, least)
+    return add_component(rows, roots).select(*docs.columns, "row", "component")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -96,3 +97,41 @@ def test_repeated_lines_do_not_part_similar_texts(spark):
         rows += [(2 * k, " ".join([x] * 40 + [y]), "en", "s", 0), (2 * k + 1, " ".join([x] + [y] * 40), "en", "s", 0)]
     assert components([r[1] for r in rows]) == [0, 0, 2, 2, 4, 4, 6, 6]
     assert {r["doc_id"] for r in stage(spark, rows)} == {0, 2, 4, 6}
+
+
+def test_sketches_part_unlike_sets_and_no_similar_ones():
+    rng = np.random.default_rng(3)
+    passed = 0
+    for k in range(2000):
+        n = int(rng.integers(1, 1200))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        lost = int(rng.integers(0, n // 4 + 1))
+        b = np.unique(np.concatenate([a[lost:], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)]))
+        fits = jaccard.may_be_similar(jaccard.sketch(a), len(a), jaccard.sketch(b), len(b), 0.8)
+        assert fits or not jaccard.similar(a, b, 0.8)
+        c = np.unique(rng.integers(0, 2**63, max(n, 200)).astype(np.uint64))
+        d = np.unique(rng.integers(0, 2**63, max(n, 200)).astype(np.uint64))
+        passed += jaccard.may_be_similar(jaccard.sketch(c), len(c), jaccard.sketch(d), len(d), 0.8)
+    assert passed < 20
+
+
+def test_texts_of_unlike_pairs_are_not_sent(spark, monkeypatch):
+    """Unlike texts that share a rare line were all read, written and sent as text before."""
+    rng, sent = random.Random(8), []
+    word = lambda: "w" + str(rng.randrange(10**6))
+    lines = [" ".join(word() for _ in range(20)) for _ in range(10)]
+    texts = [" ".join([lines[k % 10]] + [word() for _ in range(60)]) for k in range(120)]
+    texts += [t + " more" for t in texts[:3]]
+    compared = jaccard._compared
+
+    def spy(pairs, known, *rest):
+        sent.append((known.columns, pairs.count()))
+        return compared(pairs, known, *rest)
+
+    monkeypatch.setattr(jaccard, "_compared", spy)
+    monkeypatch.setattr(jaccard, "BITS", 64)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in jaccard.near_components(docs).collect()}
+    assert all(got[i] == got[120 + i] for i in range(3)) and len(set(got.values())) == 120
+    pairs = {kind: sum(n for columns, n in sent if kind in columns) for kind in ("sketch", "text")}
+    assert pairs["sketch"] > 60 and pairs["text"] <= 6
