@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,16 +36,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage is cut,
     and a lost executor costs no more than the tasks that ran there."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs that run within hand at most about this many bytes to Python at once, or a single row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; the usual lower() serves where a text is ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

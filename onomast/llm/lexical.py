@@ -2,14 +2,17 @@
 
 Documents are cut, in the order in which tasks read them, into shards of
 bounded size.  A shard holds its terms in order, and for each term a run of
-postings (CSR: one array of starts, one of documents, one of impacts).  An
-impact is the integer share of a term's score that depends on the document
-alone, worked out once when the index is built; a term's weight, which
-depends on its document frequency, multiplies it at the search.  A search adds
-the postings of one term after the other into a dense array of a shard's
-scores, selects the best with ``argpartition``, and merges what the shards
-give.  No vocabulary is gathered: frequencies are summed for the terms of a
-block of queries only.
+postings (CSR: one array of starts, one of documents, one of counts, each in
+as few bytes a number as hold it).  An impact is the integer share of a term's
+score that depends on the document alone, worked out from counts where a
+search reads a term; a term's weight, which depends on its document frequency,
+multiplies it.  A search adds the postings of one term after the other into a
+dense array of a shard's scores, selects the best with ``argpartition``, and
+merges what the shards give.  No vocabulary is gathered: frequencies are
+summed for the terms of a block of queries only.
+
+A shard is a row of about a megabyte, so rows are written, read and handed to
+Python a few at a time (``LARGE``, ``BATCH_BYTES``), however many a task has.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_path, materialize
+from .common import arrow_map, fresh_path, materialize, small_batches
 
 #: Bounds of a shard; a longer document is a shard of its own.
 POSTINGS = 1 << 18
@@ -36,8 +39,11 @@ BLOCK_QUERIES = 4096
 _WORD = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 #: All bytes outside terms become spaces and A-Z small; bytes from 128 on only occur in characters beyond ASCII.
 _FOLD = bytes(b if b in _WORD else 32 for b in range(256)).lower()
-_RAW = "ids binary, nulls binary, lengths binary, n_docs long, n_terms long, terms binary, starts binary, docs binary, tfs binary"
-_DONE = "ids binary, nulls binary, terms binary, starts binary, docs binary, impacts binary"
+_SHARD = "ids binary, nulls binary, lengths binary, n_docs long, n_terms long, terms binary, starts binary, docs binary, tfs binary"
+#: Bound on what Arrow hands to Python at once.
+BATCH_BYTES = 8 << 20
+#: Of files of shards: pages end after each row, and row groups at 4 MB, which is what writers and readers hold.
+LARGE = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -92,11 +98,21 @@ class _Shard:
             "n_terms": sum(self.lengths),
             "terms": b" ".join(names),
             "starts": starts.tobytes(),
-            "docs": doc[order].tobytes(),
-            "tfs": np.frombuffer(self.tfs, np.int32)[order].tobytes(),
+            "docs": _narrow(doc[order]),
+            "tfs": _narrow(np.frombuffer(self.tfs, np.int32)[order]),
         }
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """x in the fewest of 1, 2 or 4 bytes a number."""
+    return x.astype("<u1" if x.max() < 1 << 8 else "<u2" if x.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(x: bytes, n: int) -> np.ndarray:
+    """The n numbers of ``_narrow``."""
+    return np.frombuffer(x, f"<u{len(x) // n}")
+
+
 def _arrow(rows: list[dict], like: str) -> pa.RecordBatch:
     kinds = {"binary": pa.binary(), "long": pa.int64()}
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, kinds[t]) for n, t in (x.split() for x in like.split(", "))]))
@@ -109,23 +125,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found := terms_of(text.as_py()):
                 shard.add(doc_id, found)
                 if shard.full():
-                    yield _arrow([shard.row()], _RAW)
+                    yield _arrow([shard.row()], _SHARD)
                     shard = _Shard()
     if shard.ids:
-        yield _arrow([shard.row()], _RAW)
-
-
-def _with_impacts(n_docs: int, n_terms: int):
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                length = np.frombuffer(r["lengths"], np.int64)
-                m = 75 + (25 * length * n_docs) // n_terms
-                tf = np.frombuffer(r["tfs"], np.int32).astype(np.int64)
-                impact = (1_000_000_000 * tf) // (1000 * tf + 12 * m[np.frombuffer(r["docs"], np.int32)])
-                yield _arrow([{k: r[k] for k in ("ids", "nulls", "terms", "starts", "docs")} | {"impacts": impact.astype(np.int32).tobytes()}], _DONE)
-
-    return run
+        yield _arrow([shard.row()], _SHARD)
 
 
 def build_index(docs: DataFrame) -> LexicalIndex:
@@ -135,10 +138,10 @@ def build_index(docs: DataFrame) -> LexicalIndex:
     nowhere.  Repeated rows are documents of their own; null ids are kept.
     """
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    raw = materialize(arrow_map(raw, _build, _RAW), "lexical-raw")
-    n_docs, n_terms = raw.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-    done = materialize(arrow_map(raw, _with_impacts(n_docs, max(n_terms, 1)), _DONE), "lexical-shards")
-    return LexicalIndex(done, n_docs, n_terms)
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        shards = materialize(arrow_map(raw, _build, _SHARD), "lexical-shards", **LARGE)
+    n_docs, n_terms = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+    return LexicalIndex(shards, n_docs, n_terms)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -167,8 +170,8 @@ def _frequencies(wanted: frozenset[bytes]):
     return run
 
 
-def _search(queries: list[tuple[int, list[tuple[bytes, int]]]], weights: dict[bytes, int], k: int):
-    """queries: number, and terms with their repeats.  Ids sort last where they are null."""
+def _search(queries: list[tuple[int, list[tuple[bytes, int]]]], weights: dict[bytes, int], k: int, n_docs: int, n_terms: int):
+    """queries: number, and terms with their repeats.  n_docs, n_terms: of the index.  Ids sort last where they are null."""
     last = np.iinfo(np.int64).max
 
     def run(batches):
@@ -177,16 +180,21 @@ def _search(queries: list[tuple[int, list[tuple[bytes, int]]]], weights: dict[by
             for row in range(batch.num_rows):
                 r = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
                 ids, nulls = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["nulls"], np.uint8) > 0
-                place = {t: i for i, t in enumerate(r["terms"].split(b" ")) if t in weights}
-                starts, docs = np.frombuffer(r["starts"], np.int32), np.frombuffer(r["docs"], np.int32)
-                impacts = np.frombuffer(r["impacts"], np.int32).astype(np.int64)
+                starts = np.frombuffer(r["starts"], np.int32)
+                docs, tfs = _wide(r["docs"], starts[-1]), _wide(r["tfs"], starts[-1])
+                m = 12 * (75 + (25 * np.frombuffer(r["lengths"], np.int64) * n_docs) // n_terms)
+                found = {}
+                for i, t in enumerate(r["terms"].split(b" ")):
+                    if t in weights:
+                        at, tf = docs[starts[i] : starts[i + 1]].astype(np.int64), tfs[starts[i] : starts[i + 1]].astype(np.int64)
+                        found[t] = at, (1_000_000_000 * tf) // (1000 * tf + m[at]) * weights[t]
                 keys = np.where(nulls, last, ids)
                 for q, terms in queries:
                     scores = np.zeros(len(ids), np.int64)
                     for t, n in terms:
-                        if (i := place.get(t)) is not None:
-                            a, b = starts[i], starts[i + 1]
-                            scores[docs[a:b]] += impacts[a:b] * (n * weights[t])
+                        if t in found:
+                            at, gain = found[t]
+                            scores[at] += gain if n == 1 else gain * n
                     if not len(at := best(scores, keys, k)):
                         continue
                     new = (scores[at], keys[at], nulls[at])
@@ -237,9 +245,10 @@ def search(index: LexicalIndex, items: DataFrame, k: int = 20) -> DataFrame:
     spark.createDataFrame([], schema).write.parquet(path)
     for block in _blocks(queries):
         wanted = frozenset(t for _, terms in block for t, _ in terms)
-        df = arrow_map(index.shards.select("terms", "starts"), _frequencies(wanted), "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
-        weights = {bytes(r["term"]): weight(index.n_docs, r["df"]) for r in df.collect()}
-        arrow_map(index.shards, _search(block, weights, k), schema).write.mode("append").parquet(path)
+        with small_batches(spark, BATCH_BYTES):
+            df = arrow_map(index.shards.select("terms", "starts"), _frequencies(wanted), "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+            weights = {bytes(r["term"]): weight(index.n_docs, r["df"]) for r in df.collect()}
+            arrow_map(index.shards, _search(block, weights, k, index.n_docs, index.n_terms), schema).write.mode("append").parquet(path)
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = spark.read.schema(schema).parquet(path).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(numbered.select("q", "item_id"), "q").select("item_id", "rank", "doc_id", "score")

@@ -68,3 +68,27 @@ def test_search_matches_brute_force(spark, monkeypatch, bounds):
     assert sorted(got, key=str) == brute(docs, items, 20)
     assert search(build_index(d.where("1 = 0")), i).count() == 0
     assert search(index, i.where("1 = 0")).count() == 0
+
+
+def test_shards_are_handed_over_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BATCH_BYTES", 100, raising=False)
+    docs = spark.range(60).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 19999), x -> 'w' || x), ' ') AS text").coalesce(1)
+    index, found, key = build_index(docs), [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert index.shards.count() == 5 and index.shards.rdd.getNumPartitions() == 1
+    # A byte a posting for the document, and one for the count; scores are made of them, nothing else is written.
+    assert index.shards.where("length(docs) > 280000 or length(tfs) > 280000").count() == 0 and "impacts" not in index.shards.columns
+
+    def sizes(_wanted):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.record_batch([pa.array([b"rows %d" % b.num_rows], pa.binary()), pa.array([1], pa.int64())], names=["term", "df"])
+
+        return run
+
+    search_in, before = lexical._search, spark.conf.get(key)
+    monkeypatch.setattr(lexical, "_frequencies", sizes)
+    monkeypatch.setattr(lexical, "_search", lambda queries, weights, *rest: found.extend(weights) or search_in(queries, weights, *rest))
+    assert search(index, spark.createDataFrame([(1, "w1")], "item_id long, text string")).count() == 0
+    assert found == [b"rows 1"] and spark.conf.get(key) == before
