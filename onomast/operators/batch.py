@@ -57,6 +57,35 @@ def promote(e: DataFrame) -> DataFrame:
     return e.withColumn("vote", F.when(F.col("votes"), F.when(F.col("promote") & F.col("turned"), "given_first").otherwise(F.col("own.form"))))
 
 
+def ballots(e: DataFrame, *keys: str) -> DataFrame:
+    """What each of ``entries`` adds to the sums of its batch: keys, and numbers that say nothing else of the name."""
+    two = F.coalesce(F.col("votes") & (F.size("roman") == 2), F.lit(False))
+    form = F.when(F.col("votes"), F.col("own.form"))
+    turned = F.coalesce(two & (form == "surname_first") & (F.col("alone.form") == "given_first"), F.lit(False))
+    shaped = F.length(F.regexp_replace(F.get("roman", F.lit(0)), "[-']", "")) >= SHAPE_LETTERS
+    strength = lambda i: F.when(two, position_strength(F.get("facts", F.lit(i))["ppm"])).otherwise(0)
+    return e.select(
+        *keys, "votes", form.alias("form"), turned.alias("turned"), F.coalesce(turned & shaped, F.lit(False)).alias("shaped"),
+        F.when(turned, F.get("facts", F.lit(0))["ev_ppm"]).alias("ev"), "weight", (F.col("n_cands") == 1).alias("sole"), strength(0).alias("s0"), strength(1).alias("s1"),
+    )
+
+
+def tally(b: DataFrame) -> DataFrame:
+    """What ``votes`` gives of voters after ``promote``, of their ``ballots`` with batch_id, in one aggregate."""
+    kinds = {"sf": (F.col("form") == "surname_first") & ~F.col("turned"), "gf": F.col("form") == "given_first", "tf": F.col("turned")}
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    sums = {"size": F.count("*"), "total_count": one(F.col("votes")), "shaped": one(F.col("shaped")), "med": F.percentile("ev", F.lit(0.5)), "sf_strength": F.sum("s0"), "gf_strength": F.sum("s1")}
+    for k, c in kinds.items():
+        sums |= {f"{k}_n": one(c), f"{k}_w": F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0.0)), f"{k}_a": one(c & F.col("sole"))}
+    g = b.where("batch_id IS NOT NULL").groupBy("batch_id").agg(*[c.alias(n) for n, c in sums.items()])
+    n = F.col("tf_n")
+    enough = (n > 0) & (n + F.col("gf_n") >= PROMOTE_SHARE * F.col("total_count")) & ((F.col("shaped") >= SHAPE_SHARE * n) | F.coalesce(F.col("med") < LOW_MEDIAN, F.lit(False)))
+    g = g.withColumn("_up", enough)
+    with_turned = lambda k, x: F.col(f"{k}_{x}") + F.when(F.col("_up") == F.lit(k == "gf"), F.col(f"tf_{x}")).otherwise(0)
+    cells = {"surname_first_count": ("sf", "n"), "given_first_count": ("gf", "n"), "sf_weight": ("sf", "w"), "gf_weight": ("gf", "w"), "sf_alone": ("sf", "a"), "gf_alone": ("gf", "a")}
+    return g.select("batch_id", "size", "total_count", *[with_turned(*x).alias(c) for c, x in cells.items()], "sf_strength", "gf_strength")
+
+
 def position_strength(ppm: Column) -> Column:
     return F.when(ppm > HIGH_PPM, 2).when(ppm > MEDIUM_PPM, 1).otherwise(0)
 
@@ -111,15 +140,40 @@ def pattern(v: DataFrame, threshold: float = THRESHOLD, minimum: int = MIN_BATCH
     )
 
 
+#: How a batch bears on a name: by no pattern, or by one that met its threshold, of either format.
+STATES = ((False, None), (True, "surname_first"), (True, "given_first"))
+#: What a row takes over from its batch's pattern.
+OF_BATCH = ("dominant_format", "threshold_met", "decision_confidence", "vote_margin", "total_count")
+
+
+def state() -> Column:
+    """Of patterns: the number of the state in which they leave names."""
+    return F.when(~F.col("threshold_met"), 0).when(F.col("dominant_format") == STATES[1][1], 1).otherwise(2)
+
+
+def in_states(e: DataFrame) -> DataFrame:
+    """``entries`` in each state (state), read as ``apply`` reads them in batches of such a pattern."""
+    states = F.array(*[F.struct(F.lit(i).alias("state"), F.lit(met).alias("threshold_met"), F.lit(form).cast("string").alias("dominant_format")) for i, (met, form) in enumerate(STATES)])
+    return read_under(e.withColumn("_s", F.explode(states)).select("*", "_s.*").drop("_s"))
+
+
 def apply(e: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Rows under their batch's pattern, with the parse that counts and its result.
+    """``entries`` (with batch_id) under their batch's pattern; see ``read_under``."""
+    return read_under(under(e, patterns))
+
+
+def under(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    return rows.join(patterns.select("batch_id", *OF_BATCH), "batch_id")
+
+
+def read_under(e: DataFrame) -> DataFrame:
+    """``entries`` with dominant_format and threshold_met of their batch, with the parse that counts and its result.
 
     Under a pattern that met its threshold a voter takes its best candidate of
     that format, if there is one, else its own; other names keep the result
     that they have by themselves.  Under none, Latin names take their best
     candidate in the order as written.
     """
-    e = e.join(patterns.select("batch_id", "dominant_format", "threshold_met", "decision_confidence", "vote_margin", "total_count"), "batch_id")
     fitting = best(F.col("cands"), "plain", F.col("dominant_format"))
     latin = F.col("failed").isNull() & (F.col("script") == "latin_only")
     cand = F.when(F.col("threshold_met"), F.when(F.col("votes"), F.coalesce(fitting, F.col("own")))).otherwise(F.when(latin, F.col("alone")))

@@ -34,40 +34,46 @@ def span(s: Column, form: Column, n: Column) -> Column:
     return F.when(position.isNotNull(), F.struct(position.alias("position"), start.alias("start"), width.alias("width")))
 
 
-def evidence(applied: DataFrame, lex: Lexicon) -> DataFrame:
-    """Rows of ``batch.apply`` with the selected format, where the surname stands and how common it and its alternative at the other end are."""
+#: Columns that ``told`` adds, and those that rows have from their batch's pattern.
+TOLD = (
+    "raw_tokens", "raw_token_count", "script_representation", "batch_participant", "batch_applied", "batch_changed_format", "individual_format", "selected_format", "selected_surname_position",
+    "selected_surname_token_count", "first_ppm", "last_ppm", "selected_surname_frequency", "alternate_surname_frequency", "selected_surname_frequency_ratio", "has_all_caps_token",
+)
+OF_BATCH = {"dominant_format": "batch_dominant_format", "threshold_met": "batch_threshold_met", "total_count": "batch_total_count", "decision_confidence": "batch_confidence", "vote_margin": "batch_vote_margin"}
+
+
+def told(read: DataFrame, lex: Lexicon) -> DataFrame:
+    """Rows of ``batch.read_under`` with the selected format, where the surname stands and how common it and its alternative at the other end are."""
     n = F.size("facts")
-    read = F.coalesce(n > 0, F.lit(False)) & F.col("gate").isNull()
-    rows = applied.withColumn("_s", F.when(F.col("success") & read, span(F.col("chosen.s"), F.col("chosen.form"), n)))
+    fits = F.coalesce(n > 0, F.lit(False)) & F.col("gate").isNull()
+    rows = read.withColumn("_s", F.when(F.col("success") & fits, span(F.col("chosen.s"), F.col("chosen.form"), n)))
     start, width = F.col("_s.start"), F.col("_s.width")
     end = F.col("_s.position").isin("first", "last")
     other = F.when(F.col("_s.position") == "first", n - width).otherwise(F.lit(0))
     rows = rows.withColumns({"_own": F.when(end, span_ppm(start, width, lex)), "_alt": F.when(end, span_ppm(other, width, lex))})
     form = F.when(F.col("success"), F.col("order")).otherwise("mixed")
     done = F.col("threshold_met") & F.col("votes") & F.col("success")
-    return rows.select(
-        "batch_id",
-        "pos",
-        "name",
-        F.when(read, F.col("roman")).otherwise(F.array().cast("array<string>")).alias("raw_tokens"),
-        F.when(read, n).otherwise(0).alias("raw_token_count"),
-        F.when(F.col("gate").isNotNull(), "rejected_input").otherwise(F.col("script")).alias("script_representation"),
-        F.col("votes").alias("batch_participant"),
-        F.coalesce(done, F.lit(False)).alias("batch_applied"),
-        F.col("changed").alias("batch_changed_format"),
-        F.coalesce("alone.form", form).alias("individual_format"),
-        form.alias("selected_format"),
-        F.coalesce("_s.position", F.lit("unknown")).alias("selected_surname_position"),
-        F.coalesce(width, F.lit(0)).alias("selected_surname_token_count"),
-        F.when(read, F.get("facts", F.lit(0))["ev_ppm"]).alias("first_ppm"),
-        F.when(read, F.get("facts", n - 1)["ev_ppm"]).alias("last_ppm"),
-        F.col("_own").alias("selected_surname_frequency"),
-        F.col("_alt").alias("alternate_surname_frequency"),
-        F.when(F.col("_alt") > 0, F.col("_own") / F.col("_alt")).alias("selected_surname_frequency_ratio"),
-        F.coalesce("caps", F.lit(False)).alias("has_all_caps_token"),
-        F.col("dominant_format").alias("batch_dominant_format"),
-        F.col("threshold_met").alias("batch_threshold_met"),
-        F.col("total_count").alias("batch_total_count"),
-        F.col("decision_confidence").alias("batch_confidence"),
-        F.col("vote_margin").alias("batch_vote_margin"),
+    cells = (
+        F.when(fits, F.col("roman")).otherwise(F.array().cast("array<string>")),
+        F.when(fits, n).otherwise(0),
+        F.when(F.col("gate").isNotNull(), "rejected_input").otherwise(F.col("script")),
+        F.col("votes"),
+        F.coalesce(done, F.lit(False)),
+        F.col("changed"),
+        F.coalesce("alone.form", form),
+        form,
+        F.coalesce("_s.position", F.lit("unknown")),
+        F.coalesce(width, F.lit(0)),
+        F.when(fits, F.get("facts", F.lit(0))["ev_ppm"]),
+        F.when(fits, F.get("facts", n - 1)["ev_ppm"]),
+        F.col("_own"),
+        F.col("_alt"),
+        F.when(F.col("_alt") > 0, F.col("_own") / F.col("_alt")),
+        F.coalesce("caps", F.lit(False)),
     )
+    return rows.withColumns(dict(zip(TOLD, cells, strict=True))).drop("_s", "_own", "_alt")
+
+
+def evidence(rows: DataFrame) -> DataFrame:
+    """The evidence of rows that have ``TOLD`` and their batch's pattern."""
+    return rows.select("batch_id", "pos", "name", *TOLD, *[F.col(c).alias(n) for c, n in OF_BATCH.items()])

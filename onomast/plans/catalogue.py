@@ -474,25 +474,29 @@ def _(spark, sf_dir):
     return plans.normalize_names(plans.derived_names(spark, sf_dir))
 
 
+def papers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Names in papers, and the names alone, which no exchange by paper precedes."""
+    return {"names": plans.derived_names(spark, sf_dir, dealt=True), "known": plans.derived_names(spark, sf_dir).select("name")}
+
+
 @query("paper_names")
 def _(spark, sf_dir):
-    return plans.analyze_batches(plans.derived_names(spark, sf_dir))[0]
+    return plans.analyze_batches(**papers(spark, sf_dir))[0]
 
 
 @query("batch_patterns")
 def _(spark, sf_dir):
-    return plans.analyze_batches(plans.derived_names(spark, sf_dir))[1]
+    return plans.analyze_batches(**papers(spark, sf_dir))[1]
 
 
 @query("evidence")
 def _(spark, sf_dir):
-    return plans.analyze_batches(plans.derived_names(spark, sf_dir))[2]
+    return plans.analyze_batches(**papers(spark, sf_dir))[2]
 
 
 @query("route_papers")
 def _(spark, sf_dir):
-    res, _, ev = plans.analyze_batches(plans.derived_names(spark, sf_dir))
-    return routing.route_pp(plans.pp_rows(res, ev))
+    return routing.route_pp(plans.pp_rows(plans.analysed(lex=lex(spark), **papers(spark, sf_dir))[0]))
 
 
 @query("route_pool")
@@ -509,7 +513,7 @@ def _(spark, sf_dir):
 
 @query("route_alone")
 def _(spark, sf_dir):
-    return serve.papers_alone(plans.derived_names(spark, sf_dir), lex(spark))
+    return serve.papers_alone(lex=lex(spark), **papers(spark, sf_dir))
 
 
 # Queries of their own modules, which take their helpers from here.

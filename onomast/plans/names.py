@@ -1,7 +1,9 @@
 """Whole plans: single names, batches of names, and papers with their pools.
 
 All that a name says by itself is worked out once for each distinct name
-(``name_table``); batches, evidence and routing join it by the name.
+(``name_table``), and what it says under each kind of pattern that its batch
+may have (``weighed``).  Batches count a few numbers of each name; rows stay
+narrow until readings join them by the name and the state of their batch.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import CJK, all_caps, among, camel_pair, cjk_chunks, comma_swap, compact_han, norm, paren_hint, preprocess, route_tokens, tokenize, unsplit
 from ..lexicon.data import Lexicon
 from ..operators import batch, ethnicity, gates, routing, structural
-from ..operators.evidence import evidence
+from ..operators.evidence import TOLD, evidence, told
 from ..operators.facts import name_facts, spaced_tables, strings, token_facts
 from ..operators.japanese import builtin_model, probabilities
 from ..operators.parse import scored
@@ -130,62 +132,86 @@ def normalize_names(names: DataFrame, lex: Lexicon | None = None, japanese: Data
     return out.select(*RESULT)
 
 
-def applied_batches(names: DataFrame, lex: Lexicon, threshold: float, minimum: int, japanese: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows under their batch's pattern, patterns)."""
+#: So many rows of distinct names are sent to every task of a join; more are dealt by name.
+FEW = 1 << 17
+
+
+def near(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
+def weighed(names: DataFrame, lex: Lexicon, japanese: DataFrame | None = None, also=None) -> tuple[DataFrame, DataFrame]:
+    """(ballots, readings) of the distinct names of a frame: what each adds to a batch's sums, and how it is read in each of ``batch.STATES``.
+
+    also: adds columns (ALSO) to readings.
+    """
     table = keep(batch.entries(single_result(name_table(names, lex, japanese))), "names")
-    rows = names.select("batch_id", "pos", F.col("name").alias("raw")).join(table, F.col("raw").eqNullSafe(table["name"]), "left").drop("name").withColumnRenamed("raw", "name")
-    voters = batch.promote(rows)
-    patterns = keep(batch.pattern(batch.votes(voters), threshold, minimum), "patterns")
-    return batch.apply(rows, patterns), patterns
+    read = told(batch.in_states(table), lex)
+    read = also(read) if also else read
+    alone = F.struct(F.col("alone.form").alias("form"), F.struct(F.col("alone.r.result").alias("result")).alias("r"))
+    extra = [c for c in ALSO if c in read.columns]
+    readings = read.select("name", "state", *RESULT[3:], *PARSED, alone.alias("alone"), *TOLD, *extra)
+    return near(keep(batch.ballots(table, "name"), "ballots")), near(keep(readings, "readings"))
 
 
-def batch_improvements(names: DataFrame, lex: Lexicon | None = None, threshold: float = batch.THRESHOLD, minimum: int = batch.MIN_BATCH) -> DataFrame:
-    """The names (batch_id, pos, name) that their batch reads otherwise than they read by themselves; see ``batch.lineage``."""
-    return batch.lineage(applied_batches(names, lex or Lexicon.builtin(names.sparkSession), threshold, minimum)[0])
+PARSED = ("surname_tokens", "given_tokens", "middle_tokens", "components", "confidence", "changed")
+ALSO = ("typed",)
 
 
-def analyze_batches(names: DataFrame, lex: Lexicon | None = None, threshold: float = batch.THRESHOLD, minimum: int = batch.MIN_BATCH, japanese: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results, patterns, evidence) of names in batches; those of fewer names than ``minimum`` are read name by name in the same plan."""
-    lex = lex or Lexicon.builtin(names.sparkSession)
-    applied, patterns = applied_batches(names, lex, threshold, minimum, japanese)
-    return applied.select(*RESULT, "surname_tokens", "given_tokens", "middle_tokens", "components", "confidence", "changed"), patterns, evidence(applied, lex)
+def patterns_of(names: DataFrame, ballots: DataFrame, threshold: float = batch.THRESHOLD, minimum: int = batch.MIN_BATCH) -> DataFrame:
+    """The pattern of each batch of names (batch_id, name)."""
+    b = ballots.withColumnRenamed("name", "_name")
+    rows = names.select("batch_id", "name").join(b, F.col("name").eqNullSafe(F.col("_name")), "left")
+    return batch.pattern(batch.tally(rows), threshold, minimum)
 
 
-def pp_vys_rows(pp: tuple[DataFrame, DataFrame], vys: tuple[DataFrame, DataFrame], on: DataFrame) -> DataFrame:
-    """Router rows.  pp, vys: (results, evidence) of papers and of pools; on: (paper_id, pos, pool_id, pool_pos) pairs each name's two places."""
+def in_state(rows: DataFrame, readings: DataFrame, state: str = "state", columns: dict[str, str] | None = None) -> DataFrame:
+    """rows (name, and a column of that state) with their readings: all columns of them, or those that are named, renamed."""
+    cells = [F.col(c).alias(n) for c, n in columns.items()] if columns else [c for c in readings.columns if c not in ("name", "state")]
+    r = readings.select(F.col("name").alias("_name"), F.col("state").alias("_state"), *cells)
+    return rows.join(r, F.col("name").eqNullSafe(F.col("_name")) & (F.col(state) == F.col("_state")), "left").drop("_name", "_state")
 
-    def side(res: DataFrame, ev: DataFrame, s: str) -> DataFrame:
-        keep = [c for c in (*routing.PER_SIDE, "selected_surname_frequency_ratio") if c not in ("success", "result")]
-        r = res.select("batch_id", "pos", "success", "result").join(ev.select("batch_id", "pos", "name", *keep), ["batch_id", "pos"])
-        return r.select(*[F.col(c).alias(f"{s}_{c}") for c in r.columns])
 
-    a, b = side(*pp, "pp"), side(*vys, "vys")
-    rows = on.join(a, (on["paper_id"] == a["pp_batch_id"]) & (on["pos"] == a["pp_pos"])).join(b, (on["pool_id"] == b["vys_batch_id"]) & (on["pool_pos"] == b["vys_pos"]))
-    same = F.col("pp_name") == F.col("vys_name")
-    rows = rows.withColumn("name", F.when(same, F.col("pp_name")).otherwise(F.raise_error(F.lit("pp and vys must hold the same names")).cast("string")))
-    return rows.select("paper_id", "pos", *routing.PP_VYS_COLUMNS)
+def analysed(names: DataFrame, lex: Lexicon, threshold: float = batch.THRESHOLD, minimum: int = batch.MIN_BATCH, japanese: DataFrame | None = None, known: DataFrame | None = None, also=None) -> tuple[DataFrame, DataFrame]:
+    """(rows with readings, evidence and their batch's pattern; patterns).  known: the same names (name), where they are had at less cost."""
+    ballots, readings = weighed(names if known is None else known, lex, japanese, also)
+    patterns = patterns_of(names, ballots, threshold, minimum)
+    rows = batch.under(names.select("batch_id", "pos", "name"), patterns)
+    return in_state(rows.withColumn("state", batch.state()), readings), patterns
 
 
-def pp_rows(res: DataFrame, ev: DataFrame) -> DataFrame:
-    """Router rows of papers alone."""
-    r = res.select("batch_id", "pos", "success", "result").join(ev, ["batch_id", "pos"])
+def batch_improvements(names: DataFrame, lex: Lexicon | None = None, threshold: float = batch.THRESHOLD, minimum: int = batch.MIN_BATCH) -> DataFrame:
+    """The names (batch_id, pos, name) that their batch reads otherwise than they read by themselves; see ``batch.lineage``."""
+    return batch.lineage(analysed(names, lex or Lexicon.builtin(names.sparkSession), threshold, minimum)[0])
+
+
+def analyze_batches(names: DataFrame, lex: Lexicon | None = None, threshold: float = batch.THRESHOLD, minimum: int = batch.MIN_BATCH, japanese: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, patterns, evidence) of names in batches; those of fewer names than ``minimum`` are read name by name in the same plan."""
+    rows, patterns = analysed(names, lex or Lexicon.builtin(names.sparkSession), threshold, minimum, japanese, known)
+    return rows.select(*RESULT, *PARSED), patterns, evidence(rows)
+
+
+def pp_columns() -> dict[str, Column]:
+    """Router columns of papers alone, of rows of ``analysed``."""
     script = F.col("script_representation")
-    return r.select(
-        "batch_id",
-        "pos",
-        "name",
-        F.col("success").alias("pp_success"),
-        F.when(F.col("success"), F.size(route_tokens(F.col("result")))).otherwise(1).cast("long").alias("pp_result_token_count"),
-        "selected_format",
-        "selected_surname_position",
-        F.coalesce("selected_surname_token_count", F.lit(0)).cast("long").alias("selected_surname_token_count"),
-        F.col("batch_total_count").cast("long").alias("batch_total_count"),
-        F.coalesce("selected_surname_frequency", F.lit(0.0)).alias("selected_surname_frequency"),
-        script.isin("han_only", "mixed_script", "bilingual_aligned").alias("has_cjk"),
-        script.isin("latin_only", "mixed_script", "bilingual_aligned").alias("has_latin"),
-        (F.col("name").rlike(r"\p{IsHan}") & F.col("name").rlike(r"\p{IsHan}\s+\p{IsHan}")).alias("cjk_has_space"),
-        F.size(F.split(F.trim("name"), r"\s+")).cast("long").alias("raw_tokens"),
-    )
+    return {
+        "pp_success": F.col("success"),
+        "pp_result_token_count": F.when(F.col("success"), F.size(route_tokens(F.col("result")))).otherwise(1).cast("long"),
+        "selected_format": F.col("selected_format"),
+        "selected_surname_position": F.col("selected_surname_position"),
+        "selected_surname_token_count": F.coalesce("selected_surname_token_count", F.lit(0)).cast("long"),
+        "batch_total_count": F.col("total_count").cast("long"),
+        "selected_surname_frequency": F.coalesce("selected_surname_frequency", F.lit(0.0)),
+        "has_cjk": script.isin("han_only", "mixed_script", "bilingual_aligned"),
+        "has_latin": script.isin("latin_only", "mixed_script", "bilingual_aligned"),
+        "cjk_has_space": F.col("name").rlike(r"\p{IsHan}") & F.col("name").rlike(r"\p{IsHan}\s+\p{IsHan}"),
+        "raw_tokens": F.size(F.split(F.trim("name"), r"\s+")).cast("long"),
+    }
+
+
+def pp_rows(rows: DataFrame) -> DataFrame:
+    """Router rows of papers alone, of rows of ``analysed``."""
+    return rows.select("batch_id", "pos", "name", *[c.alias(n) for n, c in pp_columns().items()])
 
 
 # Names of the driver's tables, made from keys.
@@ -194,17 +220,23 @@ GIV = "Wei Xiaoming Ka-Fai J. Min-jun John Ming Hua Jing Yu-Chen XiaoHong Mei Ts
 ORDER_BY = ("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
-def derived_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(batch_id, pos, name) from lineitem: surnames and given names by key, in three orders and six decorations."""
+def derived_names(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """(batch_id, pos, name) from lineitem: surnames and given names by key, in three orders and six decorations.
+
+    dealt: by batch_id, in an exchange that all parts of a plan share.
+    """
     from pyspark.sql import Window
 
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    w = Window.partitionBy("l_orderkey").orderBy(*ORDER_BY)
+    # Lines that the other columns of ORDER_BY would put in order have the same name, so their places may change.
+    keys = ORDER_BY[:3]
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("batch_id"), *keys)
+    li = li.repartition("batch_id") if dealt else li
+    w = Window.partitionBy("batch_id").orderBy(*keys)
     sur = F.element_at(among(SUR), (F.col("l_suppkey") % len(SUR) + 1).cast("int"))
     giv = F.element_at(among(GIV), (F.col("l_partkey") % len(GIV) + 1).cast("int"))
     deco = F.col("l_linenumber") % 6
     s = F.when(deco == 1, F.upper(sur)).otherwise(sur)
-    k = F.col("l_orderkey") % 3
+    k = F.col("batch_id") % 3
     name = F.when(k == 0, F.concat_ws(" ", s, giv)).when(k == 1, F.concat_ws(" ", giv, s)).otherwise(F.concat(s, F.lit(", "), giv))
     name = (
         F.when(deco == 2, F.concat(name, F.lit(" (Peter)")))
@@ -213,4 +245,4 @@ def derived_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(deco == 5, F.replace(name, F.lit(" "), F.lit("·")))
         .otherwise(name)
     )
-    return li.select(F.col("l_orderkey").alias("batch_id"), (F.row_number().over(w) - 1).alias("pos"), name.alias("name"))
+    return li.select("batch_id", (F.row_number().over(w) - 1).alias("pos"), name.alias("name"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lexicon.data import Lexicon
-from ..operators import routing
-from .names import analyze_batches, pp_rows, pp_vys_rows
-from .stage import keep
+from ..operators import batch, routing
+from ..operators.evidence import OF_BATCH
+from .names import analysed, in_state, patterns_of, pp_columns, weighed
 
 ROLES = ("surname", "given", "middle")
 PARSED = "struct<result:string,surname:string,given:string,middle:string>"
@@ -53,37 +53,50 @@ def as_typed(rows: DataFrame, out: str = "typed") -> DataFrame:
     return rows.withColumn(out, typed).drop("_d", "_g")
 
 
+def side_of(rows: DataFrame, patterns: DataFrame, key: str, side: str) -> DataFrame:
+    """rows with the state and the pattern of their batch, which key names, on one side of the router."""
+    cells = [F.col(c).alias(f"{side}_{n}") for c, n in OF_BATCH.items()]
+    return rows.join(patterns.select(F.col("batch_id").alias(key), batch.state().alias(f"{side}_state"), *cells), key)
+
+
+def routed(rows: DataFrame, readings: DataFrame) -> DataFrame:
+    """rows (paper_id, pos, name, and both sides) with their readings on both, and routed."""
+    for s in routing.SIDES:
+        own = [c for c in (*routing.PER_SIDE, "selected_surname_frequency_ratio") if c not in OF_BATCH.values()]
+        rows = in_state(rows, readings, f"{s}_state", {c: f"{s}_{c}" for c in own})
+    out = routing.route_final(routing.route_pp_vys(rows))
+    return out.select(F.col("paper_id").cast("string").alias("paper_id"), "pos", "name", "pp_result", "vys_result", "router_prediction", "router_reason", "input_order_candidate", "final_result")
+
+
 def papers_and_pools(names: DataFrame, pools: DataFrame, lex: Lexicon | None = None, threshold: float | None = None) -> DataFrame:
     """Names of papers routed between the paper and its pool.
 
     names: (paper_id, pos, name); pools: (paper_id, pos, pool_id, pool_pos,
     name), a row for each name's place in a pool, with the same names; a pool
-    may hold the names of many papers.  Both kinds of batches are analysed in
-    one run.  Gives paper_id, pos, name, router_prediction, router_reason and
-    final_result; abstentions take the side that keeps the order as written.
+    may hold the names of many papers.  Gives paper_id, pos, name,
+    router_prediction, router_reason and final_result; abstentions take the
+    side that keeps the order as written.
     """
-    papers = names.select(F.concat(F.lit("p"), F.col("paper_id").cast("string")).alias("batch_id"), "pos", "name")
-    venues = pools.select(F.concat(F.lit("v"), F.col("pool_id").cast("string")).alias("batch_id"), F.col("pool_pos").alias("pos"), "name").distinct()
-    options = {} if threshold is None else {"threshold": threshold}
-    res, _, ev = analyze_batches(papers.unionByName(venues), lex, **options)
-    res, ev = keep(res, "served"), keep(ev, "served-evidence")
-    side = lambda df, k: df.where(F.col("batch_id").startswith(k))
-    on = pools.select(F.concat(F.lit("p"), F.col("paper_id").cast("string")).alias("paper_id"), "pos", F.concat(F.lit("v"), F.col("pool_id").cast("string")).alias("pool_id"), "pool_pos")
-    rows = pp_vys_rows((side(res, "p"), side(ev, "p")), (side(res, "v"), side(ev, "v")), on)
-    routed = routing.route_final(routing.route_pp_vys(rows))
-    return routed.select(F.expr("substring(paper_id, 2)").alias("paper_id"), "pos", "name", "pp_result", "vys_result", "router_prediction", "router_reason", "input_order_candidate", "final_result")
-
-
-def papers_alone(names: DataFrame, lex: Lexicon | None = None) -> DataFrame:
+    lex, limit = lex or Lexicon.builtin(names.sparkSession), batch.THRESHOLD if threshold is None else threshold
+    venues = pools.select("pool_id", "pool_pos", "name").distinct()
+    ballots, readings = weighed(names.select("name").unionByName(venues.select("name")), lex)
+    pp = patterns_of(names.withColumnRenamed("paper_id", "batch_id"), ballots, limit)
+    vys = patterns_of(venues.withColumnRenamed("pool_id", "batch_id"), ballots, limit)
+    rows = pools.select("paper_id", "pos", "pool_id", "pool_pos").join(names.select("paper_id", "pos", "name"), ["paper_id", "pos"])
+    rows = rows.join(venues.withColumnRenamed("name", "_name"), ["pool_id", "pool_pos"])
+    same = F.col("name") == F.col("_name")
+    rows = rows.withColumn("name", F.when(same, F.col("name")).otherwise(F.raise_error(F.lit("pp and vys must hold the same names")).cast("string"))).drop("_name")
+    return routed(side_of(side_of(rows, pp, "paper_id", "pp"), vys, "pool_id", "vys"), readings)
+
+
+def papers_alone(names: DataFrame, lex: Lexicon | None = None, known: DataFrame | None = None) -> DataFrame:
     """Names of papers (batch_id, pos, name) routed by the paper alone, with the reading that is returned.
 
     An abstention returns the order as typed, but for spaced Han names, whose
     own parse keeps it; null where there is no such reading.
     """
-    res, _, ev = analyze_batches(names, lex)
-    res = keep(res, "served")
-    routed = routing.route_pp(pp_rows(res, ev)).select("batch_id", "pos", "router_prediction", "router_reason")
-    rows = as_typed(res.join(routed, ["batch_id", "pos"]))
+    rows, _ = analysed(names, lex or Lexicon.builtin(names.sparkSession), known=known, also=as_typed)
+    rows = routing.route_pp(rows.withColumns(pp_columns()))
     own = F.struct("result", "surname", "given", "middle").cast(PARSED)
     spaced = F.col("router_reason") == "spaced_cjk_zero_batch_surname_first"
     final = F.when(~F.col("success") | (F.col("router_prediction") == "not_person"), None).when((F.col("router_prediction") == "pp") | spaced, own).otherwise(F.col("typed"))
