@@ -502,13 +502,11 @@ def _(spark, sf_dir):
 @query("route_pool")
 def _(spark, sf_dir):
     """Each order as a paper, against the pool of its customer's nation and its year."""
-    names = plans.derived_names(spark, sf_dir).withColumnRenamed("batch_id", "paper_id")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
     nations = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     pool = orders.join(nations, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("paper_id"), F.concat_ws("-", "c_nationkey", "y").alias("pool_id"))
-    # A name's place in its pool is its paper and its place there: no sort of a pool is needed.
-    pools = names.join(pool, "paper_id").withColumn("pool_pos", F.col("paper_id") * 1000 + F.col("pos"))
-    return serve.papers_and_pools(names, pools, lex(spark))
+    found = papers(spark, sf_dir)
+    return serve.papers_in_pools(found["names"].withColumnRenamed("batch_id", "paper_id"), pool, lex(spark), known=found["known"])
 
 
 @query("route_alone")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..lexicon.data import Lexicon
 from ..operators import batch, routing
 from ..operators.evidence import OF_BATCH
-from .names import analysed, in_state, patterns_of, pp_columns, weighed
+from .names import FEW, analysed, in_state, patterns_of, pp_columns, weighed
 
 ROLES = ("surname", "given", "middle")
 PARSED = "struct<result:string,surname:string,given:string,middle:string>"
@@ -89,6 +89,24 @@ def papers_and_pools(names: DataFrame, pools: DataFrame, lex: Lexicon | None = N
     return routed(side_of(side_of(rows, pp, "paper_id", "pp"), vys, "pool_id", "vys"), readings)
 
 
+def papers_in_pools(names: DataFrame, pool_of: DataFrame, lex: Lexicon | None = None, threshold: float | None = None, known: DataFrame | None = None) -> DataFrame:
+    """As ``papers_and_pools``, where all names of a paper are in its pool.
+
+    names: (paper_id, pos, name), a row for each place; pool_of: (paper_id,
+    pool_id), of which repeated rows count once; papers without a pool are left
+    out.  known: the names alone, where they are had at less cost.  A row stays
+    where its paper is: pools meet it as patterns.
+    """
+    lex, limit = lex or Lexicon.builtin(names.sparkSession), batch.THRESHOLD if threshold is None else threshold
+    few = pool_of.select("pool_id").distinct().limit(FEW + 1).count() <= FEW
+    ballots, readings = weighed(names if known is None else known, lex)
+    rows = names.join(pool_of.distinct(), "paper_id")
+    pp = patterns_of(names.withColumnRenamed("paper_id", "batch_id"), ballots, limit)
+    vys = patterns_of(rows.withColumnRenamed("pool_id", "batch_id"), ballots, limit)
+    rows = side_of(rows, pp, "paper_id", "pp")
+    return routed(side_of(rows, F.broadcast(vys) if few else vys, "pool_id", "vys"), readings)
+
+
 def papers_alone(names: DataFrame, lex: Lexicon | None = None, known: DataFrame | None = None) -> DataFrame:
     """Names of papers (batch_id, pos, name) routed by the paper alone, with the reading that is returned.
 
