@@ -34,10 +34,17 @@ h AS (SELECT *, CASE WHEN error IS NOT NULL THEN '' WHEN chosen IS NOT NULL THEN
 i AS (SELECT *, met AND votes AND error IS NULL AND alone <> form AS changed FROM h)"""
 
 
-def made_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as ``batch.entries`` takes them."""
-    w = Window.partitionBy("l_orderkey").orderBy(*plans.ORDER_BY)
-    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+def made_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch_id, pos, and the keys p, s and n of lineitem), dealt by batch_id in an exchange that all parts of a plan share."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = li.select(F.col("l_orderkey").alias("batch_id"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n")).repartition("batch_id")
+    # Lines that the other columns of plans.ORDER_BY would put in order are made alike, so their places may change.
+    return li.withColumn("pos", F.row_number().over(Window.partitionBy("batch_id").orderBy("n", "s", "p")) - 1)
+
+
+def made_entries(rows: DataFrame) -> DataFrame:
+    """``made_rows`` (and what else they have) as ``batch.entries`` takes them."""
+    p, s, n = F.col("p"), F.col("s"), F.col("n")
     text = lambda form: F.when((F.lit(form) == "given_first") & (p % 17 == 0), None).otherwise(F.concat(F.lit(f"{form}-"), p))
     none = F.array().cast("array<string>")
     part = lambda result: F.struct(result.alias("result"), F.lit("S").alias("surname"), F.lit("G").alias("given"), F.lit("").alias("middle"), F.array(F.lit("S")).alias("surname_tokens"), F.array(F.lit("G")).alias("given_tokens"), none.alias("middle_tokens"), F.array(F.lit("surname"), F.lit("given")).alias("order")).cast(R)
@@ -48,25 +55,26 @@ def made_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = F.filter(F.array(cand(3, "surname_first", p % 7, F.lit(0), p % 3 != 1), cand(4, "given_first", s % 7, F.when(n % 5 == 0, 4).otherwise(0), p % 3 != 0)), lambda c: c.isNotNull())
     fact = lambda ppm, ev: F.struct(ppm.cast("double").alias("ppm"), ev.cast("double").alias("ev_ppm"))
     failed = F.when(s % 11 == 0, "failed")
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.select(
-        F.col("l_orderkey").alias("batch_id"), (F.row_number().over(w) - 1).alias("pos"), F.concat(F.lit("name-"), p, F.lit("-"), s).alias("name"), failed.alias("failed"), failed.alias("error"), F.when(p % 13 == 0, "han_only").otherwise("latin_only").alias("script"),
+    return rows.select(
+        *[c for c in rows.columns if c not in ("p", "s", "n")], F.concat(F.lit("name-"), p, F.lit("-"), s).alias("name"), failed.alias("failed"), failed.alias("error"), F.when(p % 13 == 0, "han_only").otherwise("latin_only").alias("script"),
         (n % 6 == 1).alias("caps"), cands.alias("cands"), F.array(F.substring(F.lit("abcdefghij"), F.lit(1), (3 + s % 6).cast("int")), F.lit("x")).alias("roman"), F.array(fact((p % 40) * 50, p % 300), fact((s % 40) * 50, s)).alias("facts"),
         F.struct(F.array(F.lit(0)).alias("s"), F.lit("given_first").alias("form")).alias("choice"), part(F.concat(F.lit("single-"), p)).alias("r"),
     )
 
 
 def voted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.promote(batch.entries(made_entries(spark, sf_dir)))
+    return batch.promote(batch.entries(made_entries(made_rows(spark, sf_dir))))
 
 
 def patterns(rows: DataFrame) -> DataFrame:
-    return batch.pattern(batch.votes(rows), THRESHOLD, MINIMUM)
+    """The patterns of ``made_rows``."""
+    return batch.pattern(batch.tally(batch.ballots(batch.entries(made_entries(rows)), "batch_id")), THRESHOLD, MINIMUM)
 
 
 def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = voted(spark, sf_dir)
-    return batch.apply(rows, patterns(rows))
+    """Rows meet their batch's pattern as keys; entries are made of them after it."""
+    rows = made_rows(spark, sf_dir)
+    return batch.read_under(batch.entries(made_entries(batch.under(rows, patterns(rows)))))
 
 
 @query("batch_promote", f"WITH {MADE} SELECT batch_id, pos, votes, turned, vote FROM w")
@@ -79,7 +87,7 @@ def _(spark, sf_dir):
   CASE WHEN size < {MINIMUM} THEN 'individual' WHEN would THEN 'batch' ELSE 'weak' END AS regime FROM b""")
 def _(spark, sf_dir):
     """Patterns of batches under the threshold of their size, and how each batch is read."""
-    return patterns(voted(spark, sf_dir)).select("batch_id", "size", "total_count", "dominant_format", F.round("decision_confidence", 6).alias("decision_confidence"), "would_meet", "threshold_met", "regime")
+    return patterns(made_rows(spark, sf_dir)).select("batch_id", "size", "total_count", "dominant_format", F.round("decision_confidence", 6).alias("decision_confidence"), "would_meet", "threshold_met", "regime")
 
 
 @query("batch_apply", f"WITH {MADE} SELECT batch_id, pos, error IS NULL AS success, result, error, form AS format, changed FROM i")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from onomast.operators import batch
-from onomast.plans import catalogue, serve
+from onomast.plans import batches, catalogue, serve
 from onomast.plans import names as plans
 
 SMOKE = "/root/testdata/sf0.001"
@@ -25,6 +25,26 @@ def papers(spark):
     return catalogue.papers(spark, SMOKE)
 
 
+def test_tally_is_votes_after_promote(spark):
+    rows = batches.made_rows(spark, SMOKE).withColumn("batch_id", F.when(F.col("batch_id") % 50 > 0, F.col("batch_id") % 300))
+    e = batch.entries(batches.made_entries(rows))
+    r = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in row) for row in df.collect())
+    want = r(batch.votes(batch.promote(e)))
+    assert r(batch.tally(batch.ballots(e, "batch_id"))) == want and len(want) > 200
+    assert batch.promote(e).where("promote and turned").count() > 0
+
+
+def test_made_batches(spark):
+    rows = batches.made_rows(spark, SMOKE)
+    e = batch.entries(batches.made_entries(rows))
+    p = batch.pattern(batch.votes(batch.promote(e)), batches.THRESHOLD, batches.MINIMUM)
+    columns = ["batch_id", "pos", "result", "error", "order", "changed"]
+    want = batch.apply(e, p).select(columns)
+    got = batches.applied(spark, SMOKE).select(columns)
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+    assert not [x for x in dealt(catalogue.QUERIES["batch_lineage"](spark, SMOKE)) if re.search(WIDE, x)]
+
+
 @pytest.mark.parametrize("of", ["results", "evidence", "papers"])
 def test_rows_of_papers_are_narrow(spark, papers, small, of):
     rows, patterns = small
