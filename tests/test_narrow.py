@@ -70,3 +70,12 @@ def test_states_are_readings_under_patterns(spark, papers, small):
     want, got = batch.apply(whole, patterns).select(columns), rows.select(columns)
     assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
     assert {r[0] for r in rows.select("state").distinct().collect()} == {0, 1, 2}
+
+
+def test_evidence_of_a_batch_comes_from_its_pattern(spark, small):
+    rows, patterns = small
+    p = patterns.select("batch_id", F.struct("dominant_format", "threshold_met", "total_count", "decision_confidence", "vote_margin").alias("want"))
+    ev = plans.evidence(rows)
+    got = ev.select("batch_id", F.struct(*[F.col(c) for c in ev.columns[-5:]]).alias("got")).distinct().join(p, "batch_id")
+    assert got.count() == patterns.count() and got.where("to_json(struct(got.*)) IS NULL OR hash(got) <> hash(want)").isEmpty()
+    assert ev.where("batch_applied <> (batch_threshold_met AND batch_participant AND selected_format <> 'mixed')").isEmpty()
